@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, encoding, mixing
+from . import cutoff, encoding, lines, mixing
 from .common import latest, shared_dir, table
 
 KEY = ["shard_idx", "doc_idx"]
@@ -58,6 +58,21 @@ c AS (SELECT topic, any_value(n) AS n, CAST(ceil(any_value(keep_fraction) * any_
 """
 
 
+# 4: kinds of text ----------------------------------------------------------
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return lines.classify(documents, lines.fit(documents))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d)
+
+
 # 6: mixtures ---------------------------------------------------------------
 
 def _mixing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +111,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p3_found, p3_cutoffs, p6_found, p6_shares, p6_copies, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p3_found, p3_cutoffs, p4_found, p4_shares, p6_found, p6_shares, p6_copies, p7_ids)}
 
 SQL = {
     "p3_found": _RECORDS + "SELECT shard_idx, doc_idx FROM r JOIN c USING (topic) WHERE dclm_score >= cutoff",
