@@ -239,21 +239,23 @@ class Model:
         return post / post.sum(axis=1, keepdims=True), moves
 
     def estimate(self, x: np.ndarray, lengths: np.ndarray) -> None:
-        """One round of expectation maximisation; beliefs count as ``PRIOR`` segments of each state."""
+        """One round of expectation maximisation; a share ``BELIEF`` of the beliefs stays, more for states met in fewer than ``PRIOR`` segments."""
         post, moves = self.posterior(x, lengths)
         first = np.cumsum(lengths) - lengths
         prior = beliefs()
         for i, table in enumerate(prior):
             counts = np.stack([np.bincount(x[:, i], weights=post[:, s], minlength=table.shape[1]) for s in range(4)])
-            self.tables[i] = (counts + PRIOR * table) / (counts.sum(axis=1, keepdims=True) + PRIOR)
+            found = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
+            weight = np.minimum(counts.sum(axis=1, keepdims=True) / PRIOR, 1) * (1 - BELIEF)
+            self.tables[i] = weight * found + (1 - weight) * table
         self.start = (post[first].sum(axis=0) + 20 * np.array([0.82, 0.07, 0.05, 0.06])) / (len(first) + 20)
         moves += 50 * (np.eye(4) * 0.86 + 0.035)
         self.move = moves / moves.sum(axis=1, keepdims=True)
         self.index()
 
 
-#: Weight of the beliefs against the sample, in segments of each state.
-PRIOR = 3000.0
+#: Share of the beliefs in the estimated tables, and segments of a state from which on it is no more.
+BELIEF, PRIOR = 0.3, 1000.0
 
 
 def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:

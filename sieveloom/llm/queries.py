@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, encoding, lines, mixing
+from . import cutoff, encoding, lines, mixing, reading, subjects
 from .common import latest, shared_dir, table
 
 KEY = ["shard_idx", "doc_idx"]
@@ -25,6 +25,26 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_budget(_counts(spark, d), table(spark, d, "domains_topics"), table(spark, d, "domains_formats"))
 
 
+# 2: subjects ---------------------------------------------------------------
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    names = {r["name"]: r["code"] for r in table(spark, d, "taxonomy").where("kind = 'topic'").collect()}
+    rules = subjects.mine(subjects.labelled(documents, table(spark, d, "labels"), table(spark, d, "domains_topics")), names)
+    return subjects.assign(documents, rules, lines.fit(documents))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "topic")
+
+
+def p2_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject, of these the ones it is the main subject of, and its share of all assignments."""
+    by = _subjects(spark, d).groupBy("topic").agg(F.count("*").alias("documents"), F.sum((F.col("rank") == 1).cast("bigint")).alias("main"))
+    names = table(spark, d, "taxonomy").where("kind = 'topic'").select(F.col("code").alias("topic"), "name")
+    return by.join(F.broadcast(names), "topic", "left").withColumn("share", F.col("documents") / F.expr("sum(documents) OVER ()"))
+
+
 # 3: cutoffs ----------------------------------------------------------------
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +93,21 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(spark, d)
 
 
+# 5: reading level ----------------------------------------------------------
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return reading.levels(documents, reading.fit(documents, table(spark, d, "labels")), lines.fit(documents))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "reading_level")
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).groupBy("reading_level").agg(F.count("*").alias("documents"))
+
+
 # 6: mixtures ---------------------------------------------------------------
 
 def _mixing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +146,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p3_found, p3_cutoffs, p4_found, p4_shares, p6_found, p6_shares, p6_copies, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_makeup, p3_found, p3_cutoffs, p4_found, p4_shares, p5_found, p5_profile, p6_found, p6_shares, p6_copies, p7_ids)}
 
 SQL = {
     "p3_found": _RECORDS + "SELECT shard_idx, doc_idx FROM r JOIN c USING (topic) WHERE dclm_score >= cutoff",
