@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, encoding, lines, mixing, reading, subjects
+from . import abuse, cutoff, encoding, leakage, lines, mixing, reading, subjects
 from .common import latest, shared_dir, table
 
 KEY = ["shard_idx", "doc_idx"]
@@ -146,7 +146,35 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_makeup, p3_found, p3_cutoffs, p4_found, p4_shares, p5_found, p5_profile, p6_found, p6_shares, p6_copies, p7_ids)}
+# 8: leakage ----------------------------------------------------------------
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return leakage.find(documents, *leakage.build(documents, table(spark, d, "eval_items")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_matches(spark, d).select("doc_id", "item_id")
+
+
+# 9: abusive language -------------------------------------------------------
+
+def _abuse(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.score(documents, abuse.fit(documents, table(spark, d, "labels")), columns)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d, ["doc_id"]).where("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    source = F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("(unknown)")).alias("source")
+    by = _abuse(spark, d, ["doc_id", "source"]).groupBy(source).agg(F.count("*").alias("documents"), F.sum(F.col("abusive").cast("bigint")).alias("abusive"))
+    return by.withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_makeup, p3_found, p3_cutoffs, p4_found, p4_shares, p5_found, p5_profile, p6_found, p6_shares, p6_copies, p7_ids, p8_found, p8_matches, p9_found, p9_rates)}
 
 SQL = {
     "p3_found": _RECORDS + "SELECT shard_idx, doc_idx FROM r JOIN c USING (topic) WHERE dclm_score >= cutoff",
