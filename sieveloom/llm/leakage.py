@@ -24,8 +24,8 @@ from .common import arrow_map, unclash
 
 #: Latent dimensions, those above it in the range finder, power iterations.
 RANK, OVERSAMPLE, POWERS = 160, 16, 2
-#: Words of a window and its step, least cosine of a candidate, share of the passage reproduced, words of a passage at which a match counts as more than a phrase.
-WINDOW, STEP, COSINE, SHARE, LEAST_WORDS = 60, 20, 0.3, 0.5, 6
+#: Words of a window and its step, least cosine of a candidate, words of the vectors that a window needs, share of the passage reproduced, words of a passage at which a match counts as more than a phrase.
+WINDOW, STEP, COSINE, LEAST_TOLD, SHARE, LEAST_WORDS = 60, 20, 0.25, 6, 0.5, 6
 #: Words in more than this share of documents are left out of the vectors.
 COMMON = 0.2
 
@@ -58,6 +58,22 @@ def _deletions(w: str) -> set[str]:
     return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
 
+class _Reading(dict):
+    """A word of five letters or more as the passage word within one letter of it, else itself."""
+
+    def __init__(self, near: dict[str, str]):
+        self.near = near
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = found = next((x for d in sorted(_deletions(w)) if (x := self.near.get(d))), w)
+        return found
+
+    def __reduce__(self):
+        return _Reading, (self.near,)
+
+
 class Index:
     """Passages, word weights and the latent vectors; picklable, as large as the evaluation set."""
 
@@ -157,57 +173,72 @@ def build(documents: DataFrame, items: DataFrame) -> tuple[Index, dict[int, list
 
 
 def candidates(index: Index, words: list[str]) -> set[int]:
-    """Passages near any window of the words in the latent space, or near the words of the whole document that passages use."""
-    numbers = [(i, n) for i, w in enumerate(words) if (n := index.number.get(w)) is not None]
-    if len(numbers) < 3:
+    """Passages near a window of the words in the latent space; windows with hardly any word of the passages can't reproduce one."""
+    get = index.number.get
+    numbers = [(i, n) for i, w in enumerate(words) if (n := get(w)) is not None]
+    if len(numbers) < LEAST_TOLD:
         return set()
     at, n = np.array(numbers).T
     first = np.arange(0, max(len(words) - STEP, 1), STEP)
     lo, hi = np.searchsorted(at, first), np.searchsorted(at, first + WINDOW)
-    found: set[int] = set()
-    queries = []
-    for a, b in zip(lo, hi):
-        if b - a >= 3:
-            ids, c = np.unique(n[a:b], return_counts=True)
-            v = (1 + np.log(c)) * index.weight[ids]
-            queries.append(v @ index.basis[ids])
-    if not queries:
-        return found
-    q = np.stack(queries)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-    return set(np.unique(np.nonzero(q @ index.latent.T >= COSINE)[1]).tolist())
-
-
-def reproduced(index: Index, k: int, words: list[str]) -> float:
+    full = hi - lo >= LEAST_TOLD
+    if not full.any():
+        return set()
+    # all windows at once: a row per window and word with its frequency
+    lo, size = lo[full], (hi - lo)[full]
+    row = np.repeat(np.arange(len(size)), size)
+    take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+    key, count = np.unique(row * len(index.weight) + n[take], return_counts=True)
+    row, ids = np.divmod(key, len(index.weight))
+    value = ((1 + np.log(count)) * index.weight[ids]).astype(np.float32)
+    q = np.add.reduceat(value[:, None] * index.basis[ids], np.searchsorted(row, np.arange(len(size))), axis=0)
+    norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(size)))[:, None]
+    return set(np.unique(np.nonzero(q @ index.latent.T >= COSINE * np.maximum(norm, 1e-9))[1]).tolist())
+
+
+def anchors_of(index: Index, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+    """Per passage: places in the document and in the passage of the three-word runs they share."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    get = index.trigrams.get
+    for i, t in enumerate(zip(words, words[1:], words[2:])):
+        for k, at in get(t, ()):
+            found.setdefault(k, []).append((i, at))
+    return found
+
+
+def reproduced(index: Index, k: int, words: list[str], anchors: list[tuple[int, int]]) -> float:
     """Share of passage k, by rarity, in the longest common subsequence with the words around its matches, pieces put in the passage's order."""
     passage = index.passages[k]
-    in_passage = set(passage)
-    # a word may be misspelt by a letter: read it as the passage's word
-    words = [w if w in in_passage or len(w) < 4 else next((x for d in _deletions(w) if (x := index.near.get(d)) in in_passage), w) for w in words]
-    seen = [index.trigrams.get(t, ()) for t in zip(words, words[1:], words[2:])]
-    anchors = [(i, at) for i, hits in enumerate(seen) for kk, at in hits if kk == k]
-    if not anchors:
-        return 0.0
-    # pieces: words within reach of an anchor; each is placed by its anchors' median place in the passage
-    pieces: list[list] = []
+    # pieces: runs of anchors that advance together in document and passage, placed by where they begin in the passage
+    pieces: list[list[int]] = []
+    last = None
+    by_place: dict[int, list[int]] = {}
     for i, at in anchors:
-        if pieces and i <= pieces[-1][1] + 8:
+        by_place.setdefault(i, []).append(at)
+    for i, ats in by_place.items():
+        at = ats[0] if last is None else min(ats, key=lambda x: abs(x - last[1] - (i - last[0])))
+        if last is not None and i - last[0] <= 12 and abs(at - last[1] - (i - last[0])) <= 8:
             pieces[-1][1] = i + 3
-            pieces[-1][2].append(at)
         else:
-            pieces.append([i, i + 3, [at]])
-    pieces.sort(key=lambda p: np.median(p[2]))
+            pieces.append([i, i + 3, at])
+        last = (i, at)
+    pieces.sort(key=lambda p: p[2])
     near: list[str] = []
     for a, b, _ in pieces:
         near.extend(words[max(0, a - 5) : b + 5])
-    number = {w: i for i, w in enumerate(in_passage)}
-    rarity = np.array([0.3 + index.rarity.get(w, 0.0) for w in number])
+    value = {w: 0.3 + index.rarity.get(w, 0.0) for w in set(passage)}
+    total = sum(value[w] for w in passage)
+    # at most the words that stand near the anchors at all can be common
+    there = set(near)
+    if sum(value[w] for w in passage if w in there) < SHARE * total:
+        return 0.0
+    number = {w: i for i, w in enumerate(value)}
     y = np.array([number.get(w, -1) for w in near])
     best = np.zeros(len(y) + 1)
     for w in passage:
-        gain = np.where(y == number[w], best[:-1] + rarity[number[w]], 0.0)
+        gain = np.where(y == number[w], best[:-1] + value[w], 0.0)
         best[1:] = np.maximum.accumulate(np.maximum(best[1:], gain))
-    return float(best[-1] / sum(rarity[number[w]] for w in passage))
+    return float(best[-1] / total)
 
 
 def find(documents: DataFrame, index: Index, items: dict[int, list[tuple[int, str]]]) -> DataFrame:
@@ -217,13 +248,21 @@ def find(documents: DataFrame, index: Index, items: dict[int, list[tuple[int, st
     theirs; items that share a passage are each reported.  One pass, no shuffle.
     """
 
+    known = index.rarity.keys()
+    read = _Reading(index.near)
+
     def run(data):
         out = {"doc_id": [], "item_id": [], "share": [], "answered": []}
         for i, t in zip(data["doc_id"], data["text"]):
             if not t or len(words := tokens(t)) < LEAST_WORDS:
                 continue
-            for k in sorted(candidates(index, words)):
-                share = reproduced(index, k, words)
+            near = candidates(index, words)
+            if not near:
+                continue
+            words = [w if w in known or len(w) < 5 else read[w] for w in words]
+            anchors = anchors_of(index, words)
+            for k in sorted(near & anchors.keys()):
+                share = reproduced(index, k, words, anchors[k])
                 if share >= SHARE:
                     joined = " ".join(words)
                     for item, gold in items[k]:
