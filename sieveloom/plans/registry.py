@@ -1 +1,8 @@
-QUERIES, SQL = {}, {}
+"""All registered queries of the core."""
+
+from __future__ import annotations
+
+from . import aggregates, relational  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
