@@ -6,7 +6,7 @@ counts only, the other features are NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space, as a character class body understood by Java and RE2.
@@ -67,41 +67,75 @@ def count_where(items: Column, test) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double, NULL where b is 0 or NULL."""
-    return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def distinct_share(items: Column) -> Column:
     return ratio(F.size(F.array_distinct(items)), F.size(items))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value evaluated once: expressions named inside a lambda would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def once_share(items: Column) -> Column:
     """Share of the items that occur once, by one sort of the array."""
-    return F.lit(1.0) - ratio(_repeated(items), F.size(items))
+    return let(items, lambda a: F.lit(1.0) - ratio(_repeated(a), F.size(a)))
 
 
 def _repeated(items: Column) -> Column:
-    """Number of items equal to another one: neighbours in the sorted array."""
-    s = F.array_sort(items)
-    same = lambda a, i: F.coalesce(F.get(s, i) == a, F.lit(False))
-    return F.size(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)))
+    """Number of items equal to another one: one walk over the sorted array with the last item and its run."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("n"))
+
+    def step(acc, x):
+        same = x.eqNullSafe(acc["last"])
+        run = F.when(same, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), (acc["n"] + F.when(~same, 0).when(acc["run"] == 1, 2).otherwise(1)).alias("n"))
+
+    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["n"])
 
 
 def ngram_repetition(items: Column, n: int) -> Column:
     """n times the n-grams that occur twice or more, over the words; may exceed 1; NULL below n words."""
-    grams = F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), " ")))
-    return ratio(_repeated(grams) * n, F.size(items))
 
+    def body(w):
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, ratio(_repeated(grams) * n, F.size(w)))
+
+    return let(items, body)
+
+
+def pieces(text: Column) -> dict[str, Column]:
+    """What several features share: words, lower-case and bare words, lines, sentences and counts of them."""
+    w, lines, s = words(text), split_lines(text), sentences(text)
+    bare = F.filter(F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", "")), lambda x: x != "")
+    return {"words": w, "lower": F.transform(w, F.lower), "bare": bare, "lines": lines, "filled": F.filter(lines, lambda x: ~_blank(x)), "sentences": s, "alpha": F.regexp_count(_text(text), F.lit(r"\p{L}"))}
 
-def heuristics(text: Column) -> dict[str, Column]:
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where the input has fewer splits than there are cores, as a single small file has; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_features(df: DataFrame, text: str, make) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with the shared pieces as columns ``__...``, and the features over them.
+
+    The pieces are a projection of their own: the optimizer keeps it apart, as
+    its expressions are costly and used more than once, so each is evaluated once
+    per row; those no chosen feature uses are pruned.
+    """
+    staged = spread(df).withColumns({f"__{k}": c for k, c in pieces(F.col(text)).items()})
+    return staged, make(F.col(text), {k: F.col(f"__{k}") for k in pieces(F.col(text))})
+
+
+def heuristics(text: Column, p: dict[str, Column] | None = None) -> dict[str, Column]:
     """The sixteen base features by name."""
+    p = p or pieces(text)
     t = _text(text)
-    w = words(text)
+    w, lower, lines, filled, alpha = p["words"], p["lower"], p["lines"], p["filled"], p["alpha"]
     n, chars = F.size(w), F.length(t)
-    lower = F.transform(w, F.lower)
-    lines = split_lines(text)
-    filled = F.filter(lines, lambda x: ~_blank(x))
-    alpha = F.regexp_count(t, F.lit(r"\p{L}"))
-    stop = F.array(*[F.lit(s) for s in STOP_WORDS])
     some = lambda c: F.when(n > 0, c)
     num_lines = F.when(chars == 0, 0).otherwise(F.size(lines))
     return {
@@ -115,7 +149,7 @@ def heuristics(text: Column) -> dict[str, Column]:
         "frac_lines_terminal_punct": some(ratio(count_where(filled, lambda x: x.rlike(TERMINAL)), F.size(filled))),
         "frac_lines_bullet": some(ratio(count_where(filled, lambda x: x.rlike(BULLET)), F.size(filled))),
         "type_token_ratio": some(distinct_share(lower)),
-        "stopword_fraction": some(ratio(count_where(lower, lambda x: F.array_contains(stop, x)), n)),
+        "stopword_fraction": some(ratio(F.regexp_count(F.concat(F.lit(" "), F.array_join(lower, "  "), F.lit(" ")), F.lit(f" (?:{'|'.join(STOP_WORDS)}) ")), n)),
         "ngram_rep_2": some(ngram_repetition(lower, 2)),
         "ngram_rep_3": some(ngram_repetition(lower, 3)),
         "ngram_rep_4": some(ngram_repetition(lower, 4)),
@@ -132,16 +166,13 @@ def phrases(text: Column, *lists: tuple[str, ...], initial: tuple[str, ...] = ()
     return F.regexp_count(_text(text), F.lit("(?im)" + "|".join(parts)))
 
 
-def synthetic(text: Column) -> dict[str, Column]:
+def synthetic(text: Column, p: dict[str, Column] | None = None) -> dict[str, Column]:
     """The eighteen features of explanatory style by name; all NULL for an empty text."""
+    p = p or pieces(text)
     t = _text(text)
-    s = sentences(text)
+    s, w, bare, lines, filled = p["sentences"], p["words"], p["bare"], p["lines"], p["filled"]
     n_sent = F.greatest(F.size(s), F.lit(1))
-    w = words(text)
     n_words = F.greatest(F.size(w), F.lit(1))
-    bare = F.filter(F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", "")), lambda x: x != "")
-    lines = split_lines(text)
-    filled = F.filter(lines, lambda x: ~_blank(x))
     strip = lambda x: F.regexp_replace(x, f"^[{WS}]+|[{WS}]+$", "")
     header = lambda x: (F.length(strip(x)) < 80) & ~strip(x).rlike(r"[.?!]$") & (strip(x).startswith("#") | strip(x).rlike(r"^(?:[A-Z][A-Za-z0-9_'-]*\s*)+$"))
     code = r"(?m)^(?: {4,}|\t+).*(?:[{}]|(?<![A-Za-z0-9_])(?:def|class|import|function|var|SELECT|CREATE)(?![A-Za-z0-9_])|</?(?:div|p|span|a|li|ul|ol|h[1-6])(?![A-Za-z0-9_])).*$"
@@ -170,7 +201,7 @@ def synthetic(text: Column) -> dict[str, Column]:
         "list_density": ratio(count_where(lines, lambda x: x.rlike(LIST_LINE)), F.size(lines)),
         "numeric_density": ratio(F.regexp_count(t, F.lit(rf"{_B}\d+(?:\.\d+)?{_E}")), n_words) * 1000,
         "proper_noun_density": ratio(proper, n_words) * 1000,
-        **readability(text),
+        **readability(text, w),
     }
     return {k: F.when(F.length(t) > 0, v) for k, v in out.items()}
 
@@ -182,15 +213,15 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.regexp_count(lower, F.lit("[aeiouyà-öø-ü]+")) - silent, F.lit(1))
 
 
-def readability(text: Column, limit: int = 5000) -> dict[str, Column]:
+def readability(text: Column, all_words: Column | None = None, limit: int = 5000) -> dict[str, Column]:
     """Flesch-Kincaid grade and Flesch reading ease of the first ``limit`` words, as their definition says; NULL without words."""
-    w = F.slice(words(text), 1, limit)
-    n = F.size(w)
+    w = F.slice(words(text) if all_words is None else all_words, 1, limit)
     s = F.greatest(count_where(w, lambda x: x.rlike(r"[.!?][\"')\]]*$")), F.lit(1))
     syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
+    counts = F.struct(F.size(w).alias("n"), s.alias("s"), syl.alias("syl"))
     return {
-        "flesch_kincaid_grade": 0.39 * ratio(n, s) + 11.8 * ratio(syl, n) - 15.59,
-        "flesch_reading_ease": 206.835 - 1.015 * ratio(n, s) - 84.6 * ratio(syl, n),
+        "flesch_kincaid_grade": let(counts, lambda c: 0.39 * ratio(c["n"], c["s"]) + 11.8 * ratio(c["syl"], c["n"]) - 15.59),
+        "flesch_reading_ease": let(counts, lambda c: 206.835 - 1.015 * ratio(c["n"], c["s"]) - 84.6 * ratio(c["syl"], c["n"])),
     }
 
 

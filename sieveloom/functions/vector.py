@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
@@ -23,21 +25,28 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(2.0) - F.lit(2.0) * dot(a, b)
 
 
+def _scaled(v: Column, by: Column) -> Column:
+    """Elements divided by a number that is evaluated once."""
+    return let(F.struct(v.alias("v"), by.alias("by")), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["by"]))
+
+
 def l2_normalise(v: Column) -> Column:
+    """Unit length; a zero vector stays."""
     norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return _scaled(v, F.when(norm > 0, norm).otherwise(1.0))
 
 
 def log_softmax(v: Column) -> Column:
-    top = F.array_max(v).cast("double")
-    log_sum = F.log(total(F.transform(v, lambda x: F.exp(x.cast("double") - top)))) + top
-    return F.transform(v, lambda x: x.cast("double") - log_sum)
+    def body(s):
+        log_sum = F.log(total(F.transform(s["v"], lambda x: F.exp(x.cast("double") - s["top"])))) + s["top"]
+        return let(log_sum, lambda z: F.transform(s["v"], lambda x: x.cast("double") - z))
+
+    return let(F.struct(v.alias("v"), F.array_max(v).cast("double").alias("top")), body)
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v).cast("double")
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.struct(v.alias("v"), F.array_max(v).cast("double").alias("top")), lambda s: F.transform(s["v"], lambda x: F.exp(x.cast("double") - s["top"])))
+    return let(e, lambda x: _scaled(x, total(x)))
 
 
 def argmax(v: Column) -> Column:
@@ -47,8 +56,7 @@ def argmax(v: Column) -> Column:
 
 def temper(p: Column, temperature: float) -> Column:
     """Probabilities to the power of 1 / temperature, renormalised."""
-    q = F.transform(p, lambda x: F.pow(x, F.lit(1.0 / temperature)))
-    return F.transform(q, lambda x: x / total(q))
+    return let(F.transform(p, lambda x: F.pow(x, F.lit(1.0 / temperature))), lambda q: _scaled(q, total(q)))
 
 
 def mean_pool(vectors: Column, size: int) -> Column:

@@ -204,8 +204,9 @@ def water_fill(sizes: DataFrame, cluster: str, size: str, target: int, multiplie
     total = Window.partitionBy()
     before = F.coalesce(F.sum("cap").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.count("*").over(total) - F.row_number().over(w) + 1
-    level = cap.withColumn("__lv", F.floor((F.lit(target) - before) / left)).withColumn("__open", F.col("__lv") < F.col("cap"))
-    x = F.coalesce(F.min(F.when(F.col("__open"), F.col("__lv"))).over(total), F.max("cap").over(total))
+    level = cap.withColumn("__at", F.row_number().over(w)).withColumn("__lv", F.floor((F.lit(target) - before) / left)).withColumn("__open", F.col("__lv") < F.col("cap"))
+    # the level is that of the first cluster which it doesn't fill
+    x = F.coalesce(F.min(F.when(F.col("__open"), F.struct("__at", "__lv"))).over(total)["__lv"], F.max("cap").over(total))
     filled = level.withColumn("__x", F.greatest(x, F.lit(0))).withColumn("quota", F.least("cap", "__x"))
     rest = F.lit(target) - F.sum("quota").over(total)
     more = F.col("cap") > F.col("__x")

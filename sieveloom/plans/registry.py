@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, relational  # noqa: F401
+from . import aggregates, models, relational, selections, texts  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
