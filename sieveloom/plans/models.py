@@ -192,7 +192,7 @@ def mod_14_keyword_chooser(spark, d):
     return a.select("doc_id", "topic", F.round(F.array_max("topic_probs"), 6).alias("confidence"))
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def evt_stream_like_windows(spark, d):
     """The batch form of the windowed stream in ``streaming``: events per type and ten minutes."""
     return table(spark, d, "events").groupBy(F.window("ts", "10 minutes")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

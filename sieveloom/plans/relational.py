@@ -11,7 +11,8 @@ from ..operators.quantiles import threshold
 from ..schema import KEY, existing, minus_one_to_null, nan_to_null
 from .base import M, master, query, r6, table
 
-K = [F.col("shard_idx"), F.col("doc_idx")]
+#: Ties are broken by key.
+K = KEY
 
 
 # projections and filters ----------------------------------------------------
@@ -25,7 +26,7 @@ def proj_01_rename_cast_constant(spark, d):
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY shard_idx, doc_idx, doc_id) - 1 AS BIGINT) AS row_id FROM documents")
 def proj_04_surrogate_row_id(spark, d):
-    n = prefix.row_numbers(table(spark, d, "documents").select("doc_id", *KEY), [], [*[c.asc_nulls_last() for c in K], F.col("doc_id").asc()], "n")
+    n = prefix.row_numbers(table(spark, d, "documents").select("doc_id", *KEY), [], [*[F.col(c).asc_nulls_last() for c in K], F.col("doc_id").asc()], "n")
     return n.select("doc_id", (F.col("n") - 1).cast("bigint").alias("row_id"))
 
 

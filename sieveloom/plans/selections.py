@@ -22,7 +22,11 @@ def pool(spark, d):
 
 
 MP = M + ", p AS (SELECT * FROM m WHERE token_count > 0)"
-U = F.concat_ws("-", *KEY)
+
+
+def u():
+    """The key as a string, what random numbers are made from."""
+    return F.concat_ws("-", *KEY)
 
 
 @query(MP + f", s AS (SELECT *, sum(token_count) OVER (ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS cum FROM p) SELECT shard_idx, doc_idx, token_count FROM s WHERE cum - token_count < 200000")
@@ -52,7 +56,7 @@ def sel_04_from_median(spark, d):
 
 @query(MP + f", s AS (SELECT *, round(dclm_score / 0.5 - ln(-ln({_HASH.format(_MKEY, 305)})), 9) AS s FROM p), c AS (SELECT *, sum(token_count) OVER (ORDER BY s DESC NULLS LAST, shard_idx, doc_idx ROWS UNBOUNDED PRECEDING) AS cum FROM s) SELECT shard_idx, doc_idx FROM c WHERE cum - token_count < 100000")
 def sel_05_gumbel_top_k(spark, d):
-    x = pool(spark, d).withColumn("s", F.round(selection.sampled_score(F.col(S), U, 305, 0.5), 9))
+    x = pool(spark, d).withColumn("s", F.round(selection.sampled_score(F.col(S), u(), 305, 0.5), 9))
     return selection.by_tokens(x, "s", "token_count", 100_000, K).select(*KEY)
 
 
@@ -94,7 +98,7 @@ def _strategy(name, order):
 
 @query(MP + " " + " UNION ALL ".join([_strategy("random", _HASH.format(_MKEY, 11)), _strategy("dclm", f"dclm_score DESC NULLS LAST, {_HASH.format(_MKEY, 11)}"), _strategy("fwedu", f"fwedu_rounded DESC NULLS LAST, {_HASH.format(_MKEY, 11)}")]))
 def sel_11_equal_token_strategies(spark, d):
-    x = pool(spark, d).withColumn("u", stats.hash_uniform(U, 11))
+    x = pool(spark, d).withColumn("u", stats.hash_uniform(u(), 11))
     orders = {"random": [F.col("u").asc()], "dclm": [F.col(S).desc_nulls_last(), F.col("u").asc()], "fwedu": [F.col("fwedu_rounded").desc_nulls_last(), F.col("u").asc()]}
     return reduce(lambda a, b: a.unionByName(b), [prefix.budget_prefix(x, "token_count", F.lit(60_000), [], [*o, *K]).select(F.lit(n).alias("strategy"), *KEY) for n, o in orders.items()])
 
@@ -102,7 +106,7 @@ def sel_11_equal_token_strategies(spark, d):
 @query(MP + f" SELECT 'random' AS policy, shard_idx, doc_idx FROM p WHERE {_HASH.format(_MKEY, 5)} < 0.15 UNION ALL SELECT 'p85', shard_idx, doc_idx FROM p WHERE dclm_score >= (SELECT quantile_cont(dclm_score, 0.85) FROM p) UNION ALL SELECT 'fwedu3', shard_idx, doc_idx FROM p WHERE fwedu_rounded >= 3 UNION ALL SELECT 'within', shard_idx, doc_idx FROM p JOIN (SELECT topic, quantile_cont(dclm_score, 0.85) AS q FROM p WHERE dclm_score IS NOT NULL AND topic IS NOT NULL GROUP BY topic) USING (topic) WHERE dclm_score >= q AND topic IN (SELECT topic FROM p GROUP BY topic HAVING count(*) >= 50)")
 def sel_12_top_percent_policies(spark, d):
     x = pool(spark, d)
-    parts = {"random": selection.bernoulli(x, U, 0.15, 5), "p85": selection.above(x, S, 85), "fwedu3": x.where("fwedu_rounded >= 3"), "within": selection.within_group_top(x.where("topic IS NOT NULL"), "topic", S, 15, 50)}
+    parts = {"random": selection.bernoulli(x, u(), 0.15, 5), "p85": selection.above(x, S, 85), "fwedu3": x.where("fwedu_rounded >= 3"), "within": selection.within_group_top(x.where("topic IS NOT NULL"), "topic", S, 15, 50)}
     return reduce(lambda a, b: a.unionByName(b), [v.select(F.lit(n).alias("policy"), *KEY) for n, v in parts.items()])
 
 
@@ -192,7 +196,7 @@ def sel_26_floor_then_fill(spark, d):
 
 def _policies(spark, d):
     m = master(spark, d).where("topic IS NOT NULL").select(*KEY, "topic", S, "textbook_quality", "token_count")
-    parts = {"global_dclm": selection.top_n(m, S, 300, K), "random": selection.random_rows(m, U, 300, 9), "within_topic": selection.top_fraction(m, ["topic"], S, 0.1, K), "floor": selection.floor_then_fill(m, ["topic"], S, 300, 0.05, K).drop("is_floor")}
+    parts = {"global_dclm": selection.top_n(m, S, 300, K), "random": selection.random_rows(m, u(), 300, 9), "within_topic": selection.top_fraction(m, ["topic"], S, 0.1, K), "floor": selection.floor_then_fill(m, ["topic"], S, 300, 0.05, K).drop("is_floor")}
     return reduce(lambda a, b: a.unionByName(b), [v.withColumn("policy", F.lit(n)) for n, v in parts.items()])
 
 
@@ -239,12 +243,12 @@ def sel_32_row_sample(spark, d):
 @query(M + f", r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_HASH.format(_MKEY, 8)}, {_MKEY}) AS rn, count(*) OVER (PARTITION BY topic) AS n FROM m WHERE topic IS NOT NULL) SELECT shard_idx, doc_idx, rn <= round_even(n * 0.2, 0) AS is_test FROM r")
 def sel_33_stratified_split(spark, d):
     m = master(spark, d).where("topic IS NOT NULL").select(*KEY, "topic")
-    return selection.stratified_split(m, "topic", U, 0.2, 8).select(*KEY, "is_test")
+    return selection.stratified_split(m, "topic", u(), 0.2, 8).select(*KEY, "is_test")
 
 
 @query()
 def sel_34_bootstrap(spark, d):
-    b = evaluate.bootstrap(_policies(spark, d), S, "policy", U, 200)
+    b = evaluate.bootstrap(_policies(spark, d), S, "policy", u(), 200)
     return b.select("policy", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "q025", "q50", "q975")])
 
 

@@ -240,3 +240,43 @@ def src_14_conversations(spark, d):
     """Turns of a conversation joined in order by line ends; here the events of a user."""
     t = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("turns"))
     return t.select("user_id", F.array_join(F.transform("turns", lambda s: s["event_type"]), "\n").alias("conversation"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE shard_idx < 3")
+def src_06_projected_scan(spark, d):
+    return table(spark, d, "documents").where("shard_idx < 3").select("doc_id", "lang")
+
+
+@query("SELECT shard_idx, doc_idx, topic AS label FROM domains_topics UNION ALL SELECT shard_idx, doc_idx, format FROM domains_formats")
+def src_07_glob_concat(spark, d):
+    return table(spark, d, "domains_topics").select("shard_idx", "doc_idx", F.col("topic").alias("label")).unionByName(table(spark, d, "domains_formats").select("shard_idx", "doc_idx", F.col("format").alias("label")))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3)")
+def src_10_subset_view(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.join(e.where("label = 3").select("vec_id"), "vec_id", "left_semi").select("vec_id", "label")
+
+
+@query("SELECT shard_idx, count(*) AS n, min(doc_idx) AS first, max(doc_idx) AS last FROM documents WHERE n_chars > 500 GROUP BY shard_idx")
+def src_18_index_per_shard(spark, d):
+    return table(spark, d, "documents").where("n_chars > 500").groupBy("shard_idx").agg(F.count("*").alias("n"), F.min("doc_idx").alias("first"), F.max("doc_idx").alias("last"))
+
+
+@query("WITH t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) + 1 AS n FROM documents) SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS start, CAST(n AS BIGINT) AS n FROM t")
+def src_21_token_store(spark, d):
+    """Lengths and offsets of a flat token store in document order."""
+    from ..operators.prefix import running_sum
+
+    t = text.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.simple_token_count(F.col("text")).cast("bigint").alias("n"))
+    return running_sum(t, "n", [], [F.col("doc_id").asc()], "stop").select("doc_id", (F.col("stop") - F.col("n")).alias("start"), "n")
+
+
+@query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, o.toxic FROM (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE annotator = 'ann_a' GROUP BY 1) o FULL JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE annotator = 'ann_b' GROUP BY 1) n ON o.doc_id = n.doc_id")
+def src_26_upsert(spark, d):
+    from ..sources.sinks import upsert
+
+    lab = table(spark, d, "labels")
+    old = lab.where("annotator = 'ann_a'").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    new = lab.where("annotator = 'ann_b'").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return upsert(old, new, "doc_id")

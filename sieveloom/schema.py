@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY = ["shard_idx", "doc_idx"]
-DOCUMENTS = T.StructType.fromDDL("shard_idx int, doc_idx int, url string, text string")
-ANNOTATIONS = T.StructType.fromDDL("shard_idx int, doc_idx int, topic int, format int, cluster24 int, dclm_score float, fwedu_score float, fwedu_rounded int, token_count int")
-DISTRIBUTION = T.StructType.fromDDL("domain array<int>, weight double, tokens bigint, documents bigint")
-RUN_CONFIG = T.StructType.fromDDL(
+# Schemas as DDL: they are needed before there is a session to parse them.
+DOCUMENTS = "shard_idx int, doc_idx int, url string, text string"
+ANNOTATIONS = "shard_idx int, doc_idx int, topic int, format int, cluster24 int, dclm_score float, fwedu_score float, fwedu_rounded int, token_count int"
+DISTRIBUTION = "domain array<int>, weight double, tokens bigint, documents bigint"
+RUN_CONFIG = (
     "run_id int, type string, feature string, percentile double, direction string, top_pct double, topic int, threshold int, seed int, frac double,"
     " restrict_feature string, restrict_top_pct double, dclm_top_pct double, selectors array<struct<feature: string, percentile: double, direction: string>>,"
     " features array<string>, weights array<double>, means array<double>, stds array<double>"
