@@ -75,6 +75,7 @@ def _arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    del spark  # parsing DDL needs a session to be there
     return [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields]
 
 
