@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import spread
 from . import abuse, cutoff, encoding, leakage, lines, mixing, reading, subjects
 from .common import latest, shared_dir, table
 
 KEY = ["shard_idx", "doc_idx"]
 
 
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, dealt out where a single small file would leave cores idle."""
+    return spread(table(spark, d, "documents"))
+
+
 # 1: token budget -----------------------------------------------------------
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.usable_counts(table(spark, d, "documents"), table(spark, d, "tokens"))
+    return encoding.usable_counts(_documents(spark, d), table(spark, d, "tokens"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +36,7 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
 # 2: subjects ---------------------------------------------------------------
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = _documents(spark, d)
     names = {r["name"]: r["code"] for r in table(spark, d, "taxonomy").where("kind = 'topic'").collect()}
     rules = subjects.mine(subjects.labelled(documents, table(spark, d, "labels"), table(spark, d, "domains_topics")), names)
     return subjects.assign(documents, rules, lines.fit(documents))
@@ -81,7 +89,7 @@ c AS (SELECT topic, any_value(n) AS n, CAST(ceil(any_value(keep_fraction) * any_
 # 4: kinds of text ----------------------------------------------------------
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = _documents(spark, d)
     return lines.classify(documents, lines.fit(documents))
 
 
@@ -96,7 +104,7 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 # 5: reading level ----------------------------------------------------------
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = _documents(spark, d)
     return reading.levels(documents, reading.fit(documents, table(spark, d, "labels")), lines.fit(documents))
 
 
@@ -143,13 +151,13 @@ g AS (SELECT m.mix_id, m.domain, coalesce(size, 0) AS size, max_repeats, weight
 # 7: encoding ---------------------------------------------------------------
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode(table(spark, d, "documents"))
+    return encoding.encode(_documents(spark, d))
 
 
 # 8: leakage ----------------------------------------------------------------
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = _documents(spark, d)
     return leakage.find(documents, *leakage.build(documents, table(spark, d, "eval_items")))
 
 
@@ -160,7 +168,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 # 9: abusive language -------------------------------------------------------
 
 def _abuse(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = _documents(spark, d)
     return abuse.score(documents, abuse.fit(documents, table(spark, d, "labels")), columns)
 
 
