@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, unclash
@@ -176,8 +176,10 @@ def _regress(b, o, ratio, root, bears, other) -> Classifier:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Classifier | None:
     """The classifier from judged documents (abusive if most judgements say so, ties too); None without abusive ones."""
     judged = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("bad"))
-    rank = F.row_number().over(Window.partitionBy("bad").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    judged = judged.withColumn("rank", rank).where(f"rank <= {sample // 2} OR NOT bad").orderBy(F.col("bad").desc(), "rank").limit(sample).drop("rank")
+    # each a top-k by hash, pruned in every task
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    bad, good = judged.where("bad").orderBy(*order).limit(sample // 2), judged.where("NOT bad").orderBy(*order).limit(sample)
+    judged = bad.unionByName(good).orderBy(F.col("bad").desc(), *order).limit(sample)
     rows = unclash(documents, ["doc_id", "text"]).where("text IS NOT NULL").join(F.broadcast(judged), "doc_id")
 
     def run(data):

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 #: Bits of the digits: 4096 buckets, 4096 in the boundary bucket, and the records of one of these.
 WIDTHS = (12, 12, 36)
 
@@ -44,6 +46,7 @@ def plan(records: DataFrame, mixes: DataFrame) -> DataFrame:
     weights count as 0, null repeats as 0; a domain without records has size 0
     and is short unless its target is 0; repeated rows of a mix stay repeated.
     """
+    shared_dir(records.sparkSession)
     corpus = records.groupBy("domain", _digit(F.col("h"), 0).alias("b")).agg(F.sum("tokens").alias("t")).checkpoint()
     sizes = corpus.groupBy("domain").agg(F.sum("t").alias("size"))
     in_mix = Window.partitionBy("mix_id")
