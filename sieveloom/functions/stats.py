@@ -20,7 +20,7 @@ def average_rank_pct(x: Column, *by: Column) -> Column:
     """Rank in the group as a share of its non-null values, ties at their mean rank; NULL stays NULL.
 
     One sort per group; a group of a third of all rows sorts in one task with
-    spilling, see ``operators.ranks.large_group_ranks`` for a distributed form.
+    spilling, see ``operators.prefix.average_ranks`` for a distributed form.
     """
     w = Window.partitionBy(*by)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
