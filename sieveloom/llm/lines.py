@@ -70,7 +70,7 @@ def segments(text: str) -> list[str]:
             continue
         if held:
             # hard-wrapped prose: a line of ordinary length that doesn't end a sentence goes on in the next
-            if len(held) >= 35 and line[0].isalnum() and (held[-1].isalnum() or held[-1] in ",-’'") and not _UNWRAPPED.search(line) and _function_words(held[-90:]):
+            if len(held) >= 35 and line[0].isalnum() and (held[-1].isalnum() or held[-1] in ",-’'") and not _UNWRAPPED.search(line) and not _BULLET.match(line) and (_function_words(held[-90:]) or ". " in held or line[-1] == "."):
                 held += " " + line
                 continue
             _cut(held, out)
@@ -124,6 +124,10 @@ ENTRIES = 200_000
 _entries: dict[str, tuple[int, ...]] = {}
 
 
+def numbers_free(body: str) -> bool:
+    return not _DIGIT.search(body) and ",," not in body and "|" not in body
+
+
 def _observe(s: str, before: str) -> tuple[int, ...]:
     speaker = _SPEAKER.match(s)
     body = s[speaker.end() :] or s if speaker else s
@@ -139,6 +143,8 @@ def _observe(s: str, before: str) -> tuple[int, ...]:
     end = 0 if last and last in ".!?…。！？" else 1 if last == ":" else 2 if last and last in ";,|" else 3
     share = fw / n
     grammar = 0 if fw == 0 else 1 if share < 0.15 else 2 if share < 0.3 else 3
+    if end == 0 and n > 3 and numbers_free(body) and (body[2:] if bullet else body).lstrip()[:1].isupper():
+        grammar = max(grammar, 1)  # a sentence by its form, of words of content only
     latin = _LATIN.search(body)
     if not latin and len(_LETTER.findall(body)) > 0.5 * len(body):
         grammar = 3 if end == 0 else 2 if n > 3 else 0  # scripts without function words here
