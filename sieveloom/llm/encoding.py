@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, latest, unclash
 from .tokenizer import TOKENIZER_DIR, VOCABULARY, encoder, split
 
+#: Greatest recorded count that is taken for a key without a text to compare it with.
+MOST = 1_000_000
 #: Unicode white space, for the test of blank texts on the JVM side.
 BLANK = r"^[\s\u0085   -     　\u001C-\u001F]*$"
 
@@ -52,8 +54,8 @@ def count_tokens(documents: DataFrame, columns: list[str], folder: str = TOKENIZ
     return arrow_map(documents, [*columns, "text"], run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_tokens bigint")
 
 
-def usable_counts(documents: DataFrame, tokens: DataFrame, factor: float = 3.0, **tokenizer) -> DataFrame:
-    """Per document: the recorded count of its key, the count of its text, and whether the recorded one is usable.
+def usable_counts(documents: DataFrame, tokens: DataFrame, factor: float = 3.0, every_key: bool = False, **tokenizer) -> DataFrame:
+    """Per document, with ``every_key`` also per key of ``tokens`` without one: the recorded count of its key, the count of its text, and whether the recorded one is usable.
 
     ``n_recorded`` is the ``token_count`` of the latest row of the key (null
     without a row); ``n_estimated`` the tokens of the text plus one for its
@@ -61,34 +63,45 @@ def usable_counts(documents: DataFrame, tokens: DataFrame, factor: float = 3.0,
     ``factor`` of the estimate; ``n_used`` is the recorded count where usable,
     else the estimate; ``blank`` texts have an estimate of 0 and keep any
     positive recorded count.  Documents with a null key have no recorded count.
+    A key without a document has a null ``doc_id`` and estimate; its recorded
+    count is usable from 1 to ``MOST``, else ``n_used`` is null.
     """
     counted = count_tokens(unclash(documents, ["doc_id", "shard_idx", "doc_idx", "source", "lang", "text"]), ["doc_id", "shard_idx", "doc_idx", "source", "lang"], **tokenizer)
     newest = latest(tokens, ["shard_idx", "doc_idx"], "annotated_at", ["token_count"])
-    joined = counted.join(newest, ["shard_idx", "doc_idx"], "left")
+    joined = counted.join(newest, ["shard_idx", "doc_idx"], "full" if every_key else "left")
     recorded, estimate = F.col("token_count").cast("bigint"), F.col("n_tokens") + F.when(F.col("n_tokens") > 0, 1).otherwise(0)
-    usable = F.coalesce((recorded >= 1) & ((estimate == 0) | ((recorded <= factor * estimate) & (recorded * factor >= estimate))), F.lit(False))
-    return joined.select("doc_id", "shard_idx", "doc_idx", "source", "lang", recorded.alias("n_recorded"), estimate.alias("n_estimated"), usable.alias("usable"), (F.col("n_tokens") == 0).alias("blank"), F.when(usable, recorded).otherwise(estimate).alias("n_used"))
+    textless = F.col("n_tokens").isNull() & (recorded <= MOST)
+    usable = F.coalesce((recorded >= 1) & (textless | (estimate == 0) | ((recorded <= factor * estimate) & (recorded * factor >= estimate))), F.lit(False))
+    return joined.select("doc_id", "shard_idx", "doc_idx", "source", "lang", recorded.alias("n_recorded"), estimate.alias("n_estimated"), usable.alias("usable"), F.coalesce(F.col("n_tokens") == 0, F.lit(True)).alias("blank"), F.when(usable, recorded).otherwise(estimate).alias("n_used"))
 
 
 def token_budget(counts: DataFrame, topics: DataFrame, formats: DataFrame) -> DataFrame:
-    """Tokens and documents by source, language, topic and format, of those and of each alone.
-
-    ``dimension`` is source, lang, topic or format; ``slice`` its value,
-    ``(unknown)`` for null or out-of-range ones.  Sources and languages are
-    compared without case, outer blanks and regional suffix.  A hot slice is
-    pre-aggregated in each task before the shuffle.
+    """Tokens and documents by source, language, topic and format, of those together and of each alone.
+
+    ``dimension`` is source, lang, topic or format, and ``slice`` its value,
+    ``(unknown)`` for null or out-of-range ones; for the four together
+    ``dimension`` is ``source, lang, topic, format`` and ``slice`` the JSON array
+    of their values.  Sources and languages are compared without case, outer
+    blanks and regional suffix.  ``uncounted_documents`` have neither a usable
+    count nor a text to estimate it from and add no tokens.  The four together
+    are summed first, a hot slice pre-aggregated in each task before the
+    shuffle; each alone is summed from those.
     """
     keys = ["shard_idx", "doc_idx"]
     wide = counts.join(latest(topics, keys, "annotated_at", ["topic"]), keys, "left").join(latest(formats, keys, "annotated_at", ["format"]), keys, "left")
+    known = lambda c: F.coalesce(c, F.lit("(unknown)"))
     label = lambda c: F.when(F.col(c).between(0, 23), F.col(c).cast("string"))
+    by = {
+        "source": F.nullif(F.lower(F.trim("source")), F.lit("")),
+        "lang": F.nullif(F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]+)", 1), F.lit("")),
+        "topic": label("topic"),
+        "format": label("format"),
+    }
+    estimated, uncounted = ~F.col("usable") & F.col("n_used").isNotNull(), F.col("n_used").isNull()
+    sums = {"documents": F.lit(1), "tokens": F.coalesce("n_used", F.lit(0)), "estimated_documents": estimated.cast("bigint"), "uncounted_documents": uncounted.cast("bigint")}
+    together = wide.select(*[known(c).alias(n) for n, c in by.items()], *[c.alias(n) for n, c in sums.items()]).groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
     slices = F.array(
-        F.struct(F.lit("source").alias("dimension"), F.nullif(F.lower(F.trim("source")), F.lit("")).alias("slice")),
-        F.struct(F.lit("lang").alias("dimension"), F.nullif(F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]+)", 1), F.lit("")).alias("slice")),
-        F.struct(F.lit("topic").alias("dimension"), label("topic").alias("slice")),
-        F.struct(F.lit("format").alias("dimension"), label("format").alias("slice")),
-    )
-    return (
-        wide.select("n_used", "usable", F.inline(slices))
-        .groupBy("dimension", F.coalesce("slice", F.lit("(unknown)")).alias("slice"))
-        .agg(F.count("*").alias("documents"), F.sum("n_used").alias("tokens"), F.sum((~F.col("usable")).cast("bigint")).alias("estimated_documents"))
+        *[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("slice")) for n in by],
+        F.struct(F.lit(", ".join(by)).alias("dimension"), F.to_json(F.array(*by)).alias("slice")),
     )
+    return together.select(*sums, F.inline(slices)).groupBy("dimension", "slice").agg(*[F.sum(n).alias(n) for n in sums])

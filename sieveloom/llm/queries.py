@@ -21,8 +21,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 # 1: token budget -----------------------------------------------------------
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.usable_counts(_documents(spark, d), table(spark, d, "tokens"))
+def _counts(spark: SparkSession, d: str, every_key: bool = False) -> DataFrame:
+    return encoding.usable_counts(_documents(spark, d), table(spark, d, "tokens"), every_key=every_key)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_totals(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.token_budget(_counts(spark, d), table(spark, d, "domains_topics"), table(spark, d, "domains_formats"))
+    return encoding.token_budget(_counts(spark, d, every_key=True), table(spark, d, "domains_topics"), table(spark, d, "domains_formats"))
 
 
 # 2: subjects ---------------------------------------------------------------

@@ -74,6 +74,22 @@ def test_usable_counts(spark):
     assert t["source", "s"] == 6 * n == t["topic", "(unknown)"]
 
 
+def test_budget_of_keys_without_text(spark):
+    d = docs(spark, [PROSE, None])
+    n = len([i for p in split(PROSE) for i in encoder()[p]]) + 1
+    tok = spark.createDataFrame([(0, 0, 9 * n), (7, 1, 100), (7, 2, 50), (7, 3, -1), (7, 4, None), (7, 5, 2_000_000)], "shard_idx int, doc_idx int, token_count int").withColumn("annotated_at", F.timestamp_seconds(F.lit(1)))
+    lab = spark.createDataFrame([(0, 0, 3, 4), (7, 1, 3, 4), (7, 2, 5, 99), (7, 3, 5, 4)], "shard_idx int, doc_idx int, topic int, format int").withColumn("annotated_at", F.timestamp_seconds(F.lit(1)))
+    counts = encoding.usable_counts(d, tok, every_key=True)
+    assert counts.count() == 7 and encoding.usable_counts(d, tok).count() == 2
+    got = {(x["dimension"], x["slice"]): (x["documents"], x["tokens"], x["estimated_documents"], x["uncounted_documents"]) for x in encoding.token_budget(counts, lab, lab).collect()}
+    assert got["topic", "3"] == (2, n + 100, 1, 0) and got["topic", "5"] == (2, 50, 0, 1) and got["topic", "(unknown)"] == (3, 0, 1, 2)
+    assert got["source", "(unknown)"] == (5, 150, 0, 3) == got["lang", "(unknown)"] and got["source", "s"] == (2, n, 2, 0)
+    four = "source, lang, topic, format"
+    assert got[four, '["s","en","3","4"]'] == (1, n, 1, 0) and got[four, '["(unknown)","(unknown)","3","4"]'] == (1, 100, 0, 0)
+    for i in range(4):
+        assert sum(v[i] for k, v in got.items() if k[0] == four) == sum(v[i] for k, v in got.items() if k[0] == "lang")
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, 1, 5, 1), (1, 1, None, 2), (1, None, 3, 3), (2, 1, 7, None)], "a int, b int, v int, t int").withColumn("t", F.timestamp_seconds("t"))
     assert sorted(map(tuple, latest(df, ["a", "b"], "t", ["v"]).collect())) == [(1, 1, None), (2, 1, 7)]
