@@ -26,8 +26,8 @@ from .common import arrow_map, unclash
 RANK, OVERSAMPLE, POWERS = 160, 16, 2
 #: Words of a window and its step, least cosine of a candidate, words of the vectors that a window needs, share of the passage reproduced, words of a passage at which a match counts as more than a phrase.
 WINDOW, STEP, COSINE, LEAST_TOLD, SHARE, LEAST_WORDS = 60, 20, 0.25, 6, 0.5, 6
-#: Words in more than this share of documents are left out of the vectors; smaller corpora count as SMALL documents here.
-COMMON, SMALL = 0.2, 100
+#: Least weight of a word: words of copies that fill much of the corpus, or of every text, still count.
+LEAST_WEIGHT = 0.1
 
 _HYPHEN = re.compile(r"(\w)[-‐­]\s*\n\s*(\w)")
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
@@ -165,9 +165,7 @@ def build(documents: DataFrame, items: DataFrame) -> tuple[Index, dict[int, list
     passages = [list(p) for p in by]
     vocabulary = {w for p in passages for w in p}
     df, n = document_frequencies(documents, vocabulary)
-    # in a corpus of a few documents any word may be in most of them
-    most = COMMON * max(n, SMALL)
-    rarity = {w: max(float(np.log((n + 2) / (df.get(w, 0) + 1))), 0.1) if df.get(w, 0) <= most else 0.0 for w in vocabulary}
+    rarity = {w: max(float(np.log((n + 2) / (df.get(w, 0) + 1))), LEAST_WEIGHT) for w in vocabulary}
     index = Index(passages, rarity)
     if passages and index.number:
         decompose(documents.sparkSession, index)

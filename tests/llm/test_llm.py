@@ -234,6 +234,18 @@ def test_leakage(spark):
     assert leakage.find(d.limit(0), *leakage.build(d.limit(0), items)).count() == 0
 
 
+def test_leakage_copied_into_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"{a}{b}" for a in ("tor", "mi", "zan", "pol", "gar", "lus") for b in ("vek", "dra", "nim", "sol", "pek", "hul", "bor", "tal")]
+    other = [f"w{i}x" for i in range(500)]
+    passage = [" ".join(rng.choice(vocab, 50)) for _ in range(3)]
+    items = spark.createDataFrame([(i, p, "Which one?", ["a", "b"], 1) for i, p in enumerate(passage)], "item_id bigint, passage string, question string, completions array<string>, gold int")
+    w = passage[0].split()
+    texts = [PROSE + passage[0]] * 70 + [PROSE + " ".join(w[:30]) + " " + PROSE, PROSE + passage[1]] + [PROSE + " ".join(rng.choice(other, 60)) for _ in range(138)]
+    d = docs(spark, texts)
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find(d, *leakage.build(d, items)).collect()} == {(i, 0) for i in range(71)} | {(71, 1)}
+
+
 def test_decomposition(spark):
     rng = np.random.default_rng(1)
     passages = [[f"w{i}" for i in rng.integers(0, 80, 30)] for _ in range(20)]
