@@ -144,17 +144,98 @@ def hierarchical(df: DataFrame, key: str, vector: str, ks: list[int], iterations
     return levels
 
 
-def split(df: DataFrame, key: str, vector: str, cluster: str, parts: int, iterations: int = 10) -> DataFrame:
-    """Each cluster cut into up to ``parts`` by k-means of its own, over the cluster's rows wherever they are; empty parts vanish."""
-    ids = [r[0] for r in df.select(cluster).distinct().orderBy(cluster).collect()]
-    out = None
-    for c in ids:
-        rows = df.where(F.col(cluster) == c)
-        n = rows.select(vector).distinct().limit(parts).count()
-        centroids, _ = kmeans(rows, vector, min(parts, n), iterations)
-        one = assign(rows, key, vector, [centroids]).select(key, F.lit(c).alias(cluster), F.col("cluster_0").alias("part"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def split(df: DataFrame, key: str, vector: str, cluster: str, parts: int, iterations: int = 10, rng: int = 305) -> DataFrame:
+    """``(key, cluster, part)``: each cluster cut into up to ``parts`` by k-means of its own; empty parts vanish.
+
+    All clusters share the passes: draws, potentials and sums are keyed by
+    cluster and part, so their number adds no job and a large one spans many
+    tasks.  Seeds are drawn as in ``seed``, by the hash of the vector, whatever
+    the partitions.
+    """
+    kinds = dict(df.dtypes)
+    trials = 2 + int(np.log(max(parts, 2)))
+    rows = df.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v"))
+    data = rows.select("c", "v", F.xxhash64("v").alias("h")).persist()
+
+    def groups(f):
+        return ((c, at, _matrix(f["v"].iloc[at])) for c, at in f.groupby("c").indices.items())
+
+    def draw(own: dict, count: int, salt: int) -> dict:
+        """Per cluster up to ``count`` rows in proportion to their squared distance from its centroids, of all alike where it has none."""
+
+        def run(frames):
+            best: dict = {}
+            for f in frames:
+                for c, at, x in groups(f):
+                    d2 = nearest(x, own[c])[1] if own else np.ones(len(x))
+                    for t in range(count):
+                        race = np.where(d2 > 0, -np.log(f[f"u{t}"].to_numpy()[at]) / np.maximum(d2, 1e-300), np.inf)
+                        i = int(race.argmin())
+                        if race[i] < best.get((c, t), (np.inf,))[0]:
+                            best[c, t] = race[i], x[i]
+            if best:
+                yield pd.DataFrame([(c, t, r, v) for (c, t), (r, v) in best.items()], columns=["c", "t", "race", "v"])
+
+        drawn = [((F.shiftrightunsigned(F.xxhash64("h", F.lit(salt + t)), 11) + 0.5) / 2.0**53).alias(f"u{t}") for t in range(count)]
+        found: dict = {}
+        for r in data.select("c", "v", *drawn).mapInPandas(run, f"c {kinds[cluster]}, t int, race double, v array<double>").groupBy("c", "t").agg(F.min_by("v", "race").alias("v")).orderBy("c", "t").collect():
+            found.setdefault(r["c"], []).append(np.array(r["v"]))
+        return found
+
+    def potentials(own: dict, drawn: dict) -> dict:
+        def run(frames):
+            total = {c: np.zeros(len(b)) for c, b in drawn.items()}
+            for f in frames:
+                for c, _, x in groups(f):
+                    if c in drawn:
+                        d2 = nearest(x, own[c])[1]
+                        total[c] += [np.minimum(d2, ((x - b) ** 2).sum(axis=1)).sum() for b in drawn[c]]
+            yield pd.DataFrame([(c, i, p) for c, ps in total.items() for i, p in enumerate(ps)], columns=["c", "i", "p"])
+
+        return {(r["c"], r["i"]): r["p"] for r in data.select("c", "v").mapInPandas(run, f"c {kinds[cluster]}, i int, p double").groupBy("c", "i").agg(F.sum("p").alias("p")).collect()}
+
+    def step_of_all(own: dict) -> dict:
+        def run(frames):
+            total: dict = {}
+            for f in frames:
+                for c, _, x in groups(f):
+                    sums = total.setdefault(c, np.zeros((len(own[c]), x.shape[1] + 1)))
+                    np.add.at(sums, nearest(x, own[c])[0], np.column_stack([x, np.ones(len(x))]))
+            if total:
+                yield pd.DataFrame([(c, p, s) for c, sums in total.items() for p, s in enumerate(sums) if s[-1]], columns=["c", "p", "s"])
+
+        sums = data.select("c", "v").mapInPandas(run, f"c {kinds[cluster]}, p int, s array<double>")
+        added = sums.select("c", "p", F.posexplode("s").alias("i", "v")).groupBy("c", "p", "i").agg(F.sum("v").alias("v")).groupBy("c", "p").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+        new = {c: x.copy() for c, x in own.items()}
+        for r in added.collect():  # a row per cluster and part
+            s = np.array([x["v"] for x in r["s"]])
+            new[r["c"]][r["p"]] = s[:-1] / s[-1]
+        return new
+
+    try:
+        own = {c: np.stack(v) for c, v in draw({}, 1, rng).items()}
+        for n in range(1, parts if own else 1):
+            drawn = draw(own, trials, n * 1000 + rng)
+            if not drawn:  # no cluster has a row off its centroids
+                break
+            p = potentials(own, drawn)
+            for c, b in drawn.items():
+                own[c] = np.vstack([own[c], b[min(range(len(b)), key=lambda i: (p[c, i], i))]])
+        for _ in range(iterations if own else 0):
+            before, own = own, step_of_all(own)
+            if all(np.array_equal(before[c], own[c]) for c in own):
+                break
+    finally:
+        data.unpersist()
+
+    def run(frames):
+        for f in frames:
+            part = np.zeros(len(f), np.int32)
+            for c, at, x in groups(f):
+                part[at] = nearest(x, own[c])[0]
+            yield pd.DataFrame({key: f["k"], cluster: f["c"], "part": part})
+
+    return rows.mapInPandas(run, f"`{key}` {kinds[key]}, `{cluster}` {kinds[cluster]}, part int")
 
 
 def invert(members: DataFrame, cluster: str, key: str) -> DataFrame:

@@ -80,8 +80,8 @@ def clu_07_hierarchical_kmeans(spark, d):
 
 @query()
 def clu_08_split_clusters(spark, d):
-    e = table(spark, d, "embeddings").where("label < 3")
-    return clustering.split(e, "vec_id", "embedding", "label", 2, 2).groupBy("label", "part").agg(F.count("*").alias("size"))
+    e = table(spark, d, "embeddings")
+    return clustering.split(e, "vec_id", "embedding", "label", 2).groupBy("label", "part").agg(F.count("*").alias("size"))
 
 
 @query()

@@ -132,6 +132,26 @@ def test_kmeans(spark):
     assert sorted(r["count"] for r in a) == [40, 40, 40]
 
 
+def test_split(spark):
+    rng = np.random.default_rng(1)
+    blobs = [(c, b, rng.normal((10 * c, 5 * b), 0.1, 2).tolist()) for c in range(5) for b in range(2) for _ in range(20 + 10 * c)]
+    rows = [(i, c, v) for i, (c, _, v) in enumerate(blobs)] + [(900, 7, [1.0, 1.0]), (901, 7, [1.0, 1.0]), (902, 8, [2.0, 1.0]), (903, 8, None), (904, None, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, label int, v array<double>").repartition(5)
+    got = {r["id"]: (r["label"], r["part"]) for r in clustering.split(df, "id", "v", "label", 2).collect()}
+    assert set(got) == set(range(len(blobs))) | {900, 901, 902} and got[900] == got[901]
+    seen = {(c, b): {got[i] for i, x in enumerate(blobs) if x[:2] == (c, b)} for c in range(5) for b in range(2)}
+    assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == 10 and all(x[0] == c for (c, _), p in seen.items() for x in p)
+    assert clustering.split(df.limit(0), "id", "v", "label", 2).count() == 0
+
+
+def test_split_query_covers_every_cluster(spark, data):
+    from sieveloom.plans import registry
+
+    got = {(r["label"], r["part"]): r["size"] for r in registry.QUERIES["clu_08_split_clusters"](spark, data).collect()}
+    want = {r["label"]: r["count"] for r in spark.read.parquet(f"{data}/embeddings.parquet").groupBy("label").count().collect()}
+    assert {c: sum(n for (a, _), n in got.items() if a == c) for c in want} == want and len(got) == 2 * len(want)
+
+
 def test_regression(spark):
     rng = np.random.default_rng(3)
     n = 800
