@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .joins import small
 from .prefix import row_numbers
+from .quantiles import quantiles
 from .selection import repeat_rows, water_fill
 
 
@@ -295,6 +298,46 @@ def generalised_1d(x: np.ndarray, k: int, power: int = 1, iterations: int = 30)
     return np.sort(c)
 
 
+def generalised_1d_by(df: DataFrame, x: str, by: str, k: int, power: int = 1, iterations: int = 30) -> dict:
+    """``generalised_1d`` of each group's values of ``x``, every row counted once, as a dictionary of sorted centres.
+
+    Rows are counted by group and value first.  A step is one pass: the powers
+    of the distances from the nearest centre, summed by group and centre, give
+    the Newton sums at any point, so all five Newton steps follow from them.
+    ``by`` is a grouping of bounded size (topics, formats).
+    """
+    values = df.where(F.col(x).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("g"), F.col(x).cast("double").alias("x"))
+    counted = values.groupBy("g", "x").agg(F.count("*").alias("w")).persist()
+    n = 2 * power
+    try:
+        at: dict = {}
+        for r in quantiles(values, "x", [(i + 0.5) / k for i in range(k)], ["g"]).orderBy("g", "p").collect():
+            at.setdefault(r["g"], []).append(r["value"])
+        centres = {g: np.array(c) for g, c in at.items()}
+        for _ in range(iterations if centres else 0):
+            known = df.sparkSession.createDataFrame([(g, c.tolist()) for g, c in centres.items()], f"g {dict(df.dtypes)[by]}, c array<double>")
+            off = F.transform("c", lambda c: F.abs(F.col("x") - c))
+            near = counted.join(F.broadcast(known), "g").withColumn("j", (F.array_position(off, F.array_min(off)) - 1).cast("int"))  # a row per group
+            d = F.col("x") - F.get("c", F.col("j"))
+            sums = near.groupBy("g", "j").agg(*[F.sum(F.col("w") * F.pow(d, F.lit(float(i)))).alias(f"m{i}") for i in range(n)]).collect()
+            new = {g: c.copy() for g, c in centres.items()}
+            for r in sums:
+                m, s = [r[f"m{i}"] for i in range(n)], 0.0
+                # the sum of w (s - d) ** e from the sums of w d ** i
+                at_s = lambda e: sum(comb(e, i) * (-1) ** i * m[i] * s ** (e - i) for i in range(e + 1))  # noqa: B023, E731
+                for _ in range(5):
+                    curve = n * (n - 1) * at_s(n - 2)
+                    if curve > 1e-12:
+                        s -= n * at_s(n - 1) / curve
+                new[r["g"]][r["j"]] += s
+            before, centres = centres, new
+            if all(np.array_equal(before[g], centres[g]) for g in centres):
+                break
+        return {g: np.sort(c) for g, c in centres.items()}
+    finally:
+        counted.unpersist()
+
+
 def expand(df: DataFrame, n: str = "n_copies") -> DataFrame:
     """A row per copy."""
     return repeat_rows(df, n)

@@ -86,18 +86,9 @@ def clu_08_split_clusters(spark, d):
 
 @query()
 def clu_11_one_dimensional(spark, d):
-    """Cluster centres of each topic's scores under a fourth-power distortion, from a histogram of 256 quantiles per topic."""
-    from ..operators.quantiles import quantiles
-
-    q = quantiles(master(spark, d).where("topic IS NOT NULL"), "dclm_score", [i / 63 for i in range(64)], ["topic"])
-
-    def one(f):
-        import pandas as pd
-
-        c = clustering.generalised_1d(np.sort(f["value"].to_numpy()), 3, 2)
-        return pd.DataFrame({"topic": f["topic"].iloc[0], "centre": range(len(c)), "value": np.round(c, 6)})
-
-    return q.groupBy("topic").applyInPandas(one, "topic int, centre int, value double")
+    """Cluster centres of each topic's scores under a fourth-power distortion, over all its records."""
+    centres = clustering.generalised_1d_by(master(spark, d).where("topic IS NOT NULL"), "dclm_score", "topic", 3, 2)
+    return spark.createDataFrame([(g, i, round(float(v), 6)) for g, c in sorted(centres.items()) for i, v in enumerate(c)], "topic int, centre int, value double")
 
 
 def _frame(spark, d):

@@ -152,6 +152,24 @@ def test_split_query_covers_every_cluster(spark, data):
     assert {c: sum(n for (a, _), n in got.items() if a == c) for c in want} == want and len(got) == 2 * len(want)
 
 
+def test_one_dimensional(spark, data):
+    from sieveloom.plans import registry
+    from sieveloom.schema import master
+
+    rng = np.random.default_rng(6)
+    x = np.round(np.concatenate([rng.normal(0.2, 0.02, 400), rng.normal(0.5, 0.02, 30), rng.normal(0.8, 0.05, 200), [0.0, 1.0]]), 3)
+    df = spark.createDataFrame([(g, float(v)) for g in (1, 2) for v in x[:: 3 * g - 2]] + [(1, None), (None, 0.5), (4, 0.5)], "g int, x double").repartition(5)
+    for power in (1, 2, 3):
+        got = clustering.generalised_1d_by(df, "x", "g", 3, power)
+        assert set(got) == {1, 2, 4}
+        for g in (1, 2):
+            assert got[g] == pytest.approx(clustering.generalised_1d(np.sort(x[:: 3 * g - 2]), 3, power), abs=1e-6)
+    scores = master(spark, data).where("topic IS NOT NULL AND dclm_score IS NOT NULL").select("topic", "dclm_score").toPandas()
+    r = registry.QUERIES["clu_11_one_dimensional"](spark, data).toPandas()
+    for g, f in scores.groupby("topic"):
+        assert r[r["topic"] == g].sort_values("centre")["value"].tolist() == pytest.approx(clustering.generalised_1d(np.sort(f["dclm_score"].to_numpy()), 3, 2), abs=2e-6)
+
+
 def test_regression(spark):
     rng = np.random.default_rng(3)
     n = 800
