@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import STOP_WORDS, WS, count_where, heuristics, ratio, with_features
 from .common import arrow_map, unclash
 
 STATES = ("prose", "list", "table", "junk")
@@ -317,8 +318,25 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def classify(documents: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, kind, prose, list, table, junk, n_lines)`` per document; null kind and shares for null and blank texts. One pass, no shuffle."""
+def statistics(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``doc_id``, ``text`` and the base features of each text but the repetition of n-grams, with ``frac_symbol``, the share of signs that are no letter, mark, number or white space; and the features' names.
+
+    Native expressions; a text without words has its numbers of characters, words and lines only.
+    """
+    staged, features = with_features(unclash(documents, ["doc_id", "text"]), "text", heuristics)
+    features = {n: c for n, c in features.items() if not n.startswith("ngram_rep")}
+    # the same count as the base feature, by a set of words
+    features["stopword_fraction"] = F.when(features["word_count"] > 0, ratio(count_where(F.col("__lower"), lambda w: w.isin(STOP_WORDS)), features["word_count"]))
+    features["frac_symbol"] = F.when(features["word_count"] > 0, ratio(F.regexp_count("text", F.lit(rf"[^\p{{L}}\p{{M}}\p{{N}}{WS}]")), features["char_count"]))
+    return staged.select("doc_id", "text", *[c.alias(n) for n, c in features.items()]), list(features)
+
+
+def classify(documents: DataFrame, model: Model, with_statistics: bool = False) -> DataFrame:
+    """``(doc_id, kind, prose, list, table, junk, n_lines)`` per document; null kind and shares for null and blank texts. One pass, no shuffle.
+
+    ``with_statistics`` adds the ``statistics`` of each text.
+    """
+    documents, extra = statistics(documents) if with_statistics else (documents, [])
 
     def run(data):
         x, lengths, chars, _ = describe(data["text"])
@@ -327,6 +345,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
         out = {"doc_id": data["doc_id"], "kind": kind}
         for i, s in enumerate(STATES):
             out[s] = [float(v) if k else None for v, k in zip(share[:, i], kind)]
-        return out | {"n_lines": [int(n) for n in lengths]}
+        return out | {"n_lines": [int(n) for n in lengths]} | {c: data[c] for c in extra}
 
-    return arrow_map(documents, ["doc_id", "text"], run, "doc_id bigint, kind string, prose double, list double, table double, junk double, n_lines bigint")
+    known = dict(documents.dtypes)
+    return arrow_map(documents, ["doc_id", "text", *extra], run, ", ".join(["doc_id bigint, kind string, prose double, list double, table double, junk double, n_lines bigint", *[f"{c} {known[c]}" for c in extra]]))

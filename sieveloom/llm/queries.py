@@ -88,9 +88,9 @@ c AS (SELECT topic, any_value(n) AS n, CAST(ceil(any_value(keep_fraction) * any_
 
 # 4: kinds of text ----------------------------------------------------------
 
-def _kinds(spark: SparkSession, d: str) -> DataFrame:
+def _kinds(spark: SparkSession, d: str, with_statistics: bool = False) -> DataFrame:
     documents = _documents(spark, d)
-    return lines.classify(documents, lines.fit(documents))
+    return lines.classify(documents, lines.fit(documents), with_statistics)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _kinds(spark, d)
+    return _kinds(spark, d, with_statistics=True)
 
 
 # 5: reading level ----------------------------------------------------------

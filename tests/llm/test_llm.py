@@ -165,6 +165,20 @@ def test_kinds(spark):
     assert lines.classify(d.limit(0), lines.fit(d.limit(0))).count() == 0
 
 
+def test_statistics_beside_the_kinds(spark):
+    texts = [None, "  ", PROSE, "Ab1, cd!\n- the x", LONG + "#" * 1000]
+    d = docs(spark, texts, extra=True)
+    r = {x["doc_id"]: x for x in lines.classify(d, lines.Model(), with_statistics=True).collect()}
+    plain = {x["doc_id"]: x for x in lines.classify(d, lines.Model()).collect()}
+    assert all(r[i][c] == plain[i][c] for i in r for c in plain[i].asDict()) and "frac_alpha" not in plain[2]
+    assert r[0]["mean_word_length"] is None is r[1]["frac_alpha"] and r[0]["char_count"] == 0 and r[1]["char_count"] == 2
+    x = r[3]
+    assert x["mean_word_length"] == 12 / 5 and x["frac_alpha"] == 8 / 16 and x["mean_line_length"] == 7.5 and x["frac_symbol"] == 3 / 16
+    assert x["frac_lines_terminal_punct"] == 1 / 2 and x["stopword_fraction"] == 1 / 5 and r[2]["frac_lines_terminal_punct"] == 1
+    assert r[4]["char_count"] == len(texts[4]) and r[4]["frac_symbol"] == pytest.approx((LONG.count(".") + LONG.count(",") + 1000) / len(texts[4]))
+    assert {"mean_word_length", "frac_alpha", "mean_line_length", "frac_symbol"} <= set(queries.p4_shares(spark, "/root/testdata/sf0.001").columns)
+
+
 def test_posterior_is_forward_backward():
     rng = np.random.default_rng(0)
     x = np.column_stack([rng.integers(0, k, 9) for k in lines.SIZES]).astype(np.int64)
