@@ -213,9 +213,10 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.regexp_count(lower, F.lit("[aeiouyà-öø-ü]+")) - silent, F.lit(1))
 
 
-def readability(text: Column, all_words: Column | None = None, limit: int = 5000) -> dict[str, Column]:
-    """Flesch-Kincaid grade and Flesch reading ease of the first ``limit`` words, as their definition says; NULL without words."""
-    w = F.slice(words(text) if all_words is None else all_words, 1, limit)
+def readability(text: Column, all_words: Column | None = None, limit: int | None = None) -> dict[str, Column]:
+    """Flesch-Kincaid grade and Flesch reading ease, of the first ``limit`` words where given (5000 in the reference); NULL without words."""
+    w = words(text) if all_words is None else all_words
+    w = w if limit is None else F.slice(w, 1, limit)
     s = F.greatest(count_where(w, lambda x: x.rlike(r"[.!?][\"')\]]*$")), F.lit(1))
     syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
     counts = F.struct(F.size(w).alias("n"), s.alias("s"), syl.alias("syl"))

@@ -60,14 +60,15 @@ def keyword_chooser(choices: dict[str, list[str]]) -> Scorer:
     return make
 
 
-def entity_features(docs: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Entities in the first ``limit`` characters by patterns: capitalised spans, dates, quantities.
+def entity_features(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entities by patterns, in the first ``limit`` characters where given (10,000 in the reference): capitalised spans, dates, quantities.
 
     ``entity_density`` are different entities per 1000 words of the whole text,
     ``entity_unique_ratio`` different ones of all mentions (0 without any),
     ``entity_per_sentence`` mentions per sentence.
     """
-    t = F.substring(F.coalesce("text", F.lit("")), 1, limit)
+    t = F.coalesce("text", F.lit(""))
+    t = t if limit is None else F.substring(t, 1, limit)
     span = r"(?<![.!?]\s)(?<!^)\b[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*|\b(?:1[0-9]|20)\d\d\b|\b\d+(?:[.,]\d+)?\s?(?:%|percent|km|kg|dollars|euros|days|years)(?![A-Za-z])"
     x = docs.select("doc_id", "text", F.regexp_extract_all(t, F.lit(span), F.lit(0)).alias("e"))
     n, unique = F.size("e"), F.size(F.array_distinct("e"))

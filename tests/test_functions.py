@@ -77,3 +77,15 @@ def test_hash_uniform_and_moments(spark):
     skew, kurt = x.agg(stats.sample_skewness(F.col("x")), stats.sample_kurtosis(F.col("x"))).first()
     assert skew == pytest.approx(1.8101, abs=1e-4) and kurt == pytest.approx(3.1715, abs=1e-4)
     assert math.isclose(x.limit(1).select(stats.logit(F.lit(0.5))).first()[0], 0.0)
+
+
+def test_readability_and_entities_of_whole_texts(spark):
+    from sieveloom.operators.annotate import entity_features
+
+    head, tail = "cat " * 5000, "Extraordinary considerations notwithstanding. " * 400
+    df = spark.createDataFrame([(1, head), (2, head + tail), (3, "the cat sat. " * 1000 + "We met Ada Lovelace in Paris. " * 5)], "doc_id int, text string")
+    grade = lambda **k: {r["doc_id"]: r["g"] for r in df.select("doc_id", text.readability(F.col("text"), **k)["flesch_kincaid_grade"].alias("g")).collect()}
+    whole, cut = grade(), grade(limit=5000)
+    assert cut[1] == cut[2] == whole[1] and whole[2] != whole[1]
+    e = {r["doc_id"]: r for r in entity_features(df).collect()}
+    assert e[3]["entity_per_sentence"] > 0 and {r["doc_id"]: r for r in entity_features(df, 10_000).collect()}[3]["entity_per_sentence"] == 0
