@@ -4,16 +4,22 @@ The passages are TF-IDF vectors over their own words, weighted by how many
 corpus documents and passages hold a word, and reduced by a randomised
 singular value decomposition whose products are summed over the cluster.
 Windows of a document's words are folded into the latent space; passages of
-sufficient cosine are candidates.  A candidate is checked by the longest common
-subsequence of its words and the document's words around matches, weighted by
-rarity, so that pieces, other layouts and changed words count, and a shared
-style doesn't.
+sufficient cosine are candidates, and nothing else decides which passages are
+looked at.  A candidate is checked by weighted longest common subsequences in
+their local form: stretches of the document and of the passage that run in the
+same order, words weighted by rarity, foreign and missing words at a price.
+The best stretch is taken, then the best in what is left, so that pieces in any
+order, other layouts and changed words count, and a shared style doesn't.
+What counts is the part of a passage that its stretches span; how much of it
+is in common tells a text with changed words from another one, and where that
+is little, the answer decides.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +30,14 @@ from .common import arrow_map, unclash
 
 #: Latent dimensions, those above it in the range finder, power iterations.
 RANK, OVERSAMPLE, POWERS = 160, 16, 2
-#: Words of a window and its step, least cosine of a candidate, words of the vectors that a window needs, share of the passage reproduced, words of a passage at which a match counts as more than a phrase.
-WINDOW, STEP, COSINE, LEAST_TOLD, SHARE, LEAST_WORDS = 60, 20, 0.25, 6, 0.5, 6
+#: Words of a window and its step, least cosine of a candidate, share of the passage that its stretches span, share that is in common word by word, and the one that is enough where the document holds the answer too.
+WINDOW, STEP, COSINE, SHARE, COMMON, REWORDED = 60, 20, 0.2, 0.5, 0.4, 0.3
+#: Prices in mean values of a passage's words: of a changed, a foreign and a missing word; and what a stretch must be worth to be more than a phrase.
+CHANGED, FOREIGN, MISSING, STRETCH = 0.55, 0.3, 0.3, 3.0
+#: Words of a passage in a row that a stretch may leave out or change and still span.
+LEFT_OUT = 6
+#: Passages of one index at most; a longer evaluation list is searched for in blocks, one pass over the documents each.
+BLOCK = 20_000
 #: Least weight of a word: words of copies that fill much of the corpus, or of every text, still count.
 LEAST_WEIGHT = 0.1
 
@@ -88,10 +100,9 @@ class Index:
                 for d in _deletions(w):
                     self.near.setdefault(d, w)
         self.basis = self.latent = None
-        self.trigrams: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
-        for k, p in enumerate(passages):
-            for i in range(len(p) - 2):
-                self.trigrams.setdefault((p[i], p[i + 1], p[i + 2]), []).append((k, i))
+        self.value = [np.array([0.3 + rarity[w] for w in p], np.float32) for p in passages]
+        self.code = {w: i for i, w in enumerate(sorted(rarity))}
+        self.coded = [np.array([self.code[w] for w in p], np.int32) for p in passages]
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Columns and values of a TF-IDF row of length 1."""
@@ -154,7 +165,7 @@ def build(documents: DataFrame, items: DataFrame) -> tuple[Index, dict[int, list
     """The index of the different passages and, per passage, its items with their gold answers.
 
     An item without passage is represented by its question; one without either
-    has no passage.  The evaluation set is a held-out list of fixed size.
+    has no passage.  The list is read to the driver: ``search`` bounds it by blocks.
     """
     text = F.coalesce(F.col("passage"), F.col("question"))
     gold = F.try_element_at("completions", F.col("gold") + 1)
@@ -173,17 +184,15 @@ def build(documents: DataFrame, items: DataFrame) -> tuple[Index, dict[int, list
 
 
 def candidates(index: Index, words: list[str]) -> set[int]:
-    """Passages near a window of the words in the latent space; windows with hardly any word of the passages can't reproduce one."""
+    """Passages near a window of the words in the latent space; a window without a word of the passages has no vector."""
     get = index.number.get
     numbers = [(i, n) for i, w in enumerate(words) if (n := get(w)) is not None]
-    if len(numbers) < LEAST_TOLD:
+    if not numbers:
         return set()
     at, n = np.array(numbers).T
     first = np.arange(0, max(len(words) - STEP, 1), STEP)
     lo, hi = np.searchsorted(at, first), np.searchsorted(at, first + WINDOW)
-    full = hi - lo >= LEAST_TOLD
-    if not full.any():
-        return set()
+    full = hi > lo
     # all windows at once: a row per window and word with its frequency
     lo, size = lo[full], (hi - lo)[full]
     row = np.repeat(np.arange(len(size)), size)
@@ -196,78 +205,120 @@ def candidates(index: Index, words: list[str]) -> set[int]:
     return set(np.unique(np.nonzero(q @ index.latent.T >= COSINE * np.maximum(norm, 1e-9))[1]).tolist())
 
 
-def anchors_of(index: Index, words: list[str]) -> dict[int, list[tuple[int, int]]]:
-    """Per passage: places in the document and in the passage of the three-word runs they share."""
-    found: dict[int, list[tuple[int, int]]] = {}
-    get = index.trigrams.get
-    for i, t in enumerate(zip(words, words[1:], words[2:])):
-        for k, at in get(t, ()):
-            found.setdefault(k, []).append((i, at))
-    return found
-
-
-def reproduced(index: Index, k: int, words: list[str], anchors: list[tuple[int, int]]) -> float:
-    """Share of passage k, by rarity, in the longest common subsequence with the words around its matches, pieces put in the passage's order."""
-    passage = index.passages[k]
-    # pieces: runs of anchors that advance together in document and passage, placed by where they begin in the passage
-    pieces: list[list[int]] = []
-    last = None
-    by_place: dict[int, list[int]] = {}
-    for i, at in anchors:
-        by_place.setdefault(i, []).append(at)
-    for i, ats in by_place.items():
-        at = ats[0] if last is None else min(ats, key=lambda x: abs(x - last[1] - (i - last[0])))
-        if last is not None and i - last[0] <= 12 and abs(at - last[1] - (i - last[0])) <= 8:
-            pieces[-1][1] = i + 3
-        else:
-            pieces.append([i, i + 3, at])
-        last = (i, at)
-    pieces.sort(key=lambda p: p[2])
-    near: list[str] = []
-    for a, b, _ in pieces:
-        near.extend(words[max(0, a - 5) : b + 5])
-    value = {w: 0.3 + index.rarity.get(w, 0.0) for w in set(passage)}
-    total = sum(value[w] for w in passage)
-    # at most the words that stand near the anchors at all can be common
-    there = set(near)
-    if sum(value[w] for w in passage if w in there) < SHARE * total:
-        return 0.0
-    number = {w: i for i, w in enumerate(value)}
-    y = np.array([number.get(w, -1) for w in near])
-    best = np.zeros(len(y) + 1)
-    for w in passage:
-        gain = np.where(y == number[w], best[:-1] + value[w], 0.0)
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], gain))
-    return float(best[-1] / total)
+def stretch(value: np.ndarray, passage: np.ndarray, y: np.ndarray, steps: list | None = None) -> tuple[float, int, int, int, int]:
+    """The best common stretch of a passage and a document's words: its worth, and where it begins and ends in the passage and in the document.
+
+    A row per passage word, all places of the document at once; where a stretch
+    began is carried along.  ``steps`` takes the choices of each row.
+    """
+    n, unit = len(y), float(value.mean())
+    place = np.arange(n + 1, dtype=np.int32)
+    slope = (FOREIGN * unit * place).astype(np.float32)
+    worth = np.zeros(n + 1, np.float32)
+    row0, at0 = np.zeros(n + 1, np.int32), place.copy()
+    best = (0.0, 0, 0, 0, 0)
+    for i, (w, v) in enumerate(zip(passage, value)):
+        hit = y == w
+        # the word is met or changed, else missing, else a stretch begins here
+        ahead = worth[:-1] + np.where(hit, v, np.float32(-CHANGED * unit))
+        new, r0, a0 = worth - np.float32(MISSING * unit), row0.copy(), at0.copy()
+        go = ahead > new[1:]
+        new[1:][go], r0[1:][go], a0[1:][go] = ahead[go], row0[:-1][go], at0[:-1][go]
+        none = new <= 0
+        new[none], r0[none], a0[none] = 0, i + 1, place[none]
+        # foreign words in between: the best place before, less the price of the way
+        lifted = new + slope
+        top = np.maximum.accumulate(lifted)
+        come = np.maximum.accumulate(np.where(lifted == top, place, 0))
+        worth, row0, at0 = top - slope, r0[come], a0[come]
+        if steps is not None:
+            steps.append((come, none, go, hit))
+        k = int(worth.argmax())
+        if worth[k] > best[0]:
+            best = (float(worth[k]), int(row0[k]), i + 1, int(at0[k]), k)
+    return best
+
+
+def _met(value: np.ndarray, passage: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which passage words the best stretch has in common with the document's words, by its way back."""
+    steps: list = []
+    _, _, end, _, j = stretch(value, passage, y, steps)
+    met = np.zeros(len(passage), bool)
+    for i in range(end - 1, -1, -1):
+        come, none, go, hit = steps[i]
+        j = int(come[j])
+        if none[j]:
+            break
+        if j and go[j - 1]:
+            met[i] = hit[j - 1]
+            j -= 1
+    return met
+
+
+def reproduced(index: Index, k: int, coded: np.ndarray) -> tuple[float, float]:
+    """Shares of passage k: by rarity, of the words in common with the document, and by number, of the words its stretches span.
+
+    ``coded`` are the document's words as codes of passage words, -1 for others.
+    """
+    passage, value = index.coded[k], index.value[k]
+    total = float(value.sum())
+    # at most the words that stand in the document at all can be common
+    if value[np.isin(passage, coded)].sum() < REWORDED * total:
+        return 0.0, 0.0
+    least = STRETCH * float(value.mean())
+    y, free, common, span = coded.copy(), [(0, len(passage))], 0.0, 0
+    while free:
+        a, b = free.pop()
+        if value[a:b].sum() < least:
+            continue
+        worth, r0, r1, p0, p1 = stretch(value[a:b], passage[a:b], y)
+        if worth < least:
+            continue
+        a0, b0 = a + r0, a + r1
+        met = np.flatnonzero(_met(value[a0:b0], passage[a0:b0], y[p0:p1])) + a0
+        common += float(value[met].sum())
+        y[p0:p1] = -1
+        # words left out in a row are not spanned, they may stand elsewhere
+        edges = np.concatenate([[a - 1], met, [b]])
+        wide = np.diff(edges) > np.where((edges[:-1] >= a0) & (edges[1:] < b0), LEFT_OUT, 1)
+        free += [(int(edges[e]) + 1, int(edges[e + 1])) for e in np.flatnonzero(wide)]
+        span += b - a - sum(int(edges[e + 1] - edges[e]) - 1 for e in np.flatnonzero(wide))
+    return common / total, span / len(passage)
 
 
 def find(documents: DataFrame, index: Index, items: dict[int, list[tuple[int, str]]]) -> DataFrame:
     """``(doc_id, item_id, share, answered)``: documents and the items they reproduce, with the share of the passage and whether the gold answer stands there too.
 
-    Null, blank and short texts have no row; repeated documents each have
+    An item counts if the stretches span SHARE of its passage or more, and the
+    words in common are COMMON of it, or REWORDED and the answer stands in the
+    document.  Null and blank texts have no row; repeated documents each have
     theirs; items that share a passage are each reported.  One pass, no shuffle.
     """
 
-    known = index.rarity.keys()
+    code = index.code
     read = _Reading(index.near)
 
     def run(data):
         out = {"doc_id": [], "item_id": [], "share": [], "answered": []}
         for i, t in zip(data["doc_id"], data["text"]):
-            if not t or len(words := tokens(t)) < LEAST_WORDS:
+            if not t or not (words := tokens(t)):
                 continue
             near = candidates(index, words)
             if not near:
                 continue
-            words = [w if w in known or len(w) < 5 else read[w] for w in words]
-            anchors = anchors_of(index, words)
-            for k in sorted(near & anchors.keys()):
-                share = reproduced(index, k, words, anchors[k])
-                if share >= SHARE:
-                    joined = " ".join(words)
-                    for item, gold in items[k]:
-                        answer = " ".join(tokens(gold))
-                        for c, v in zip(out.values(), (i, item, share, bool(answer) and answer in joined)):
+            words = [w if w in code or len(w) < 5 else read[w] for w in words]
+            coded = np.array([code.get(w, -1) for w in words], np.int32)
+            joined = None
+            for k in sorted(near):
+                share, span = reproduced(index, k, coded)
+                if share < REWORDED or span < SHARE:
+                    continue
+                joined = joined or " ".join(words)
+                for item, gold in items[k]:
+                    answer = " ".join(tokens(gold))
+                    answered = bool(answer) and answer in joined
+                    if share >= COMMON or answered:
+                        for c, v in zip(out.values(), (i, item, span, answered)):
                             c.append(v)
         return out
 
@@ -276,4 +327,11 @@ def find(documents: DataFrame, index: Index, items: dict[int, list[tuple[int, st
     return arrow_map(documents, ["doc_id", "text"], run, _SCHEMA)
 
 
+def search(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``find`` for every item of a list of any length: items are dealt by their passage into blocks of about ``block``, each with an index of its own."""
+    blocks = -(-items.count() // block) or 1
+    part = F.pmod(F.xxhash64(F.coalesce("passage", "question")), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [find(documents, *build(documents, items.where(part == b) if blocks > 1 else items)) for b in range(blocks)])
+
+
 _SCHEMA = "doc_id bigint, item_id bigint, share double, answered boolean"

@@ -157,8 +157,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 # 8: leakage ----------------------------------------------------------------
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
-    documents = _documents(spark, d)
-    return leakage.find(documents, *leakage.build(documents, table(spark, d, "eval_items")))
+    return leakage.search(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

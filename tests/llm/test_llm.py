@@ -248,6 +248,21 @@ def test_leakage(spark):
     assert leakage.find(d.limit(0), *leakage.build(d.limit(0), items)).count() == 0
 
 
+def test_leakage_of_changed_words(spark):
+    """Passages of which every third or fourth word is another one, in pieces, or with words put in: nine of ten are found, and no other."""
+    rng = np.random.default_rng(6)
+    vocab = [f"{a}{b}" for a in ("tor", "mi", "zan", "pol", "gar", "lus") for b in ("vek", "dra", "nim", "sol", "pek", "hul", "bor", "tal")]
+    passage = [rng.choice(vocab, 50).tolist() for _ in range(20)]
+    items = spark.createDataFrame([(i, " ".join(p), "Which one?", ["a", "b"], 1) for i, p in enumerate(passage)], "item_id bigint, passage string, question string, completions array<string>, gold int")
+    changes = [lambda p: [f"x{i}" if i % 3 == 2 else w for i, w in enumerate(p)], lambda p: [f"x{i}" if i % 4 == 1 else w for i, w in enumerate(p)], lambda p: p[34:] + ["so"] * 9 + p[17:34] + ["so"] * 9 + p[:17], lambda p: [x for w in p for x in (w, "so")], lambda p: p[20:48]]
+    cut = [p[:18] for p in passage]  # below a half
+    texts = [PROSE + " ".join(f(p)) + " " + PROSE for f in changes for p in passage] + [PROSE + " ".join(p) for p in cut]
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.search(docs(spark, texts), items).collect()}
+    want = {(j * 20 + i, i) for j in range(len(changes)) for i in range(20)}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert got == {(r["doc_id"], r["item_id"]) for r in leakage.search(docs(spark, texts), items, block=7).collect()}
+
+
 def test_leakage_copied_into_a_third_of_the_rows(spark):
     rng = np.random.default_rng(8)
     vocab = [f"{a}{b}" for a in ("tor", "mi", "zan", "pol", "gar", "lus") for b in ("vek", "dra", "nim", "sol", "pek", "hul", "bor", "tal")]
