@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -9,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, latest, unclash
+from .common import arrow_map, latest, shared_dir, unclash
 from .tokenizer import TOKENIZER_DIR, VOCABULARY, encoder, split
 
 #: Greatest recorded count that is taken for a key without a text to compare it with.
 MOST = 1_000_000
+#: Pieces at most whose lengths go to every task (a few tens of MB), and pieces that a task counts before it passes them on.
+HOT, HELD = 300_000, 300_000
 #: Unicode white space, for the test of blank texts on the JVM side.
 BLANK = r"^[\s\u0085   -     　\u001C-\u001F]*$"
 
@@ -36,22 +40,83 @@ def encode(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = VOCABU
     return arrow_map(documents, ["doc_id", "text"], run, "doc_id bigint, ids array<int>")
 
 
-def count_tokens(documents: DataFrame, columns: list[str], folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
-    """``columns`` plus ``n_tokens``, exact: piece frequencies of a text joined with the cached lengths of pieces.
+def piece_lengths(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
+    """``(piece, n, length)``: every distinct piece of all texts, its occurrences, and its tokens, each piece tokenised once in the cluster.
 
-    Every distinct piece is tokenised once in a worker, of all texts it sees;
-    the lengths then come from the cache.  A blank or null text has 0 tokens.
+    Tasks combine their occurrences before the shuffle, so a frequent piece
+    costs a row per task; the table is written to the shared folder.
     """
-    from collections import Counter
-
-    def run(data):
+    shared_dir(documents.sparkSession)
+
+    def occur(batches):
+        seen: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+        for batch in batches:
+            for t in batch.column(0):
+                if t := t.as_py():
+                    seen.update(split(t))
+                    if len(seen) > HELD:
+                        yield out()
+                        seen.clear()
+        if seen:
+            yield out()
+
+    def tokenise(data):
         enc = encoder(folder, name)
-        out = {c: data[c] for c in columns}
-        out["n_tokens"] = [sum(len(enc[p]) * k for p, k in Counter(split(t)).items()) if t and not t.isspace() else 0 for t in data["text"]]
-        return out
+        return {**data, "length": [len(enc[p]) for p in data["piece"]]}
+
+    occurring = unclash(documents, ["text"]).mapInArrow(occur, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return arrow_map(occurring, ["piece", "n"], tokenise, "piece string, n bigint, length int").checkpoint()
+
+
+def _frequent(lengths: DataFrame, most: int) -> int:
+    """The least power of two such that at most ``most`` pieces occur so often."""
+    rows = lengths.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().orderBy(F.desc("p")).collect()  # a row per power
+    total, least = 0, 0
+    for r in rows:
+        total += r["count"]
+        if total > most:
+            least = r["p"] + 1
+            break
+    return 2**least
+
 
+def count_tokens(documents: DataFrame, columns: list[str], folder: str = TOKENIZER_DIR, name: str = VOCABULARY, hot: int = HOT) -> DataFrame:
+    """``columns`` plus ``n_tokens``, exact: the piece frequencies of each text joined with the lengths of ``piece_lengths``.
+
+    The lengths of the ``hot`` most frequent pieces at most go to every task, so
+    a frequent piece is never a key of the join; the frequencies of all other
+    pieces are shuffled and joined, those of equal texts once.  A blank or null
+    text has 0 tokens.
+    """
+    lengths = piece_lengths(documents, folder, name)
+    least = _frequent(lengths, hot)
+    known = {r["piece"]: r["length"] for r in lengths.where(F.col("n") >= least).collect()}  # ``hot`` rows at most
     kinds = dict(documents.dtypes)
-    return arrow_map(documents, [*columns, "text"], run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_tokens bigint")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+    def run(data):
+        out = {c: data[c] for c in columns}
+        sums, keys, rest = [], [], []
+        for t in data["text"]:
+            total, rare = 0, []
+            if t and not t.isspace():
+                for p, k in Counter(split(t)).items():
+                    if (n := known.get(p)) is None:
+                        rare.append({"piece": p, "k": k})
+                    else:
+                        total += n * k
+            sums.append(total)
+            keys.append(blake2b(t.encode(), digest_size=16).digest() if rare else None)
+            rest.append(rare)
+        return {**out, "__sum": sums, "__text": keys, "__rare": rest} if least > 1 else {**out, "n_tokens": sums}
+
+    if least == 1:  # no piece is left
+        return arrow_map(documents, [*columns, "text"], run, schema + ", n_tokens bigint")
+    counted = arrow_map(documents, [*columns, "text"], run, schema + ", __sum bigint, __text binary, __rare array<struct<piece: string, k: int>>").checkpoint()
+    rare = counted.where("__text IS NOT NULL").select("__text", F.inline("__rare")).groupBy("__text", "piece").agg(F.first("k").alias("k"))
+    more = rare.join(lengths.where(F.col("n") < least).select("piece", "length"), "piece").groupBy("__text").agg(F.sum(F.col("k") * F.col("length")).alias("__more"))
+    return counted.drop("__rare").join(more, "__text", "left").select(*columns, (F.col("__sum") + F.coalesce("__more", F.lit(0))).alias("n_tokens"))
 
 
 def usable_counts(documents: DataFrame, tokens: DataFrame, factor: float = 3.0, every_key: bool = False, **tokenizer) -> DataFrame:
@@ -75,6 +140,16 @@ def usable_counts(documents: DataFrame, tokens: DataFrame, factor: float = 3.0,
     return joined.select("doc_id", "shard_idx", "doc_idx", "source", "lang", recorded.alias("n_recorded"), estimate.alias("n_estimated"), usable.alias("usable"), F.coalesce(F.col("n_tokens") == 0, F.lit(True)).alias("blank"), F.when(usable, recorded).otherwise(estimate).alias("n_used"))
 
 
+def recorded_counts(tokens: DataFrame) -> DataFrame:
+    """The counts of every key of ``tokens`` as recorded, in the columns of ``usable_counts``: usable from 1 to ``MOST``, without text, source and language."""
+    recorded = F.col("token_count").cast("bigint")
+    usable = F.coalesce(recorded.between(1, MOST), F.lit(False))
+    return latest(tokens, ["shard_idx", "doc_idx"], "annotated_at", ["token_count"]).select(
+        F.lit(None).cast("bigint").alias("doc_id"), "shard_idx", "doc_idx", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"),
+        recorded.alias("n_recorded"), F.lit(None).cast("bigint").alias("n_estimated"), usable.alias("usable"), F.lit(True).alias("blank"), F.when(usable, recorded).alias("n_used"),
+    )
+
+
 def token_budget(counts: DataFrame, topics: DataFrame, formats: DataFrame) -> DataFrame:
     """Tokens and documents by source, language, topic and format, of those together and of each alone.
 

@@ -33,6 +33,22 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_budget(_counts(spark, d, every_key=True), table(spark, d, "domains_topics"), table(spark, d, "domains_formats"))
 
 
+def p1_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The budget of the recorded counts alone, for comparison: what it leaves uncounted has to be estimated."""
+    return encoding.token_budget(encoding.recorded_counts(table(spark, d, "tokens")), table(spark, d, "domains_topics"), table(spark, d, "domains_formats")).where("dimension IN ('topic', 'format')")
+
+
+_RECORDED = """
+WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard_idx, doc_idx ORDER BY annotated_at DESC NULLS LAST) AS rn FROM tokens WHERE shard_idx IS NOT NULL AND doc_idx IS NOT NULL) WHERE rn = 1),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard_idx, doc_idx ORDER BY annotated_at DESC NULLS LAST) AS rn FROM domains_topics) WHERE rn = 1),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard_idx, doc_idx ORDER BY annotated_at DESC NULLS LAST) AS rn FROM domains_formats) WHERE rn = 1),
+w AS (SELECT CASE WHEN token_count BETWEEN 1 AND 1000000 THEN token_count END AS n, topic, format FROM k LEFT JOIN t USING (shard_idx, doc_idx) LEFT JOIN f USING (shard_idx, doc_idx)),
+s AS (SELECT 'topic' AS dimension, CASE WHEN topic BETWEEN 0 AND 23 THEN CAST(topic AS VARCHAR) ELSE '(unknown)' END AS slice, n FROM w
+  UNION ALL SELECT 'format', CASE WHEN format BETWEEN 0 AND 23 THEN CAST(format AS VARCHAR) ELSE '(unknown)' END, n FROM w)
+SELECT dimension, slice, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS estimated_documents, count(*) - count(n) AS uncounted_documents FROM s GROUP BY dimension, slice
+"""
+
+
 # 2: subjects ---------------------------------------------------------------
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -181,9 +197,10 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return by.withColumn("rate", F.col("abusive") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_makeup, p3_found, p3_cutoffs, p4_found, p4_shares, p5_found, p5_profile, p6_found, p6_shares, p6_copies, p7_ids, p8_found, p8_matches, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_recorded, p2_found, p2_makeup, p3_found, p3_cutoffs, p4_found, p4_shares, p5_found, p5_profile, p6_found, p6_shares, p6_copies, p7_ids, p8_found, p8_matches, p9_found, p9_rates)}
 
 SQL = {
+    "p1_recorded": _RECORDED,
     "p3_found": _RECORDS + "SELECT shard_idx, doc_idx FROM r JOIN c USING (topic) WHERE dclm_score >= cutoff",
     "p3_cutoffs": _RECORDS + "SELECT topic, n, k, cutoff, (SELECT count(*) FROM r WHERE r.topic = c.topic AND dclm_score >= cutoff) AS kept FROM c",
     "p6_found": _SIZES + "SELECT mix_id, domain FROM g WHERE size * max_repeats < target",

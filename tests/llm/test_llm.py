@@ -74,6 +74,19 @@ def test_usable_counts(spark):
     assert t["source", "s"] == 6 * n == t["topic", "(unknown)"]
 
 
+@pytest.mark.parametrize("hot", [0, 3, 10**6])
+def test_counts_join_lengths_with_frequencies(spark, hot):
+    """Whatever pieces are frequent, the join gives the tokens of each text; equal texts and ids are each counted."""
+    d = docs(spark, [*EDGE, LONG], extra=True)
+    d = d.unionByName(d)
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in encoding.count_tokens(d, ["doc_id"], hot=hot).collect())
+    n = lambda t: sum(len(encoder()[p]) for p in split(t)) if t and not t.isspace() else 0
+    assert got == sorted([(i, n(t)) for i, t in enumerate([*EDGE, LONG])] * 2)
+    lengths = {r["piece"]: r for r in encoding.piece_lengths(d).collect()}
+    assert lengths[" cat"]["n"] == 2 * (LONG.count(" cat") * 2 + 2) and len(lengths) == len({p for t in EDGE if t for p in split(t)})
+    assert encoding.count_tokens(d.limit(0), ["doc_id"], hot=hot).count() == 0
+
+
 def test_budget_of_keys_without_text(spark):
     d = docs(spark, [PROSE, None])
     n = len([i for p in split(PROSE) for i in encoder()[p]]) + 1
@@ -317,12 +330,12 @@ def test_features_stay_inside_parts():
 # queries on the smallest tables -------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p3_cutoffs", "p6_found"])
+@pytest.mark.parametrize("name", ["p1_recorded", "p3_found", "p3_cutoffs", "p6_found"])
 def test_against_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("master", "tokens", "domains_topics", "keep_targets", "mixtures"):
+    for t in ("master", "tokens", "domains_topics", "domains_formats", "keep_targets", "mixtures"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, data), con.sql(queries.SQL[name])
     cols = sorted(df.columns)
