@@ -31,9 +31,11 @@ from .common import arrow_map, unclash
 #: Latent dimensions, those above it in the range finder, power iterations.
 RANK, OVERSAMPLE, POWERS = 160, 16, 2
 #: Words of a window and its step, least cosine of a candidate, share of the passage that its stretches span, share that is in common word by word, and the one that is enough where the document holds the answer too.
-WINDOW, STEP, COSINE, SHARE, COMMON, REWORDED = 60, 20, 0.2, 0.5, 0.4, 0.3
+WINDOW, STEP, COSINE, SHARE, COMMON, REWORDED = 60, 20, 0.25, 0.5, 0.4, 0.3
 #: Prices in mean values of a passage's words: of a changed, a foreign and a missing word; and what a stretch must be worth to be more than a phrase.
 CHANGED, FOREIGN, MISSING, STRETCH = 0.55, 0.3, 0.3, 3.0
+#: Words of a document that are looked at together, besides the overlap that no stretch exceeds.
+PLACES = 8192
 #: Words of a passage in a row that a stretch may leave out or change and still span.
 LEFT_OUT = 6
 #: Passages of one index at most; a longer evaluation list is searched for in blocks, one pass over the documents each.
@@ -70,20 +72,27 @@ def _deletions(w: str) -> set[str]:
     return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
 
-class _Reading(dict):
-    """A word of five letters or more as the passage word within one letter of it, else itself."""
+class Reading(dict):
+    """A word as its code: of itself if a passage holds it, else, from five letters on, of the passage word within one letter of it, else -1."""
 
-    def __init__(self, near: dict[str, str]):
-        self.near = near
+    def __init__(self, index: Index):
+        self.index = index
+        self.update(index.code)
 
-    def __missing__(self, w: str) -> str:
-        if len(self) > 200_000:
+    def __missing__(self, w: str) -> int:
+        if len(self) > KNOWN + len(self.index.code):
             self.clear()
-        self[w] = found = next((x for d in sorted(_deletions(w)) if (x := self.near.get(d))), w)
+            self.update(self.index.code)
+        near = next((x for d in sorted(_deletions(w)) if (x := self.index.near.get(d))), None) if 4 < len(w) < LONGEST else None
+        self[w] = found = self.index.code[near] if near else -1
         return found
 
-    def __reduce__(self):
-        return _Reading, (self.near,)
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+#: Words whose code a worker keeps, and letters from which on a word is no misspelling.
+KNOWN, LONGEST = 200_000, 40
 
 
 class Index:
@@ -92,21 +101,24 @@ class Index:
     def __init__(self, passages: list[list[str]], rarity: dict[str, float]):
         self.passages = passages
         self.rarity = rarity  # of every passage word
-        self.number = {w: i for i, w in enumerate(sorted(w for w, v in rarity.items() if v > 0))}
-        self.weight = np.array([rarity[w] for w in sorted(self.number)])
+        words = sorted(rarity)
+        self.code = {w: i for i, w in enumerate(words)}
+        self.weight = np.array([rarity[w] for w in words])
         self.near: dict[str, str] = {}
-        for w in sorted(self.number):
+        for w in words:
             if len(w) > 4:
                 for d in _deletions(w):
                     self.near.setdefault(d, w)
         self.basis = self.latent = None
         self.value = [np.array([0.3 + rarity[w] for w in p], np.float32) for p in passages]
-        self.code = {w: i for i, w in enumerate(sorted(rarity))}
         self.coded = [np.array([self.code[w] for w in p], np.int32) for p in passages]
+        self.unit = min((float(v.mean()) for v in self.value), default=1.0)
+        # the most a word can add to a stretch, the last for words of no passage
+        self.gain = np.append(0.3 + self.weight, -FOREIGN * self.unit).astype(np.float32)
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Columns and values of a TF-IDF row of length 1."""
-        ids, n = np.unique([i for w in words if (i := self.number.get(w)) is not None], return_counts=True)
+        ids, n = np.unique([i for w in words if (i := self.code.get(w)) is not None], return_counts=True)
         ids = ids.astype(np.int64)
         v = (1 + np.log(n)) * self.weight[ids] if len(ids) else np.zeros(0)
         return ids, v / (np.sqrt((v**2).sum()) or 1.0)
@@ -119,7 +131,7 @@ def decompose(spark: SparkSession, index: Index, seed: int = 7) -> None:
     every task returns the sum over its rows, of the size of the words times
     the dimensions.
     """
-    n_words, k = len(index.number), min(RANK + OVERSAMPLE, len(index.passages), len(index.number))
+    n_words, k = len(index.code), min(RANK + OVERSAMPLE, len(index.passages), len(index.code))
     block = np.random.default_rng(seed).standard_normal((n_words, k))
     rows = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(index.passages)], "k int, words string").repartition(min(8, len(index.passages)))
 
@@ -178,21 +190,42 @@ def build(documents: DataFrame, items: DataFrame) -> tuple[Index, dict[int, list
     df, n = document_frequencies(documents, vocabulary)
     rarity = {w: max(float(np.log((n + 2) / (df.get(w, 0) + 1))), LEAST_WEIGHT) for w in vocabulary}
     index = Index(passages, rarity)
-    if passages and index.number:
+    if passages and index.code:
         decompose(documents.sparkSession, index)
     return index, dict(enumerate(by.values()))
 
 
-def candidates(index: Index, words: list[str]) -> set[int]:
-    """Passages near a window of the words in the latent space; a window without a word of the passages has no vector."""
-    get = index.number.get
-    numbers = [(i, n) for i, w in enumerate(words) if (n := get(w)) is not None]
-    if not numbers:
+def promising(gain: np.ndarray, least: float) -> np.ndarray:
+    """Begins and ends of the places in which a stretch worth ``least`` can lie, rows of two.
+
+    ``gain`` is the most that each word can add.  The worth of a stretch is
+    positive all along, so it lies inside one run of positive sums.
+    """
+    total = np.cumsum(gain)
+    above = total - np.minimum(np.minimum.accumulate(total), 0)
+    low = np.concatenate([[-1], np.flatnonzero(above <= 0), [len(gain)]])
+    wide = np.flatnonzero(np.diff(low) > 1)
+    if not len(wide):
+        return np.zeros((0, 2), np.int64)
+    begin, end = low[wide] + 1, low[wide + 1]
+    high = np.maximum.reduceat(above, begin)  # between runs nothing is above
+    return np.column_stack([begin, end])[high >= least]
+
+
+def candidates(index: Index, coded: np.ndarray) -> set[int]:
+    """Passages near a window of the words in the latent space; only windows at places that can hold a stretch of some passage."""
+    places = promising(index.gain[coded], STRETCH * index.unit)
+    if not len(places):
         return set()
-    at, n = np.array(numbers).T
-    first = np.arange(0, max(len(words) - STEP, 1), STEP)
+    at = np.flatnonzero(coded >= 0)
+    n = coded[at]
+    first = np.arange(0, max(len(coded) - STEP, 1), STEP)
     lo, hi = np.searchsorted(at, first), np.searchsorted(at, first + WINDOW)
-    full = hi > lo
+    # places are apart and in order: the first that ends after a window's begin must begin before its end
+    next_ = np.searchsorted(places[:, 1], first, "right")
+    full = (hi > lo) & (next_ < len(places)) & (places[np.minimum(next_, len(places) - 1), 0] < first + WINDOW)
+    if not full.any():
+        return set()
     # all windows at once: a row per window and word with its frequency
     lo, size = lo[full], (hi - lo)[full]
     row = np.repeat(np.arange(len(size)), size)
@@ -205,82 +238,83 @@ def candidates(index: Index, words: list[str]) -> set[int]:
     return set(np.unique(np.nonzero(q @ index.latent.T >= COSINE * np.maximum(norm, 1e-9))[1]).tolist())
 
 
-def stretch(value: np.ndarray, passage: np.ndarray, y: np.ndarray, steps: list | None = None) -> tuple[float, int, int, int, int]:
-    """The best common stretch of a passage and a document's words: its worth, and where it begins and ends in the passage and in the document.
+def stretch(value: np.ndarray, passage: np.ndarray, y: np.ndarray, unit: float, least: float) -> tuple[float, np.ndarray, int, int]:
+    """The best common stretch of a passage and a document's words: its worth, the passage words it has in common, and where it begins and ends in the document.
 
-    A row per passage word, all places of the document at once; where a stretch
-    began is carried along.  ``steps`` takes the choices of each row.
+    A row per passage word, all places of the document at once; a stretch worth
+    less than ``least`` isn't followed back.  ``unit`` is the mean value of a
+    word of the passage.
     """
-    n, unit = len(y), float(value.mean())
-    place = np.arange(n + 1, dtype=np.int32)
-    slope = (FOREIGN * unit * place).astype(np.float32)
-    worth = np.zeros(n + 1, np.float32)
-    row0, at0 = np.zeros(n + 1, np.int32), place.copy()
-    best = (0.0, 0, 0, 0, 0)
-    for i, (w, v) in enumerate(zip(passage, value)):
-        hit = y == w
-        # the word is met or changed, else missing, else a stretch begins here
-        ahead = worth[:-1] + np.where(hit, v, np.float32(-CHANGED * unit))
-        new, r0, a0 = worth - np.float32(MISSING * unit), row0.copy(), at0.copy()
-        go = ahead > new[1:]
-        new[1:][go], r0[1:][go], a0[1:][go] = ahead[go], row0[:-1][go], at0[:-1][go]
-        none = new <= 0
-        new[none], r0[none], a0[none] = 0, i + 1, place[none]
+    m, n = len(passage), len(y)
+    slope = (FOREIGN * unit * np.arange(n + 1)).astype(np.float32)
+    step = np.where(passage[:, None] == y, value[:, None], np.float32(-CHANGED * unit)).astype(np.float32)
+    met = np.zeros((m + 1, n + 1), np.float32)  # worth where the last word of the passage was met, changed or missing
+    worth = np.zeros((m + 1, n + 1), np.float32)  # or foreign words came after it
+    missing = np.float32(MISSING * unit)
+    for i in range(m):
+        new = met[i + 1]
+        np.maximum(worth[i] - missing, 0, out=new)
+        np.maximum(new[1:], worth[i, :-1] + step[i], out=new[1:])
         # foreign words in between: the best place before, less the price of the way
-        lifted = new + slope
-        top = np.maximum.accumulate(lifted)
-        come = np.maximum.accumulate(np.where(lifted == top, place, 0))
-        worth, row0, at0 = top - slope, r0[come], a0[come]
-        if steps is not None:
-            steps.append((come, none, go, hit))
-        k = int(worth.argmax())
-        if worth[k] > best[0]:
-            best = (float(worth[k]), int(row0[k]), i + 1, int(at0[k]), k)
-    return best
-
-
-def _met(value: np.ndarray, passage: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which passage words the best stretch has in common with the document's words, by its way back."""
-    steps: list = []
-    _, _, end, _, j = stretch(value, passage, y, steps)
-    met = np.zeros(len(passage), bool)
-    for i in range(end - 1, -1, -1):
-        come, none, go, hit = steps[i]
-        j = int(come[j])
-        if none[j]:
-            break
-        if j and go[j - 1]:
-            met[i] = hit[j - 1]
+        np.subtract(np.maximum.accumulate(new + slope), slope, out=worth[i + 1])
+    end = int(worth.argmax())
+    i, j = divmod(end, n + 1)
+    best, last, tiny = float(worth[i, j]), j, 1e-3 * unit
+    common: list[int] = []
+    while best >= least and i:
+        if met[i, j] < worth[i, j] - tiny:
             j -= 1
-    return met
+        elif met[i, j] <= tiny:
+            break
+        elif j and worth[i - 1, j - 1] + step[i - 1, j - 1] >= met[i, j] - tiny:
+            i, j = i - 1, j - 1
+            if passage[i] == y[j]:
+                common.append(i)
+        else:
+            i -= 1
+    return best, np.array(common[::-1], np.int64), j, last
 
 
 def reproduced(index: Index, k: int, coded: np.ndarray) -> tuple[float, float]:
     """Shares of passage k: by rarity, of the words in common with the document, and by number, of the words its stretches span.
 
     ``coded`` are the document's words as codes of passage words, -1 for others.
+    Both are 0 where the words in common can't reach REWORDED.
     """
     passage, value = index.coded[k], index.value[k]
-    total = float(value.sum())
-    # at most the words that stand in the document at all can be common
-    if value[np.isin(passage, coded)].sum() < REWORDED * total:
-        return 0.0, 0.0
-    least = STRETCH * float(value.mean())
-    y, free, common, span = coded.copy(), [(0, len(passage))], 0.0, 0
+    total, unit = float(value.sum()), float(value.mean())
+    least = STRETCH * unit
+    free, parts, common, span = [(0, len(passage))], [coded], 0.0, 0
     while free:
+        # what the words that are left can add, and where; at most those that stand there at all can be common
+        left = np.concatenate([np.arange(a, b) for a, b in free])
+        gain = np.full(len(index.code) + 1, -FOREIGN * unit, np.float32)  # the last for words of no passage
+        gain[passage[left]] = value[left]
+        # no stretch has more words than ``over``: its worth would be spent on foreign ones
+        over = int(len(passage) * (1 + 1 / FOREIGN)) + 1
+        parts = [y[c : min(c + PLACES + over, b)] for y in parts for a, b in promising(gain[y], least) for c in range(a, b, PLACES)]
+        there = np.zeros(len(index.code) + 1, bool)
+        for y in parts:
+            there[y] = True
+        there[-1] = False
+        if common + value[left][there[passage[left]]].sum() < REWORDED * total:
+            return 0.0, 0.0
+        if not parts:
+            break
         a, b = free.pop()
         if value[a:b].sum() < least:
             continue
-        worth, r0, r1, p0, p1 = stretch(value[a:b], passage[a:b], y)
-        if worth < least:
+        found = [stretch(value[a:b], passage[a:b], y, unit, least) for y in parts]
+        at = max(range(len(found)), key=lambda i: found[i][0])
+        worth, met, p0, p1 = found[at]
+        if worth < least or not len(met):
             continue
-        a0, b0 = a + r0, a + r1
-        met = np.flatnonzero(_met(value[a0:b0], passage[a0:b0], y[p0:p1])) + a0
+        met += a
         common += float(value[met].sum())
-        y[p0:p1] = -1
+        parts[at] = np.where((np.arange(len(parts[at])) < p0) | (np.arange(len(parts[at])) >= p1), parts[at], -1)
         # words left out in a row are not spanned, they may stand elsewhere
         edges = np.concatenate([[a - 1], met, [b]])
-        wide = np.diff(edges) > np.where((edges[:-1] >= a0) & (edges[1:] < b0), LEFT_OUT, 1)
+        wide = np.diff(edges) > np.array([1, *[LEFT_OUT] * (len(met) - 1), 1])
         free += [(int(edges[e]) + 1, int(edges[e + 1])) for e in np.flatnonzero(wide)]
         span += b - a - sum(int(edges[e + 1] - edges[e]) - 1 for e in np.flatnonzero(wide))
     return common / total, span / len(passage)
@@ -295,34 +329,29 @@ def find(documents: DataFrame, index: Index, items: dict[int, list[tuple[int, st
     theirs; items that share a passage are each reported.  One pass, no shuffle.
     """
 
-    code = index.code
-    read = _Reading(index.near)
+    read = Reading(index)
 
     def run(data):
         out = {"doc_id": [], "item_id": [], "share": [], "answered": []}
         for i, t in zip(data["doc_id"], data["text"]):
             if not t or not (words := tokens(t)):
                 continue
-            near = candidates(index, words)
-            if not near:
-                continue
-            words = [w if w in code or len(w) < 5 else read[w] for w in words]
-            coded = np.array([code.get(w, -1) for w in words], np.int32)
+            coded = read.of(words)
             joined = None
-            for k in sorted(near):
+            for k in sorted(candidates(index, coded)):
                 share, span = reproduced(index, k, coded)
                 if share < REWORDED or span < SHARE:
                     continue
-                joined = joined or " ".join(words)
+                joined = joined or f" {' '.join(words)} "
                 for item, gold in items[k]:
                     answer = " ".join(tokens(gold))
-                    answered = bool(answer) and answer in joined
+                    answered = bool(answer) and f" {answer} " in joined
                     if share >= COMMON or answered:
                         for c, v in zip(out.values(), (i, item, span, answered)):
                             c.append(v)
         return out
 
-    if not index.number:
+    if not index.code:
         return documents.sparkSession.createDataFrame([], _SCHEMA)
     return arrow_map(documents, ["doc_id", "text"], run, _SCHEMA)
 
