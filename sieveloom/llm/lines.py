@@ -2,10 +2,12 @@
 
 A text is cut into segments: lines, and within long lines sentences, entries
 or table rows.  Every segment is described by a few discrete statistics; the
-hidden state of a segment is prose, list, table or junk.  Emission tables start
-from stated beliefs and are re-estimated with the transitions by expectation
-maximisation over a bounded sample of documents; posterior state shares,
-weighted by characters, give the kind of a document.
+hidden state of a segment is prose, list, table or junk.  One pass over the
+texts writes the statistics of all segments, a number each.  Emission tables
+start from stated beliefs and are re-estimated with the transitions by
+expectation maximisation over the segments of all documents, whose expected
+counts are summed over the cluster; posterior state shares, weighted by
+characters, give the kind of a document.
 """
 
 from __future__ import annotations
@@ -13,15 +15,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, WS, count_where, heuristics, ratio, with_features
-from .common import arrow_map, unclash
+from .common import arrow_map, shared_dir, unclash
 
 STATES = ("prose", "list", "table", "junk")
-#: Documents at most from which the model is estimated, and rounds of estimation.
-SAMPLE, ROUNDS = 3000, 6
+#: Rounds of estimation at most, and the change of every probability at which it has settled.
+ROUNDS, SETTLED = 6, 0.002
 
 # Frequent function words, used to see whether words form language and which.
 FUNCTION_WORDS = {
@@ -129,6 +132,10 @@ def numbers_free(body: str) -> bool:
     return not _DIGIT.search(body) and ",," not in body and "|" not in body
 
 
+#: Words over which repetition is judged.
+RUN = 40
+
+
 def _observe(s: str, before: str) -> tuple[int, ...]:
     speaker = _SPEAKER.match(s)
     body = s[speaker.end() :] or s if speaker else s
@@ -164,7 +171,9 @@ def _observe(s: str, before: str) -> tuple[int, ...]:
     long_ = 0 if longest < 24 else 1 if longest < 40 else 2
     noise = 1 if n > 2 and latin and len(_CLUSTER.findall(body)) > 0.25 * n else 0
     nav = sum(map(NAVIGATION.__contains__, bare))
-    different = len(set(bare[:40])) / min(n, 40)
+    # runs of RUN words, so that the share of different ones doesn't fall with the length
+    runs = [bare[i : i + RUN] for i in range(0, max(len(bare) - RUN // 4, 1), RUN)]
+    different = sum(len(set(r)) for r in runs) / max(sum(map(len, runs)), 1)
     if nav >= 0.7 * n or s == before or n >= 10 and different < 0.4 and digits < 2:
         again = 2
     else:
@@ -210,63 +219,86 @@ class Model:
         self.index()
 
     def index(self) -> None:
-        self.logs = [np.log(t).T.copy() for t in self.tables]
-
-    def emission(self, x: np.ndarray) -> np.ndarray:
-        """Likelihood of the states for rows of statistics, scaled to 1 at most; no statistic can rule a state out alone."""
-        e = sum(log[x[:, i]] for i, log in enumerate(self.logs))
-        e = np.exp(e - e.max(axis=1, keepdims=True))
-        return np.maximum(e, 1e-6)
-
-    def posterior(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State probabilities of all segments of many documents, and expected moves; forward and backward over all documents at once."""
-        ends = np.cumsum(lengths)
-        first = ends - lengths
-        e = self.emission(x)
+        """The likelihood of the states for every combination of statistics, scaled to 1 at most; no statistic can rule a state out alone."""
+        log = np.zeros((*SIZES, 4))
+        for i, table in enumerate(self.tables):
+            log += np.log(table).T.reshape([-1 if j == i else 1 for j in range(len(SIZES))] + [4])
+        log = log.reshape(-1, 4)
+        self.likelihood = np.maximum(np.exp(log - log.max(axis=1, keepdims=True)), 1e-6).astype(np.float32)
+
+    def posterior(self, codes: np.ndarray, lengths: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
+        """State probabilities of all segments of many documents, none empty; forward and backward over all documents at once.  Expected moves are added to ``moves``."""
+        if not len(codes):
+            return np.zeros((0, 4))
+        # laid out by place in the document, longest documents first: the segments of a step are a slice
         order = np.argsort(-lengths, kind="stable")
-        first, lengths = first[order], lengths[order]
-        forward, scale_to = np.empty_like(e), int(lengths[0]) if len(lengths) else 0
-        moves = np.zeros((4, 4))
-        alive = np.searchsorted(-lengths, -np.arange(1, scale_to + 1), "right")
-        state = None
-        for t in range(scale_to):
-            at = first[: alive[t]] + t
-            state = (self.start if t == 0 else state[: alive[t]] @ self.move) * e[at]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        steps = int(lengths.max())
+        alive = np.searchsorted(-lengths[order], -np.arange(1, steps + 1), "right")
+        begin = np.concatenate([[0], np.cumsum(alive)])
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = begin[place] + np.repeat(rank, lengths)
+        e = np.empty((len(codes), 4))
+        e[at] = self.likelihood[codes]
+        forward, back, state = np.empty_like(e), np.ones_like(e), None
+        for t in range(steps):
+            own = slice(begin[t], begin[t + 1])
+            state = (self.start if t == 0 else state[: alive[t]] @ self.move) * e[own]
             state /= state.sum(axis=1, keepdims=True)
-            forward[at] = state
-        back = np.ones_like(e)
-        for t in range(scale_to - 2, -1, -1):
-            at = first[: alive[t + 1]] + t
-            coming = back[at + 1] * e[at + 1]
-            b = coming @ self.move.T
-            back[at] = b / b.sum(axis=1, keepdims=True)
-            joint = forward[at][:, :, None] * self.move[None] * coming[:, None, :]
-            moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            forward[own] = state
+        for t in range(steps - 2, -1, -1):
+            later = slice(begin[t + 1], begin[t + 2])
+            b = (back[later] * e[later]) @ self.move.T
+            back[begin[t] : begin[t] + alive[t + 1]] = b / b.sum(axis=1, keepdims=True)
+        if moves is not None and steps > 1:
+            # a segment and the next of its document
+            now = np.concatenate([np.arange(begin[t], begin[t] + alive[t + 1]) for t in range(steps - 1)])
+            f, coming = forward[now], back[begin[1] :] * e[begin[1] :]
+            f = f / ((f @ self.move) * coming).sum(axis=1, keepdims=True)
+            moves += self.move * (f.T @ coming)
         post = forward * back
-        return post / post.sum(axis=1, keepdims=True), moves
-
-    def estimate(self, x: np.ndarray, lengths: np.ndarray) -> None:
-        """One round of expectation maximisation; a share ``BELIEF`` of the beliefs stays, more for states met in fewer than ``PRIOR`` segments."""
-        post, moves = self.posterior(x, lengths)
-        first = np.cumsum(lengths) - lengths
-        prior = beliefs()
-        for i, table in enumerate(prior):
-            counts = np.stack([np.bincount(x[:, i], weights=post[:, s], minlength=table.shape[1]) for s in range(4)])
+        return (post / post.sum(axis=1, keepdims=True))[at]
+
+    def expected(self, documents) -> np.ndarray:
+        """Expected counts under the model as one row: by statistic, value and state, of first segments, of moves, and the documents; of ``documents`` in batches ``(codes, lengths)``."""
+        by_code, first, moves, n = np.zeros((len(self.likelihood), 4)), np.zeros(4), np.zeros((4, 4)), 0
+        for codes, lengths in documents:
+            post = self.posterior(codes, lengths, moves)
+            met, at = np.unique(codes, return_inverse=True)
+            by_code[met] += np.stack([np.bincount(at, weights=post[:, s], minlength=len(met)) for s in range(4)], axis=1)
+            first += post[np.cumsum(lengths) - lengths].sum(axis=0)
+            n += len(lengths)
+        grid = by_code.reshape(*SIZES, 4)
+        sums = [grid.sum(axis=tuple(j for j in range(len(SIZES)) if j != i)).T.ravel() for i in range(len(SIZES))]
+        return np.concatenate([*sums, first, moves.ravel(), [float(n)]])
+
+    def estimate(self, expected: np.ndarray) -> float:
+        """Probabilities from expected counts, and their greatest change; a share ``BELIEF`` of the beliefs stays, more for states met in fewer than ``PRIOR`` segments."""
+        before = np.concatenate([*[t.ravel() for t in self.tables], self.start, self.move.ravel()])
+        done = 0
+        for i, table in enumerate(beliefs()):
+            counts = expected[done : done + table.size].reshape(table.shape)
+            done += table.size
             found = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
             weight = np.minimum(counts.sum(axis=1, keepdims=True) / PRIOR, 1) * (1 - BELIEF)
             self.tables[i] = weight * found + (1 - weight) * table
-        self.start = (post[first].sum(axis=0) + 20 * np.array([0.82, 0.07, 0.05, 0.06])) / (len(first) + 20)
-        moves += 50 * (np.eye(4) * 0.86 + 0.035)
+        self.start = (expected[done : done + 4] + 20 * np.array([0.82, 0.07, 0.05, 0.06])) / (expected[-1] + 20)
+        moves = expected[done + 4 : done + 20].reshape(4, 4) + 50 * (np.eye(4) * 0.86 + 0.035)
         self.move = moves / moves.sum(axis=1, keepdims=True)
         self.index()
+        return float(np.abs(np.concatenate([*[t.ravel() for t in self.tables], self.start, self.move.ravel()]) - before).max())
 
 
 #: Share of the beliefs in the estimated tables, and segments of a state from which on it is no more.
 BELIEF, PRIOR = 0.3, 1000.0
 
 
+_STRIDES = np.array([int(np.prod(SIZES[i + 1 :])) for i in range(len(SIZES))])
+
+
 def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-    """Statistics, documents' numbers of segments, segments' characters, and the segments."""
+    """Statistics of segments, those of one as a number, documents' numbers of segments, segments' characters, and the segments."""
     rows, lengths, chars, parts = [], [], [], []
     for t in texts:
         own = segments(t) if t else []
@@ -274,15 +306,16 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         chars.extend(map(len, own))
         lengths.append(len(own))
         parts.append(own)
-    return np.array(rows, np.int16).reshape(-1, len(SIZES)), np.array(lengths, np.int64), np.array(chars, np.float64), parts
+    codes = np.array(rows, np.int32).reshape(-1, len(SIZES)) @ _STRIDES
+    return codes.astype(np.int32), np.array(lengths, np.int64), np.array(chars, np.int32), parts
 
 
-def shares(model: Model, x: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
+def shares(model: Model, codes: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """Character-weighted state shares per document; without segments all 0."""
     out = np.zeros((len(lengths), 4))
     has = lengths > 0
     if has.any():
-        post, _ = model.posterior(x, lengths[has])
+        post = model.posterior(codes, lengths[has])
         first = (np.cumsum(lengths) - lengths)[has]
         total = np.add.reduceat(post * chars[:, None], first, axis=0)
         out[has] = total / total.sum(axis=1, keepdims=True)
@@ -295,29 +328,66 @@ def kinds(share: np.ndarray) -> list[str | None]:
     return [STATES[b] if s.any() else None for b, s in zip(best, share)]
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model estimated on ``sample`` documents with text, those of least hash of ``doc_id``.
+def observed(documents: DataFrame, columns: list[str], also=None, schema: str = "") -> DataFrame:
+    """``columns`` with the statistics and the characters of each document's segments, four bytes each, written to the shared folder.
 
-    Their statistics (not texts) come to the driver: a few numbers per segment
-    of a bounded number of documents.
+    ``also(data, segments)`` gives further columns of ``schema`` from the same
+    pass, so that a text is cut and looked at once, whatever is asked of it.
     """
-    chosen = unclash(documents, ["doc_id", "text"]).where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    shared_dir(documents.sparkSession)
 
     def run(data):
-        x, lengths, _, _ = describe(data["text"])
-        return {"n": [len(lengths)], "lengths": [lengths.astype(np.int32).tobytes()], "x": [x.astype(np.int8).tobytes()]}
+        codes, lengths, chars, parts = describe(data["text"])
+        ends = np.cumsum(lengths) * 4
+        cut = lambda a: [a[e - n * 4 : e] for e, n in zip(ends.tolist(), lengths.tolist())]
+        out = {c: data[c] for c in columns} | (also(data, parts) if also else {})
+        return out | {"__codes": cut(codes.tobytes()), "__chars": cut(chars.tobytes())}
+
+    known = dict(documents.dtypes)
+    kept = ", ".join(f"`{c}` {known[c]}" for c in columns)
+    used = list(dict.fromkeys([*columns, *(["url"] if also and "url" in documents.columns else []), "text"]))
+    return arrow_map(documents, used, run, ", ".join(x for x in (kept, schema, "__codes binary, __chars binary") if x)).checkpoint()
+
 
-    rows = arrow_map(chosen.repartition(6), ["text"], run, "n int, lengths binary, x binary").collect()
+def _join(blobs) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(blobs), np.int32), np.array([len(b) // 4 for b in blobs], np.int64)
+
+
+def estimate(documents: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model estimated from all ``observed`` documents; a round is one pass over their numbers, a task returns one row of expected counts."""
     model = Model()
-    lengths = np.concatenate([np.frombuffer(r["lengths"], np.int32) for r in rows] or [np.zeros(0, np.int32)]).astype(np.int64)
-    x = np.concatenate([np.frombuffer(r["x"], np.int8).reshape(-1, len(SIZES)) for r in rows] or [np.zeros((0, len(SIZES)), np.int8)])
-    lengths = lengths[lengths > 0]
-    if len(lengths):
-        for _ in range(ROUNDS):
-            model.estimate(x, lengths)
+
+    def expect(batches):
+        total = model.expected(_join([b for b in batch.column(0).to_pylist() if b]) for batch in batches)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "n"])
+
+    for _ in range(rounds):
+        rows = documents.select("__codes").mapInArrow(expect, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(sum(SIZES) * 4 + 21)
+        for r in rows:
+            counts[r["i"]] = r["n"]
+        if not counts[-1] or model.estimate(counts) < SETTLED:
+            break
     return model
 
 
+def judged(documents: DataFrame, model: Model) -> DataFrame:
+    """``observed`` documents with ``kind``, the shares of prose, list, table and junk, and ``n_lines`` in place of their numbers; null kind and shares for null and blank texts."""
+    columns = [c for c in documents.columns if not c.startswith("__")]
+
+    def run(data):
+        codes, lengths = _join(data["__codes"])
+        share = shares(model, codes, lengths, _join(data["__chars"])[0])
+        kind = kinds(share)
+        out = {c: data[c] for c in columns} | {"kind": kind}
+        for i, s in enumerate(STATES):
+            out[s] = [float(v) if k else None for v, k in zip(share[:, i], kind)]
+        return out | {"n_lines": lengths.tolist()}
+
+    known = dict(documents.dtypes)
+    return arrow_map(documents, [*columns, "__codes", "__chars"], run, ", ".join([*(f"`{c}` {known[c]}" for c in columns), "kind string, prose double, list double, table double, junk double, n_lines bigint"]))
+
+
 def statistics(documents: DataFrame) -> tuple[DataFrame, list[str]]:
     """``doc_id``, ``text`` and the base features of each text but the repetition of n-grams, with ``frac_symbol``, the share of signs that are no letter, mark, number or white space; and the features' names.
 
@@ -331,21 +401,13 @@ def statistics(documents: DataFrame) -> tuple[DataFrame, list[str]]:
     return staged.select("doc_id", "text", *[c.alias(n) for n, c in features.items()]), list(features)
 
 
-def classify(documents: DataFrame, model: Model, with_statistics: bool = False) -> DataFrame:
-    """``(doc_id, kind, prose, list, table, junk, n_lines)`` per document; null kind and shares for null and blank texts. One pass, no shuffle.
+def classify(documents: DataFrame, with_statistics: bool = False, model: Model | None = None) -> DataFrame:
+    """``(doc_id, kind, prose, list, table, junk, n_lines)`` per document; null kind and shares for null and blank texts.
 
+    Texts are read once; without a ``model`` one is estimated on all of them.
     ``with_statistics`` adds the ``statistics`` of each text.
     """
     documents, extra = statistics(documents) if with_statistics else (documents, [])
-
-    def run(data):
-        x, lengths, chars, _ = describe(data["text"])
-        share = shares(model, x, lengths, chars)
-        kind = kinds(share)
-        out = {"doc_id": data["doc_id"], "kind": kind}
-        for i, s in enumerate(STATES):
-            out[s] = [float(v) if k else None for v, k in zip(share[:, i], kind)]
-        return out | {"n_lines": [int(n) for n in lengths]} | {c: data[c] for c in extra}
-
-    known = dict(documents.dtypes)
-    return arrow_map(documents, ["doc_id", "text", *extra], run, ", ".join(["doc_id bigint, kind string, prose double, list double, table double, junk double, n_lines bigint", *[f"{c} {known[c]}" for c in extra]]))
+    seen = observed(documents, ["doc_id", *extra])
+    found = judged(seen, model or estimate(seen))
+    return found.select("doc_id", "kind", *STATES, "n_lines", *extra)

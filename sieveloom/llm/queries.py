@@ -55,7 +55,7 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
     documents = _documents(spark, d)
     names = {r["name"]: r["code"] for r in table(spark, d, "taxonomy").where("kind = 'topic'").collect()}
     rules = subjects.mine(subjects.labelled(documents, table(spark, d, "labels"), table(spark, d, "domains_topics")), names)
-    return subjects.assign(documents, rules, lines.fit(documents))
+    return subjects.assign(documents, rules)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +105,7 @@ c AS (SELECT topic, any_value(n) AS n, CAST(ceil(any_value(keep_fraction) * any_
 # 4: kinds of text ----------------------------------------------------------
 
 def _kinds(spark: SparkSession, d: str, with_statistics: bool = False) -> DataFrame:
-    documents = _documents(spark, d)
-    return lines.classify(documents, lines.fit(documents), with_statistics)
+    return lines.classify(_documents(spark, d), with_statistics)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +120,7 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     documents = _documents(spark, d)
-    return reading.levels(documents, reading.fit(documents, table(spark, d, "labels")), lines.fit(documents))
+    return reading.levels(documents, reading.fit(documents, table(spark, d, "labels")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

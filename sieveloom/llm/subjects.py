@@ -197,22 +197,17 @@ def subjects_of(rules: Rules, parts: list[str], url: str | None) -> list[tuple[i
     return [(max(e, key=lambda t: (e[t], -t)), 0.0)] if e else []
 
 
-def assign(documents: DataFrame, rules: Rules, kinds: lines.Model) -> DataFrame:
+def assign(documents: DataFrame, rules: Rules, kinds: lines.Model | None = None) -> DataFrame:
     """``(doc_id, topic, share, rank)``: one row per document and subject.
 
     Null and blank texts, junk, and texts without a subject whose url names
-    none have no row.  One pass, no shuffle.
+    none have no row.  Texts are read once: their subjects are found in the
+    pass that describes their lines, and those of junk are dropped after.
     """
 
-    def run(data):
-        out = {"doc_id": [], "topic": [], "share": [], "rank": []}
-        x, lengths, chars, parts = lines.describe(data["text"])
-        kind = lines.kinds(lines.shares(kinds, x, lengths, chars))
-        for i, own, url, k in zip(data["doc_id"], parts, data["url"], kind):
-            if k is not None and k != "junk":
-                for r, (topic, share) in enumerate(subjects_of(rules, own, url)):
-                    for c, v in zip(out.values(), (i, topic, share, r + 1)):
-                        c.append(v)
-        return out
+    def subjects(data, parts):
+        return {"subjects": [[{"topic": t, "share": s} for t, s in subjects_of(rules, own, url)] if own else [] for own, url in zip(parts, data["url"])]}
 
-    return arrow_map(documents, ["doc_id", "url", "text"], run, "doc_id bigint, topic int, share double, rank int")
+    seen = lines.observed(unclash(documents, ["doc_id", "url", "text"]), ["doc_id"], subjects, "subjects array<struct<topic: int, share: double>>")
+    told = lines.judged(seen, kinds or lines.estimate(seen)).where("kind <> 'junk'")
+    return told.select("doc_id", F.posexplode("subjects").alias("rank", "s")).select("doc_id", "s.topic", "s.share", (F.col("rank") + 1).alias("rank"))

@@ -171,18 +171,18 @@ JUNK = "Home | Menu | Contact | Log in | Share | Top | Sitemap | FAQ | Next | Pr
 
 def test_kinds(spark):
     d = docs(spark, [*EDGE, LIST, TABLE, JUNK, "cheap shoes online " * 40, "- This is a sentence about the house.\n- And this is another one, as it was said."], extra=True)
-    r = {x["doc_id"]: x["kind"] for x in lines.classify(d, lines.fit(d)).collect()}
+    r = {x["doc_id"]: x["kind"] for x in lines.classify(d).collect()}
     assert [r[i] for i in range(3)] == [None] * 3
     assert [r[i] for i in (4, 5, 6)] == ["prose"] * 3
     assert [r[i] for i in range(10, 15)] == ["list", "table", "junk", "junk", "prose"]
-    assert lines.classify(d.limit(0), lines.fit(d.limit(0))).count() == 0
+    assert lines.classify(d.limit(0)).count() == 0
 
 
 def test_statistics_beside_the_kinds(spark):
     texts = [None, "  ", PROSE, "Ab1, cd!\n- the x", LONG + "#" * 1000]
     d = docs(spark, texts, extra=True)
-    r = {x["doc_id"]: x for x in lines.classify(d, lines.Model(), with_statistics=True).collect()}
-    plain = {x["doc_id"]: x for x in lines.classify(d, lines.Model()).collect()}
+    r = {x["doc_id"]: x for x in lines.classify(d, True, lines.Model()).collect()}
+    plain = {x["doc_id"]: x for x in lines.classify(d, model=lines.Model()).collect()}
     assert all(r[i][c] == plain[i][c] for i in r for c in plain[i].asDict()) and "frac_alpha" not in plain[2]
     assert r[0]["mean_word_length"] is None is r[1]["frac_alpha"] and r[0]["char_count"] == 0 and r[1]["char_count"] == 2
     x = r[3]
@@ -193,21 +193,42 @@ def test_statistics_beside_the_kinds(spark):
 
 
 def test_posterior_is_forward_backward():
-    rng = np.random.default_rng(0)
-    x = np.column_stack([rng.integers(0, k, 9) for k in lines.SIZES]).astype(np.int64)
-    m = lines.Model()
-    post, moves = m.posterior(x, np.array([4, 0, 5])[[0, 2]])
-    e = m.emission(x)
     import itertools
 
-    for a, n in ((0, 4), (4, 5)):
-        want = np.zeros((n, 4))
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, int(np.prod(lines.SIZES)), 9)
+    m = lines.Model()
+    moves, want_moves = np.zeros((4, 4)), np.zeros((4, 4))
+    lengths = np.array([3, 5, 1])
+    post = m.posterior(codes, lengths, moves)
+    for a, n in ((0, 3), (3, 5), (8, 1)):
+        want, own, total = np.zeros((n, 4)), np.zeros((4, 4)), 0.0
         for path in itertools.product(range(4), repeat=n):
-            p = m.start[path[0]] * np.prod([m.move[i, j] for i, j in zip(path, path[1:])]) * np.prod([e[a + t, s] for t, s in enumerate(path)])
+            p = m.start[path[0]] * np.prod([m.move[i, j] for i, j in zip(path, path[1:])]) * np.prod([m.likelihood[codes[a + t], s] for t, s in enumerate(path)])
+            total += p
             for t, s in enumerate(path):
                 want[t, s] += p
-        assert np.allclose(post[a : a + n], want / want.sum(axis=1, keepdims=True))
-    assert moves.sum() == pytest.approx(3 + 4)
+            for i, j in zip(path, path[1:]):
+                own[i, j] += p
+        assert np.allclose(post[a : a + n], want / total)
+        want_moves += own / total
+    assert np.allclose(moves, want_moves)
+    counts = m.expected([(codes, lengths)])
+    assert counts[-1] == 3 and counts[-21:-17].sum() == pytest.approx(3) and counts[:20].sum() == pytest.approx(9)
+
+
+def test_likelihood_of_statistics():
+    m = lines.Model()
+    x = (4, 0, 1, 2, 3, 1, 0, 2, 1, 2)
+    p = np.prod([t[:, v] for t, v in zip(m.tables, x)], axis=0)
+    assert np.allclose(m.likelihood[np.ravel_multi_index(x, lines.SIZES)], np.maximum(p / p.max(), 1e-6), rtol=1e-5)
+
+
+def test_kinds_are_estimated_on_all_documents(spark):
+    """Expected counts of parts of the corpus add up: the model doesn't depend on the partitions."""
+    d = docs(spark, [*EDGE, LIST, TABLE, JUNK] * 3)
+    one, many = (lines.estimate(lines.observed(d.repartition(n), ["doc_id"]), 2) for n in (1, 5))
+    assert np.allclose(one.move, many.move) and np.allclose(one.likelihood, many.likelihood)
 
 
 # 5: reading level ----------------------------------------------------------
@@ -225,6 +246,30 @@ def test_reading_levels(spark):
     assert reading.fit(d, lab.limit(0)) is None and reading.levels(d, None, lines.Model()).count() == 0
 
 
+def test_latent_levels_follow_the_difficulties():
+    """Simulated Rasch-type texts: documents' levels come back from the words alone, thresholds part the judged ones, words of one level get its steps."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    home = np.arange(60) % 4
+    say = lambda level: [words[i] for i in rng.choice(60, 8, p=np.where(home == level - 1, 3.0, 1.0) / np.where(home == level - 1, 3.0, 1.0).sum())]
+    level = rng.integers(1, 5, 200)
+    texts = [[say(v if rng.random() < 0.8 else rng.integers(1, 5)) for _ in range(20)] for v in level]
+    counts, sentences = np.zeros((60, 4)), np.zeros(4)
+    for t, v in zip(texts[:100], level):
+        sentences[v - 1] += len(t)
+        for s in t:
+            for w in set(s):
+                counts[words.index(w), v - 1] += 1
+    m = reading.Difficulties(words, counts, sentences, 8 * sentences.sum())
+    assert (m.rate.argmax(axis=1) == home).mean() > 0.9
+    flat, doc = reading._flat(texts)
+    place, shares, _ = reading.latent(m, flat, doc, 200)
+    cuts = reading.thresholds(place[:100], level[:100])
+    assert (np.searchsorted(cuts, place[100:]) + 1 == level[100:]).mean() > 0.9 and np.allclose(shares.sum(axis=1), 1)
+    assert reading.latent(m, [], np.zeros(0, np.int64), 1)[0] == pytest.approx(2.5)
+    assert reading.thresholds(np.array([1.0, 2.0]), np.array([1, 1])).tolist() == [np.inf] * 3
+
+
 # 2: subjects ---------------------------------------------------------------
 
 
@@ -293,7 +338,7 @@ def test_decomposition(spark):
     passages = [[f"w{i}" for i in rng.integers(0, 80, 30)] for _ in range(20)]
     index = leakage.Index(passages, {f"w{i}": 1.0 + i / 80 for i in range(80)})
     leakage.decompose(spark, index)
-    a = np.zeros((20, len(index.number)))
+    a = np.zeros((20, len(index.code)))
     for k, p in enumerate(passages):
         ids, v = index.vector(p)
         a[k, ids] = v
