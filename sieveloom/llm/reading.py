@@ -1,13 +1,15 @@
 """Reading level of English prose by a Rasch-style model of word occurrence.
 
-A word occurs in a sentence of level l with the log odds ``d - b[w, l]``: a
-parameter d of the sentence (how much it says, its length against the mean)
-less the difficulty of meeting the word at that level.  A document mixes
-sentences of several levels in unknown proportions.  Levels of sentences,
-proportions of documents and difficulties of words are estimated in turn:
-given difficulties every sentence gets level probabilities, bound to the
-document's judged level where there is one; given these the occurrences of all
-words are summed over the cluster and the difficulties follow.
+A document has a latent level on a continuous scale, and the sentences of a
+document are of levels scattered around it (a rating scale: the log odds of a
+level fall with its distance).  A word has a difficulty, the log odds against
+meeting it in a sentence, and steps by which it is met more or less readily
+from one level to the next, drawn towards none.  Document levels and
+difficulties are estimated in turn: given the words every sentence gets level
+probabilities and every document its latent level, bound to its judged level
+where there is one; given these the occurrences of all words are summed over
+the cluster and difficulties and steps follow, until they settle.  Thresholds
+on the latent scale, set by the judged documents, give the reading level.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from . import lines
 from .common import arrow_map, shared_dir, unclash
 
 LEVELS = 4
-#: Judged rows at most (those of least hash), words at most, turns of the alternation, and the share of a judged document's text taken to be of its level.
-LABELLED, VOCABULARY, TURNS, BOUND = 10_000, 60_000, 2, 0.7
+#: Judged rows at most (those of least hash), turns of the alternation at most, and the mean change of the words' log odds, by occurrence, at which it has settled.
+LABELLED, TURNS, SETTLED = 10_000, 8, 0.02
+#: Fall of the log odds of a sentence's level with its distance from the document's, that of a judged document's level from the judged one, and deviation of a word's steps from none.
+SCATTER, BOUND, STEP = 1.0, 1.0, 2.0
+#: The latent scale, and rounds between the sentences of a document and its level.
+SCALE, ROUNDS = np.linspace(0.5, 4.5, 33), 5
 #: Words separated by white space that a text needs for a level.
 LEAST_WORDS = 60
 
@@ -42,30 +48,39 @@ def is_english(words: list[str]) -> bool:
     return en > other
 
 
+def _rating() -> np.ndarray:
+    """Log probability of a sentence's level (column) in a document of a latent level (row)."""
+    x = -SCATTER * np.abs(np.arange(1, LEVELS + 1) - SCALE[:, None])
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
 class Difficulties:
-    """Word numbers, occurrence difficulties ``b`` (word, level) and the log odds that nothing else occurs."""
-
-    def __init__(self, counts: pd.DataFrame, sentences: np.ndarray, words: np.ndarray):
-        total = sentences.sum()
-        c = counts[[f"c{i}" for i in range(LEVELS)]].to_numpy(float)
-        overall = c.sum(axis=1, keepdims=True) / total
-        p = (c + 1.5 * overall) / (sentences + 1.5)
-        p = np.clip(p, 1e-7, 0.95)
-        self.number = {w: i for i, w in enumerate(counts["word"])}
-        self.b = np.log1p(-p) - np.log(p)
-        self.rest = np.log1p(-p).sum(axis=0)  # of a sentence of mean length
-        self.length = max(words.sum() / total, 1.0)
-        self.prior = sentences / total
-        self.judge = None  # weights from the level shares of a document to its judged level
+    """Word numbers, log rates of occurrence by level (minus difficulty and steps), and the thresholds of the latent scale."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, sentences: np.ndarray, n_words: float):
+        self.number = {w: i for i, w in enumerate(words)}
+        self.rate = _rates(counts, sentences)
+        self.rest = -np.exp(self.rate).sum(axis=0)  # of a sentence of mean length
+        self.length = max(n_words / sentences.sum(), 1.0)
+        self.cuts = np.arange(1, LEVELS) + 0.5
 
     def score(self, numbers: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         """Log probability of each sentence's words at each level, up to a constant."""
-        padded = np.concatenate([-self.b[numbers], np.zeros((1, LEVELS))])
-        sums = np.add.reduceat(padded, np.minimum(first, len(numbers)), axis=0)
-        empty = np.append(first[1:], len(numbers)) == first
-        sums[empty] = 0
-        d = np.log(np.maximum(n_words, 1) / self.length)[:, None]
-        return sums + self.rest * np.exp(d)
+        total = np.concatenate([np.zeros((1, LEVELS)), np.cumsum(self.rate[numbers], axis=0)])
+        return total[np.append(first[1:], len(numbers))] - total[first] + self.rest * (n_words / self.length)[:, None]
+
+
+def _rates(counts: np.ndarray, sentences: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Log rates of words (rows) by level that are likeliest for their occurrences: a difficulty and steps with a normal prior, by Newton's method, all words at once."""
+    base = np.log((counts.sum(axis=1, keepdims=True) + 0.5) / sentences.sum())
+    steps = np.diff(np.eye(LEVELS), axis=0)
+    prior = (steps.T @ steps + 0.05 * np.eye(LEVELS)) / STEP**2
+    off = np.zeros_like(counts)
+    for _ in range(rounds):
+        expected = sentences * np.exp(base + off)
+        curve = expected[:, :, None] * np.eye(LEVELS) + prior
+        off += np.clip(np.linalg.solve(curve, (counts - expected - off @ prior)[:, :, None])[:, :, 0], -1, 1)
+    return base + off
 
 
 def _tokens(parts: list[str]) -> list[list[str]]:
@@ -85,35 +100,36 @@ def _probabilities(log: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _mix(log: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int, rounds: int = 3) -> np.ndarray:
-    """Proportions of the levels in each document's text, by a few rounds between sentences and documents."""
-    share = np.full((n_docs, LEVELS), 1 / LEVELS)
-    for _ in range(rounds):
-        p = _probabilities(log + np.log(share[doc])) * weight[:, None]
-        share = np.stack([np.bincount(doc, weights=p[:, i], minlength=n_docs) for i in range(LEVELS)], axis=1) + 1e-3
-        share /= share.sum(axis=1, keepdims=True)
-    return share
-
+def latent(model: Difficulties, sentences: list[list[str]], doc: np.ndarray, n_docs: int, judged: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latent level of each document, the level shares of its words, and the level probabilities of its sentences; ``judged`` levels bind the documents'.
 
-def _shares(model: Difficulties, sentences: list[list[str]], doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Per document the level shares of its words and of its sentences, and a constant."""
-    if not sentences:
-        return np.tile(np.append(np.full(2 * LEVELS, 1 / LEVELS), 1.0), (n_docs, 1))
+    A document without sentences lies in the middle of the scale.
+    """
     numbers, first, n_words = _numbered(model, sentences)
-    log = model.score(numbers, first, n_words)
-    by_words = _mix(log, n_words, doc, n_docs)
-    return np.column_stack([by_words, _mix(log, np.ones(len(doc)), doc, n_docs), np.ones(n_docs)])
-
-
-def _calibrate(shares: np.ndarray, level: np.ndarray, rounds: int = 500, step: float = 2.0, decay: float = 1e-4) -> np.ndarray:
-    """Multinomial regression of judged levels on shares: judges call a text by its greater part, with their own sense of what that is."""
-    w = np.zeros((shares.shape[1], LEVELS))
-    w[:LEVELS] = 4 * np.eye(LEVELS)  # the greatest share, before anything is learnt
-    y = np.eye(LEVELS)[level - 1]
-    start = w.copy()
-    for _ in range(rounds):
-        w -= step * (shares.T @ (_probabilities(shares @ w) - y) / len(y) + decay * (w - start))
-    return w
+    log = model.score(numbers, first, n_words) if sentences else np.zeros((0, LEVELS))
+    rating = _rating()
+    prior = -BOUND * np.abs(SCALE - judged[:, None]) if judged is not None else np.zeros((n_docs, len(SCALE)))
+    place, p = _probabilities(prior), log
+    shares = np.full((n_docs, LEVELS), 1 / LEVELS)
+    for _ in range(ROUNDS):
+        p = _probabilities(log + (place @ rating)[doc])
+        shares = np.stack([np.bincount(doc, weights=p[:, i] * n_words, minlength=n_docs) for i in range(LEVELS)], axis=1)
+        place = _probabilities(shares @ rating.T / model.length + prior)
+    total = shares.sum(axis=1, keepdims=True)
+    return place @ SCALE, np.where(total > 0, shares / np.maximum(total, 1e-9), 1 / LEVELS), p
+
+
+def thresholds(levels: np.ndarray, judged: np.ndarray) -> np.ndarray:
+    """Per level but the last the place of the latent scale above which the fewest judgements are on the wrong side, the middle of equal ones."""
+    order = np.argsort(levels, kind="stable")
+    x, y = levels[order], judged[order]
+    between = np.concatenate([[-np.inf], (x[1:] + x[:-1]) / 2, [np.inf]])
+    cuts = []
+    for c in range(1, LEVELS):
+        wrong = np.concatenate([[0], np.cumsum(y > c)]) + (y <= c).sum() - np.concatenate([[0], np.cumsum(y <= c)])
+        best = np.flatnonzero(wrong == wrong.min())
+        cuts.append(between[best[len(best) // 2]])
+    return np.maximum.accumulate(cuts)
 
 
 def judged_sentences(documents: DataFrame, labels: DataFrame, sample: int = LABELLED) -> DataFrame:
@@ -123,39 +139,50 @@ def judged_sentences(documents: DataFrame, labels: DataFrame, sample: int = LABE
     texts = unclash(documents, ["doc_id", "text"]).where("text IS NOT NULL").join(F.broadcast(judged), "doc_id")
 
     def run(data):
-        return {"level": data["level"], "sentences": [[ws for ws in _tokens(lines.segments(t)) if len(ws) > 2] for t in data["text"]]}
+        return {"level": data["level"], "sentences": [_tokens(lines.segments(t)) for t in data["text"]]}
 
     return arrow_map(texts, ["level", "text"], run, "level int, sentences array<array<string>>")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Difficulties | None:
-    """Difficulties from judged documents; None without any."""
+    """Difficulties from judged documents; None without any.
+
+    A turn sums the expected occurrences of all words of the judged documents
+    over the cluster; the words are as many as these bounded texts hold.
+    """
     shared_dir(documents.sparkSession)
     data = judged_sentences(documents, labels, sample).checkpoint()
+    columns = [f"c{i}" for i in range(LEVELS)]
     model = None
     for _ in range(TURNS):
-        counts = data.mapInPandas(_turn(model), "word string, " + ", ".join(f"c{i} double" for i in range(LEVELS)))
-        summed = counts.groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(LEVELS)])
-        # "" counts sentences and " " words; they head the list whatever its bound
-        rows = summed.withColumn("n", F.expr(" + ".join(f"c{i}" for i in range(LEVELS)))).where("n >= 2 OR trim(word) = ''").orderBy(F.expr("trim(word) = ''").desc(), F.desc("n"), "word").limit(VOCABULARY + 2).toPandas()
-        cs = [f"c{i}" for i in range(LEVELS)]
-        special, words = rows[rows.word.str.strip() == ""].set_index("word"), rows[rows.word.str.strip() != ""].reset_index(drop=True)
+        counts = data.mapInPandas(_turn(model), "word string, " + ", ".join(f"{c} double" for c in columns))
+        rows = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("word")
+        # "" counts sentences and " " words
+        special, rows = rows[rows.word.str.strip() == ""].set_index("word"), rows[rows.word.str.strip() != ""]
         if "" not in special.index:
             return None
-        model = Difficulties(words, special.loc[""][cs].to_numpy(float) + 1e-3, special.loc[" "][cs].to_numpy(float))
-
-    def weigh(frames):
+        before = model
+        model = Difficulties(rows.word.tolist(), rows[columns].to_numpy(float), special.loc[""][columns].to_numpy(float) + 1e-3, special.loc[" "].sum())
+        if before is not None:
+            weight = rows[columns].to_numpy(float)
+            if (np.abs(model.rate - before.rate) * weight).sum() < SETTLED * weight.sum():
+                break
+
+    def place(frames):
         for f in frames:
-            parts = [[list(s) for s in own] for own in f["sentences"]]
-            doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            x = _shares(model, [s for p in parts for s in p], doc, len(parts))
-            yield pd.DataFrame({"level": f["level"], "x": list(x)})
+            yield pd.DataFrame({"level": f["level"], "latent": latent(model, *_flat(f["sentences"]), len(f))[0]})
 
-    rows = data.mapInPandas(weigh, "level int, x array<double>").collect()  # a few numbers for each judged document
-    model.judge = _calibrate(np.array([r["x"] for r in rows]), np.array([r["level"] for r in rows]))
+    rows = data.mapInPandas(place, "level int, latent double").toPandas()  # two numbers for each judged document
+    model.cuts = thresholds(rows.latent.to_numpy(), rows.level.to_numpy())
     return model
 
 
+def _flat(documents) -> tuple[list[list[str]], np.ndarray]:
+    """Sentences of documents in a row, and the document of each."""
+    parts = [[list(s) for s in own] for own in documents]
+    return [s for p in parts for s in p], np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
 def _turn(model: Difficulties | None):
     """Expected occurrences by level of every word in a partition, given the difficulties (at first the judged levels alone)."""
 
@@ -163,53 +190,43 @@ def _turn(model: Difficulties | None):
         sums: dict[str, np.ndarray] = {}
         zero = np.zeros(LEVELS)
         for f in frames:
-            for level, sentences in zip(f["level"], f["sentences"]):
-                sentences = [list(s) for s in sentences]
-                if not sentences:
-                    continue
-                bound = np.full(LEVELS, (1 - BOUND) / (LEVELS - 1))
-                bound[level - 1] = BOUND
-                if model is None:
-                    p = np.tile(bound, (len(sentences), 1))
-                else:
-                    p = _probabilities(model.score(*_numbered(model, sentences)) + np.log(bound))
-                for ws, row in zip(sentences, p):
-                    for w in set(ws):
-                        sums[w] = sums.get(w, zero) + row
-                    sums[""] = sums.get("", zero) + row
-                    sums[" "] = sums.get(" ", zero) + row * len(ws)
-        out = pd.DataFrame([(w, *v) for w, v in sums.items()], columns=["word", *(f"c{i}" for i in range(LEVELS))])
-        yield out
+            sentences, doc = _flat(f["sentences"])
+            judged = f["level"].to_numpy()
+            p = np.exp(-BOUND * np.abs(np.arange(1, LEVELS + 1) - judged[doc][:, None])) if model is None else latent(model, sentences, doc, len(f), judged)[2]
+            for ws, row in zip(sentences, p / p.sum(axis=1, keepdims=True)):
+                for w in set(ws):
+                    sums[w] = sums.get(w, zero) + row
+                sums[""] = sums.get("", zero) + row
+                sums[" "] = sums.get(" ", zero) + row * len(ws)
+        yield pd.DataFrame([(w, *v) for w, v in sums.items()], columns=["word", *(f"c{i}" for i in range(LEVELS))])
 
     return run
 
 
-def levels(documents: DataFrame, model: Difficulties | None, kinds: lines.Model) -> DataFrame:
-    """``(doc_id, reading_level, level_1 .. level_4)`` of English prose of LEAST_WORDS words or more; the shares are of the text's words.
+def levels(documents: DataFrame, model: Difficulties | None, kinds: lines.Model | None = None) -> DataFrame:
+    """``(doc_id, reading_level, latent, level_1 .. level_4)`` of English prose of LEAST_WORDS words or more: the level, its place on the latent scale, and the level shares of the text's words.
 
     Others, among them null and blank texts, lists, tables and junk, have no
-    row; without a model there are no rows at all.  The level is the likeliest
-    judgement of the shares, the lower of equal ones.  One pass, no shuffle.
+    row; without a model there are no rows at all.  Texts are read once: the
+    levels are found in the pass that describes their lines, and those of other
+    kinds than prose are dropped after.
     """
     if model is None:
         return documents.sparkSession.createDataFrame([], _SCHEMA)
 
-    def run(data):
-        chosen = []
-        for i, t in enumerate(data["text"]):
-            if t and len(words := t.lower().split()) >= LEAST_WORDS and is_english(words):
-                chosen.append(i)
-        x, lengths, chars, parts = lines.describe([data["text"][i] for i in chosen])
-        kind = lines.kinds(lines.shares(kinds, x, lengths, chars))
-        chosen, parts = [i for i, k in zip(chosen, kind) if k == "prose"], [p for p, k in zip(parts, kind) if k == "prose"]
-        out = {"doc_id": [data["doc_id"][i] for i in chosen]}
-        sentences = [ws for p in parts for ws in _tokens(p)]
-        doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        share = _shares(model, sentences, doc, len(parts))
-        out["reading_level"] = [int(i) + 1 for i in (share @ model.judge).argmax(axis=1)]
-        return out | {f"level_{i + 1}": share[:, i].tolist() for i in range(LEVELS)}
-
-    return arrow_map(documents, ["doc_id", "text"], run, _SCHEMA)
-
-
-_SCHEMA = "doc_id bigint, reading_level int, " + ", ".join(f"level_{i + 1} double" for i in range(LEVELS))
+    def read(data, parts):
+        chosen = [i for i, t in enumerate(data["text"]) if t and len(words := t.lower().split()) >= LEAST_WORDS and is_english(words)]
+        sentences = [ws for i in chosen for ws in _tokens(parts[i])]
+        doc = np.repeat(np.arange(len(chosen)), [len(parts[i]) for i in chosen])
+        place, share, _ = latent(model, sentences, doc, len(chosen))
+        out: dict = {"reading_level": [None] * len(parts), "latent": [None] * len(parts), "shares": [None] * len(parts)}
+        for i, level, x, own in zip(chosen, np.searchsorted(model.cuts, place).tolist(), place.tolist(), share.tolist()):
+            out["reading_level"][i], out["latent"][i], out["shares"][i] = level + 1, x, own
+        return out
+
+    seen = lines.observed(unclash(documents, ["doc_id", "text"]), ["doc_id"], read, "reading_level int, latent double, shares array<double>")
+    told = lines.judged(seen, kinds or lines.estimate(seen)).where("kind = 'prose' AND reading_level IS NOT NULL")
+    return told.select("doc_id", "reading_level", "latent", *[F.get("shares", F.lit(i)).alias(f"level_{i + 1}") for i in range(LEVELS)])
+
+
+_SCHEMA = "doc_id bigint, reading_level int, latent double, " + ", ".join(f"level_{i + 1} double" for i in range(LEVELS))
