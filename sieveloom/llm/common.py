@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir as shared_dir
+
 #: Characters of text handled at once inside a Python worker; bounds its memory
 #: whatever the Arrow batch holds.
 CHUNK_CHARS = 4_000_000
@@ -18,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir`` or, where unset (tests), a temporary one."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = os.path.join(tempfile.gettempdir(), "sieveloom-checkpoints")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to
+def least_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows at most, those of least hash of ``key`` (repeated and null keys by their order): a sample that every run and layout repeats.
+
+    Rows are counted first, and only hashes below the share that is wanted, with
+    a wide margin, are ordered: a task passes on few rows however many it has.
+    """
+    total = df.count()
+    h = F.xxhash64(key)
+    if total > 2 * n:
+        share = min((n + 8 * n**0.5 + 64) / total, 1.0)
+        df = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(h, key).limit(n)
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:

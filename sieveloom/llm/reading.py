@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lines
-from .common import arrow_map, shared_dir, unclash
+from .common import arrow_map, least_hash, shared_dir, unclash
 
 LEVELS = 4
 #: Judged rows at most (those of least hash), turns of the alternation at most, and the mean change of the words' log odds, by occurrence, at which it has settled.
@@ -39,9 +39,10 @@ _WORD = re.compile(r"[a-zà-ÿ]+")
 
 def is_english(words: list[str]) -> bool:
     """By function words; a text with hardly any of any language counts if its letters are plain."""
-    words = [w for w in words if w[0].isalpha()] or words
     n = {lang: sum(map(ws.__contains__, words)) for lang, ws in lines._LANG.items()}
     en, other = n["en"], max(v for k, v in n.items() if k != "en")
+    if max(en, other) < 0.04 * len(words):
+        words = [w for w in words if w[0].isalpha()] or words
     if max(en, other) < 0.04 * len(words):
         latin = sum(w[0].isascii() and w[0].isalpha() for w in words)
         return latin > 0.7 * len(words) and sum(not w.isascii() for w in words) < 0.03 * len(words)
@@ -135,7 +136,7 @@ def thresholds(levels: np.ndarray, judged: np.ndarray) -> np.ndarray:
 def judged_sentences(documents: DataFrame, labels: DataFrame, sample: int = LABELLED) -> DataFrame:
     """``(level, sentences)`` of documents with a judged level: one per document (the median judgement), ``sample`` at most."""
     judged = labels.where("reading_level BETWEEN 1 AND 4").groupBy("doc_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY reading_level)").cast("int").alias("level"))
-    judged = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    judged = least_hash(judged, "doc_id", sample)
     texts = unclash(documents, ["doc_id", "text"]).where("text IS NOT NULL").join(F.broadcast(judged), "doc_id")
 
     def run(data):
@@ -159,7 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Diff
         rows = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("word")
         # "" counts sentences and " " words
         special, rows = rows[rows.word.str.strip() == ""].set_index("word"), rows[rows.word.str.strip() != ""]
-        if "" not in special.index:
+        if not special.loc[""].sum() if "" in special.index else True:
             return None
         before = model
         model = Difficulties(rows.word.tolist(), rows[columns].to_numpy(float), special.loc[""][columns].to_numpy(float) + 1e-3, special.loc[" "].sum())
@@ -187,18 +188,22 @@ def _turn(model: Difficulties | None):
     """Expected occurrences by level of every word in a partition, given the difficulties (at first the judged levels alone)."""
 
     def run(frames):
-        sums: dict[str, np.ndarray] = {}
-        zero = np.zeros(LEVELS)
+        number: dict[str, int] = {"": 0, " ": 1}
+        sums = np.zeros((2, LEVELS))
         for f in frames:
             sentences, doc = _flat(f["sentences"])
             judged = f["level"].to_numpy()
             p = np.exp(-BOUND * np.abs(np.arange(1, LEVELS + 1) - judged[doc][:, None])) if model is None else latent(model, sentences, doc, len(f), judged)[2]
-            for ws, row in zip(sentences, p / p.sum(axis=1, keepdims=True)):
-                for w in set(ws):
-                    sums[w] = sums.get(w, zero) + row
-                sums[""] = sums.get("", zero) + row
-                sums[" "] = sums.get(" ", zero) + row * len(ws)
-        yield pd.DataFrame([(w, *v) for w, v in sums.items()], columns=["word", *(f"c{i}" for i in range(LEVELS))])
+            p = p / p.sum(axis=1, keepdims=True)
+            n_words = np.array([len(ws) for ws in sentences], np.int64)
+            ids = np.fromiter((number.setdefault(w, len(number)) for ws in sentences for w in ws), np.int64, n_words.sum())
+            # a word counts once in a sentence
+            at, word = np.divmod(np.unique(np.repeat(np.arange(len(sentences)), n_words) * len(number) + ids), len(number))
+            new = np.stack([np.bincount(word, weights=p[at, i], minlength=len(number)) for i in range(LEVELS)], axis=1)
+            new[0], new[1] = p.sum(axis=0), (p * n_words[:, None]).sum(axis=0)
+            new[: len(sums)] += sums
+            sums = new
+        yield pd.DataFrame([(w, *v) for w, v in zip(number, sums)], columns=["word", *(f"c{i}" for i in range(LEVELS))])
 
     return run
 
