@@ -21,12 +21,14 @@ def session(app: str = "sieveloom", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints, shared by all executors: ``spark.checkpoint.dir``; only where unset (tests) a temporary one."""
+    """Folder for checkpoints, shared by all executors: ``spark.checkpoint.dir``; a temporary one only where it is unset and the master local (tests)."""
     import os
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "sieveloom-checkpoints"))
     return found or spark.sparkContext.getCheckpointDir()
 
