@@ -86,9 +86,18 @@ def top_fraction(df: DataFrame, by: list[str], score: str, fraction: float, ties
     return numbered.join(small(sizes), by).where(F.col("__rn") <= F.greatest(F.bround(F.col("__n") * F.lit(float(fraction))), F.lit(least))).drop("__rn", "__n")
 
 
+#: Rows up to which a top-k is gathered in one task; more are numbered where they are.
+GATHERED = 10_000
+
+
+def first_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows of a total order; a small n is a partial top-k per task, a large one is numbered by ranges, so that no task holds it."""
+    return df.orderBy(*order).limit(n) if n <= GATHERED else row_numbers(df, [], order, "__rn").where(F.col("__rn") <= n).drop("__rn")
+
+
 def top_n(df: DataFrame, score: str, n: int, ties: list[Column]) -> DataFrame:
-    """n best rows; a bounded n is a partial top-k per task."""
-    return df.orderBy(F.col(score).desc_nulls_last(), *ties).limit(n)
+    """n best rows."""
+    return first_rows(df, n, [F.col(score).desc_nulls_last(), *ties])
 
 
 def floor_then_fill(df: DataFrame, by: list[str], score: str, n: int, floor: float, ties: list[Column]) -> DataFrame:
@@ -144,8 +153,15 @@ def bernoulli(df: DataFrame, key: Column, fraction: float, seed: int) -> DataFra
 
 
 def random_rows(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
-    """n rows by hash order: a sample without replacement that every run repeats."""
-    return df.orderBy(hash_uniform(key, seed), key).limit(n)
+    """n rows by hash order: a sample without replacement that every run repeats.
+
+    Rows are counted first; only those whose hash is below the share wanted,
+    with a wide margin, are ordered at all.
+    """
+    total, u = df.count(), hash_uniform(key, seed)
+    if total > 2 * n:
+        df = df.where(u < (n + 8 * n**0.5 + 64) / total)
+    return first_rows(df, n, [u.asc(), key.asc()])
 
 
 def stratified_split(df: DataFrame, by: str, key: Column, test: float, seed: int) -> DataFrame:

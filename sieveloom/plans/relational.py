@@ -18,9 +18,9 @@ K = KEY
 # projections and filters ----------------------------------------------------
 
 
-@query("SELECT __shard_idx AS shard_idx, __doc_idx AS doc_idx, pc_arc_easy AS pc_arc, CAST(topic AS BIGINT) AS topic_code, 1 AS one, CAST(fwedu_rounded AS FLOAT) AS fwedu FROM master")
+@query("SELECT __shard_idx AS shard_idx, __doc_idx AS doc_idx, CASE WHEN CAST(pc_arc_easy AS VARCHAR) = 'nan' THEN NULL ELSE pc_arc_easy END AS pc_arc, CAST(topic AS BIGINT) AS topic_code, 1 AS one, CAST(CASE WHEN fwedu_rounded >= 0 THEN fwedu_rounded END AS FLOAT) AS fwedu FROM master")
 def proj_01_rename_cast_constant(spark, d):
-    m = table(spark, d, "master")
+    m = minus_one_to_null(nan_to_null(table(spark, d, "master")))
     return m.select(F.col("__shard_idx").alias("shard_idx"), F.col("__doc_idx").alias("doc_idx"), F.col("pc_arc_easy").alias("pc_arc"), F.col("topic").cast("bigint").alias("topic_code"), F.lit(1).alias("one"), F.col("fwedu_rounded").cast("float").alias("fwedu"))
 
 

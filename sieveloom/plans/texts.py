@@ -242,9 +242,9 @@ def src_14_conversations(spark, d):
     return t.select("user_id", F.array_join(F.transform("turns", lambda s: s["event_type"]), "\n").alias("conversation"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE shard_idx < 3")
+@query("SELECT doc_id, lang FROM documents")
 def src_06_projected_scan(spark, d):
-    return table(spark, d, "documents").where("shard_idx < 3").select("doc_id", "lang")
+    return table(spark, d, "documents").select("doc_id", "lang")
 
 
 @query("SELECT shard_idx, doc_idx, topic AS label FROM domains_topics UNION ALL SELECT shard_idx, doc_idx, format FROM domains_formats")
