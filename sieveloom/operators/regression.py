@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import hash_uniform
-from .quantiles import quantiles
 
 
 @dataclass
@@ -58,14 +57,17 @@ def gram(df: DataFrame, make, columns: list[str], size: int) -> tuple[np.ndarray
             n += len(z)
         yield pd.DataFrame({"i": range(size + 1), "v": [*total, np.array([n] + [0.0] * (size - 1))]})
 
+    def added(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": f["i"].iloc[:1], "v": [np.sum(np.stack(f["v"].to_list()), axis=0)]})
+
     parts = df.select(*columns).mapInPandas(run, "i int, v array<double>")
-    rows = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     out, n = np.zeros((size, size)), 0
-    for r in rows:
+    # a row of the matrix comes back as one array
+    for r in parts.groupBy("i").applyInPandas(added, "i int, v array<double>").collect():
         if r["i"] == size:
-            n = int(r["v"]) if r["j"] == 0 else n
+            n = int(r["v"][0]) if size else 0
         else:
-            out[r["i"], r["j"]] = r["v"]
+            out[r["i"]] = r["v"]
     return out, n
 
 
@@ -120,27 +122,145 @@ def r2(df: DataFrame, design: Design, target: str) -> float:
     return 1 - (yy[0, 0] - (b.T @ xy)[0, 0]) / sst if sst > 1e-12 else float("nan")
 
 
-def gibbs(df: DataFrame, design: Design, targets: list[str], chains: int = 4, draws: int = 500, burn: int = 200, prior_sd: float = 10.0, seed: int = 305) -> list[tuple]:
-    """(chain, draw, parameter, value) of a matrix-normal regression with inverse-Wishart noise; every step works on the Gram matrix."""
+@dataclass
+class Posterior:
+    """Draws as (chain, draw, parameter, value), and mean and deviation of the coefficients by term and target."""
+
+    draws: list[tuple[int, int, str, float]]
+    coefficients: list[tuple[str, str, float, float]]
+
+
+#: Prior deviations of the blocks of coefficients; label columns not named here have that of a label.
+PRIOR_SD = {"intercept": 10.0, "numbers": 1.0, "label": 0.5}
+
+
+def _definite(m: np.ndarray) -> np.ndarray:
+    m = (m + m.T) / 2
+    least = np.linalg.eigvalsh(m)[0]
+    return m + np.eye(len(m)) * max(1e-8 - least, 0.0)
+
+
+def gibbs(df: DataFrame, design: Design, targets: list[str], chains: int = 4, draws: int = 500, burn: int = 200, thin: int = 1, prior_sd: dict[str, float] = PRIOR_SD, seed: int = 305) -> Posterior:
+    """Posterior of a matrix-normal regression with inverse-Wishart noise; one pass over the data, every step works on the Gram matrix.
+
+    A block of coefficients (intercept, numbers, each label column) has its own
+    prior deviation, in units of the noise.  Of every ``thin``-th draw after
+    ``burn`` the noise covariance and the variance that each block explains are
+    kept: of the numbers the quadratic form of their covariance, of a label
+    column the variance of its levels' effects by their share of rows.
+    """
     design.fit(df)
     xx, xy, yy, n = _moments(df, design, targets)
     p, q = xy.shape
-    cov = np.linalg.inv(xx + np.eye(p) / prior_sd**2)
-    mean, left, out = cov @ xy, np.linalg.cholesky(cov), []
+    first, blocks, sds = 1 + len(design.numbers), {}, [prior_sd["intercept"], *[prior_sd["numbers"]] * len(design.numbers)]
+    for c in design.labels:
+        blocks[c] = slice(first, first := first + len(design.levels[c]) - 1)
+        sds += [prior_sd.get(c, prior_sd["label"])] * (len(design.levels[c]) - 1)
+    ridge_ = 1.0 / np.array(sds) ** 2
+    cov = np.linalg.inv(_definite(xx + np.diag(ridge_)))
+    mean, left = cov @ xy, np.linalg.cholesky(_definite(cov))
+    at = slice(1, 1 + len(design.numbers))
+    number_cov = xx[at, at] / max(n, 1) - np.outer(xx[0, at], xx[0, at]) / max(n, 1) ** 2
+    out, kept, total, square = [], 0, np.zeros((p, q)), np.zeros((p, q))
+    start = _definite((yy - mean.T @ xy - xy.T @ mean + mean.T @ xx @ mean + np.eye(q)) / max(n - q, 1))
     for c in range(chains):
-        rng = np.random.default_rng([seed, c])
-        sigma = np.eye(q)
-        for t in range(burn + draws):
+        rng, sigma = np.random.default_rng([seed, c]), start
+        for t in range(burn + draws * thin):
             beta = mean + left @ rng.standard_normal((p, q)) @ np.linalg.cholesky(sigma).T
-            scatter = yy - beta.T @ xy - xy.T @ beta + beta.T @ xx @ beta + np.eye(q)
+            scatter = _definite(yy - beta.T @ xy - xy.T @ beta + beta.T @ xx @ beta + (beta * ridge_[:, None]).T @ beta + np.eye(q))
             # Bartlett: an inverse-Wishart draw from a triangular one
-            a = np.tril(rng.standard_normal((q, q)), -1) + np.diag(np.sqrt(rng.chisquare(n + q + 2 - np.arange(q))))
-            half = np.linalg.cholesky(np.linalg.inv(scatter)) @ a
-            sigma = np.linalg.inv(half @ half.T)
-            if t >= burn:
-                out += [(c, t - burn, f"{term}|{y}", beta[i, j]) for i, term in enumerate(design.terms) for j, y in enumerate(targets)]
-                out += [(c, t - burn, f"sigma|{y}", sigma[j, j]) for j, y in enumerate(targets)]
-    return out
+            a = np.tril(rng.standard_normal((q, q)), -1) + np.diag(np.sqrt(rng.chisquare(n + p + q + 2 - np.arange(q))))
+            half = np.linalg.cholesky(_definite(np.linalg.inv(scatter))) @ a
+            sigma = _definite(np.linalg.inv(half @ half.T))
+            if t < burn or (t - burn) % thin:
+                continue
+            kept, new = kept + 1, beta - total
+            total += new / kept
+            square += new * (beta - total)
+            explained = {"numbers": np.einsum("pk,pq,qk->k", beta[at], number_cov, beta[at])}
+            for name, own in blocks.items():
+                share = np.diag(xx)[own] / max(n, 1)  # the first level has no effect
+                explained[name] = share @ beta[own] ** 2 - (share @ beta[own]) ** 2
+            d = (t - burn) // thin
+            out += [(c, d, f"variance {name}|{y}", max(float(v[j]), 0.0)) for name, v in explained.items() for j, y in enumerate(targets)]
+            out += [(c, d, f"sigma|{y}|{z}", float(sigma[j, k])) for j, y in enumerate(targets) for k, z in enumerate(targets) if j <= k]
+    sd = np.sqrt(square / max(kept - 1, 1))
+    return Posterior(out, [(term, y, float(total[i, j]), float(sd[i, j])) for i, term in enumerate(design.terms) for j, y in enumerate(targets)])
+
+
+@dataclass
+class Quality:
+    """A latent quality: its regression on the design, and intercepts, loadings and noise of the scores."""
+
+    terms: list[str]
+    gamma: np.ndarray
+    alpha: np.ndarray
+    loading: np.ndarray
+    noise: np.ndarray
+    history: list[float]
+
+
+def latent_quality(df: DataFrame, design: Design, targets: list[str], ridge_: float = 1.0, iterations: int = 200, least_noise: float = 1e-3, least_loading: float | None = 0.05, tol: float = 1e-6) -> Quality:
+    """One latent factor of standardised scores whose prior mean is a ridge regression on the design, by expectation maximisation.
+
+    The posterior mean is linear in design and scores, so every sum of a round
+    follows from their Gram matrix: one pass over the data.  Loadings are kept
+    at ``least_loading`` or more, or free if None; the factor is oriented to a
+    positive mean loading; stops when the log likelihood moves by less than
+    ``tol * (1 + |likelihood|)`` after the fourth round.
+    """
+    design.fit(df)
+    xx, xy, yy, n = _moments(df, design, targets)
+    k, p = len(targets), len(xx)
+    # scores in units of their deviations: the design's first column is 1
+    mu = xy[0] / max(n, 1)
+    scale = np.sqrt(np.maximum(np.diag(yy) / max(n, 1) - mu**2, 1e-16))
+    turn = np.eye(p + k)
+    turn[p:, p:] = np.diag(1 / scale)
+    turn[0, p:] = -mu / scale
+    g = turn.T @ np.block([[xx, xy], [xy.T, yy]]) @ turn
+    zz, zy = g[:p, :p], g[:p, p:]
+
+    def regress(moment):
+        penalty = ridge_ * np.eye(p)
+        penalty[0, 0] = 0
+        return np.linalg.solve(zz + penalty + 1e-9 * np.eye(p), moment)
+
+    def measure(first, cross, second):
+        """Intercepts, loadings and noise from the sums of the factor, of it with the scores, and of its square."""
+        both = np.linalg.solve(np.array([[n, first], [first, second]]), np.stack([zy[0], cross]))
+        a, w = both[0], both[1] if least_loading is None else np.maximum(both[1], least_loading)
+        rest = np.diag(g)[p:] - 2 * a * zy[0] - 2 * w * cross + n * a**2 + 2 * a * w * first + w**2 * second
+        return a, w, np.maximum(rest / n, least_noise)
+
+    # at first the mean of the scores, standardised
+    c = np.concatenate([np.zeros(p), np.full(k, 1 / k)])
+    c /= max(np.sqrt(max(c @ g @ c / n, 1e-16)), 1e-8)
+    gamma = regress(g[:p] @ c)
+    c = np.concatenate([gamma, np.zeros(k)])
+    alpha, w, psi = measure(g[0] @ c, g[p:] @ c, c @ g @ c + n)
+    history: list[float] = []
+
+    def posterior():
+        v = 1.0 / (1.0 + (w**2 / psi).sum())
+        c = np.concatenate([gamma, w / psi]) * v
+        c[0] -= v * (alpha * w / psi).sum()
+        return c, v
+
+    for it in range(iterations):
+        c, v = posterior()
+        alpha, w, psi = measure(g[0] @ c, g[p:] @ c, n * v + c @ g @ c)
+        if w.mean() < 0:
+            gamma, w = -gamma, -w
+        c, v = posterior()
+        gamma = regress(g[:p] @ c)
+        away = np.hstack([-np.outer(w, gamma), np.eye(k)])
+        away[:, 0] -= alpha
+        cov = np.diag(psi) + np.outer(w, w)
+        history.append(-0.5 * (n * (k * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1]) + np.trace(np.linalg.solve(cov, away @ g @ away.T))))
+        if it > 3 and abs(history[-1] - history[-2]) < tol * (1 + abs(history[-2])):
+            break
+    return Quality(design.terms, gamma, alpha, w, psi, history)
 
 
 @dataclass
@@ -189,14 +309,32 @@ def factor_scores(df: DataFrame, keys: list[str], m: Factors) -> DataFrame:
     return df.select(*keys, quality.alias("quality"))
 
 
-def pca(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues and vectors of the correlation matrix, greatest first."""
-    m = len(columns)
-    g, n = gram(df.na.drop(subset=columns), lambda f: np.column_stack([np.ones(len(f)), f[columns].to_numpy(float)]), columns, m + 1)
+def factor_correlations(m: Factors, cov: np.ndarray) -> list[tuple[int, str, float]]:
+    """(factor, score or 'composite', correlation) of the posterior means with each standardised score and with their mean, from the scores' correlation matrix."""
+    c = m.loadings @ m.loadings.T + np.diag(m.noise)
+    weights = np.linalg.solve(c, m.loadings)  # of the scores in each factor
+    k, out = len(m.columns), []
+    for r in range(weights.shape[1]):
+        b = weights[:, r]
+        sd = np.sqrt(max(b @ cov @ b, 1e-16))
+        mean = np.full(k, 1 / k)
+        out.append((r, "composite", float(b @ cov @ mean / (sd * np.sqrt(max(mean @ cov @ mean, 1e-16))))))
+        out += [(r, name, float((cov @ b)[j] / (sd * np.sqrt(cov[j, j])))) for j, name in enumerate(m.columns)]
+    return out
+
+
+def correlation(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Correlation matrix of the rows without missing values."""
+    g, n = gram(df.na.drop(subset=columns), lambda f: np.column_stack([np.ones(len(f)), f[columns].to_numpy(float)]), columns, len(columns) + 1)
     mean = g[0, 1:] / n
     cov = g[1:, 1:] / n - np.outer(mean, mean)
     d = np.sqrt(np.maximum(np.diag(cov), 1e-16))
-    values, vectors = np.linalg.eigh(cov / np.outer(d, d))
+    return cov / np.outer(d, d)
+
+
+def pca(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of the correlation matrix, greatest first."""
+    values, vectors = np.linalg.eigh(correlation(df, columns))
     order = np.argsort(-values)
     return values[order], vectors[:, order]
 
@@ -229,84 +367,3 @@ def lasso(df: DataFrame, design: Design, target: str, grid: list[float], key: Co
 
     best = min(sorted(grid), key=error)
     return Linear(design.terms, [target], descend(total[0], total[1], total[3], best))
-
-
-@dataclass
-class Gam:
-    intercept: float
-    edges: dict[str, np.ndarray]
-    tables: dict[tuple[str, ...], np.ndarray]
-    weights: dict[tuple[str, ...], np.ndarray]
-
-    def importance(self) -> list[tuple[str, float]]:
-        """Mean absolute contribution of each term over the rows, greatest first."""
-        out = [(" x ".join(t), float((np.abs(self.tables[t]) * w).sum() / max(w.sum(), 1))) for t, w in self.weights.items()]
-        return sorted(out, key=lambda x: (-x[1], x[0]))
-
-
-def boosted_bins(df: DataFrame, features: list[str], target: str, bins: int = 256, rounds: int = 100, rate: float = 0.2, pairs: int = 0) -> Gam:
-    """An additive model over binned features, boosted in turn, then the strongest pairs on what is left.
-
-    Features are cut at their quantiles.  One pass counts the pairs of bins
-    and sums the target by bin; cyclic boosting then works on these tables
-    alone, as a bin's residual is its sum less what the other terms predict
-    for the bins it meets.
-    """
-    edges = {}
-    for f in features:
-        q = quantiles(df, f, [i / bins for i in range(1, bins)]).orderBy("p").collect()
-        edges[f] = np.unique([r["value"] for r in q])
-    rows = df.where(F.col(target).isNotNull())
-    sizes = [len(edges[f]) + 1 for f in features]
-    start = np.concatenate([[0], np.cumsum(sizes)])
-
-    def make(f):
-        z = np.zeros((len(f), start[-1] + 1))
-        for i, c in enumerate(features):
-            z[np.arange(len(f)), start[i] + np.searchsorted(edges[c], np.nan_to_num(f[c].to_numpy(float)), "right")] = 1
-        z[:, -1] = f[target].to_numpy(float)
-        return z
-
-    g, n = gram(rows, make, [*features, target], int(start[-1]) + 1)
-    counts, sums = g[:-1, :-1], g[:-1, -1]
-    intercept = sums[: sizes[0]].sum() / max(n, 1)
-    b = np.zeros(start[-1])
-    weight = np.diag(counts)
-    for _ in range(rounds):
-        for i in range(len(features)):
-            at = slice(start[i], start[i + 1])
-            residual = sums[at] - intercept * weight[at] - counts[at] @ b
-            step = rate * residual / np.maximum(weight[at] + 1.0, 1)
-            b[at] += step - (step * weight[at]).sum() / max(n, 1)
-    tables = {(f,): b[start[i] : start[i + 1]] for i, f in enumerate(features)}
-    weights = {(f,): weight[start[i] : start[i + 1]] for i, f in enumerate(features)}
-    gam = Gam(float(intercept), edges, tables, weights)
-    if pairs:
-        order = [name for name, _ in gam.importance()]
-        chosen = [(a, c) for i, a in enumerate(order) for c in order[i + 1 :]][:pairs]
-        scored = gam_scores(rows, [*features, target], gam).withColumn("__r", F.col(target) - F.col("prediction"))
-        for a, c in chosen:
-            cell = scored.groupBy(_bin(a, edges[a]).alias("i"), _bin(c, edges[c]).alias("j")).agg(F.count("*").alias("n"), F.sum("__r").alias("r")).collect()
-            table, w = np.zeros((len(edges[a]) + 1, len(edges[c]) + 1)), np.zeros((len(edges[a]) + 1, len(edges[c]) + 1))
-            for r in cell:
-                table[r["i"], r["j"]], w[r["i"], r["j"]] = r["r"] / (r["n"] + 20.0) / pairs, r["n"]
-            gam.tables[a, c], gam.weights[a, c] = table, w
-    return gam
-
-
-def _bin(c: str, edges: np.ndarray) -> Column:
-    """Number of edges at or below the value; NULL counts as 0."""
-    v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v)) if len(edges) else F.lit(0)
-
-
-def gam_scores(df: DataFrame, keys: list[str], gam: Gam) -> DataFrame:
-    """``keys`` and ``prediction``: table lookups as column expressions."""
-    total = F.lit(gam.intercept)
-    for t, table in gam.tables.items():
-        if len(t) == 1:
-            total = total + F.get(F.array(*[F.lit(float(x)) for x in table]), _bin(t[0], gam.edges[t[0]]))
-        else:
-            flat = F.array(*[F.lit(float(x)) for x in table.ravel()])
-            total = total + F.get(flat, _bin(t[0], gam.edges[t[0]]) * table.shape[1] + _bin(t[1], gam.edges[t[1]]))
-    return df.select(*keys, total.alias("prediction"))

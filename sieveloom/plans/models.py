@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import clustering, evaluate, regression
+from ..operators import additive, clustering, evaluate, regression
 from ..schema import KEY
 from .base import M, master, query, r6, table
 
@@ -93,7 +93,7 @@ def clu_11_one_dimensional(spark, d):
 
 def _frame(spark, d):
     m = master(spark, d).where("topic IS NOT NULL AND format IS NOT NULL AND dclm_score BETWEEN 0 AND 1 AND qr_educational_value IS NOT NULL AND textbook_quality IS NOT NULL").na.drop(subset=["frac_alpha", "mean_word_length", "type_token_ratio"])
-    return m.select(*KEY, "topic", "format", "in_train_pool", "dclm_score", "qr_educational_value", "textbook_quality", "frac_alpha", "mean_word_length", "type_token_ratio")
+    return m.select(*KEY, "topic", "format", "domain", "in_train_pool", "dclm_score", "qr_educational_value", "textbook_quality", "frac_alpha", "mean_word_length", "type_token_ratio")
 
 
 _X = ["frac_alpha", "mean_word_length", "type_token_ratio"]
@@ -125,17 +125,50 @@ def mod_24_incremental_r2(spark, d):
     return spark.createDataFrame([(n, float(regression.r2(f, s, "dclm_score"))) for n, s in specs], "spec string, r2 double").select("spec", r6(F.col("r2"), "r2"))
 
 
+def _posterior(spark, d):
+    """Topic, format and the larger url domains as label blocks beside the numbers."""
+    f = _frame(spark, d)
+    top = [r["domain"] for r in f.where("domain IS NOT NULL").groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(20).collect()]
+    f = f.withColumn("site", F.when(F.col("domain").isin(top), F.col("domain")).otherwise("OTHER"))
+    return regression.gibbs(f, regression.Design(_X, ["topic", "format", "site"]), _Y, chains=2, draws=120, burn=40, thin=2)
+
+
 @query()
 def mod_05_gibbs(spark, d):
-    draws = regression.gibbs(_frame(spark, d), regression.Design(_X, []), _Y[:2], chains=2, draws=120, burn=40)
-    rows = [(c, t, p, float(v)) for c, t, p, v in draws]
-    return evaluate.diagnostics(spark.createDataFrame(rows, "chain int, draw int, param string, value double")).select("param", r6(F.col("r_hat"), "r_hat"), r6(F.col("ess"), "ess"))
+    """Diagnostics of the noise covariance and of the variance each block explains."""
+    rows = spark.createDataFrame(_posterior(spark, d).draws, "chain int, draw int, param string, value double")
+    return evaluate.diagnostics(rows).select("param", r6(F.col("r_hat"), "r_hat"), r6(F.col("ess"), "ess"))
+
+
+@query()
+def mod_05_coefficients(spark, d):
+    c = spark.createDataFrame(_posterior(spark, d).coefficients, "term string, target string, mean double, sd double")
+    return c.select("term", "target", r6(F.col("mean"), "mean"), r6(F.col("sd"), "sd"))
+
+
+@query()
+def mod_06_block_variances(spark, d):
+    """Posterior mean of the variance that numbers, topics, formats and sites explain, by score, and its share."""
+    rows = spark.createDataFrame(_posterior(spark, d).draws, "chain int, draw int, param string, value double").where("param LIKE 'variance %'")
+    v = rows.groupBy(F.regexp_extract("param", r"variance (.*)\|", 1).alias("block"), F.regexp_extract("param", r"\|(.*)$", 1).alias("target")).agg(F.avg("value").alias("v"))
+    return v.select("block", "target", r6(F.col("v"), "variance"), r6(F.col("v") / F.expr("sum(v) OVER (PARTITION BY target)"), "share"))
 
 
 @query()
 def mod_07_factor_em(spark, d):
-    m = regression.factor_em(_frame(spark, d), _Y, 1, 60)
-    return spark.createDataFrame([(y, float(v), float(n)) for y, v, n in zip(_Y, m.loadings[:, 0], m.noise)], "score string, loading double, noise double").select("score", r6(F.col("loading"), "loading"), r6(F.col("noise"), "noise"))
+    """One latent quality whose prior mean is a regression on numbers, topic and format."""
+    m = regression.latent_quality(_frame(spark, d), regression.Design(_X, ["topic", "format"]), _Y)
+    rows = [("score", y, float(a), float(w), float(v)) for y, a, w, v in zip(_Y, m.alpha, m.loading, m.noise)] + [("prior", t, float(g), None, None) for t, g in zip(m.terms, m.gamma)]
+    x = spark.createDataFrame(rows, "kind string, name string, coefficient double, loading double, noise double")
+    return x.select("kind", "name", *[r6(F.col(c), c) for c in ("coefficient", "loading", "noise")])
+
+
+@query()
+def mod_53_factor_correlation(spark, d):
+    f = _frame(spark, d)
+    m = regression.factor_em(f, _Y, 2, 60)
+    rows = regression.factor_correlations(m, regression.correlation(f, _Y))
+    return spark.createDataFrame(rows, "factor int, score string, r double").select("factor", "score", r6(F.col("r"), "r"))
 
 
 @query()
@@ -151,21 +184,58 @@ def mod_09_lasso(spark, d):
     return spark.createDataFrame(model.rows(), "term string, target string, value double").select("term", "target", r6(F.col("value"), "value"))
 
 
-def _gam(spark, d):
-    f = _frame(spark, d)
-    return f, regression.boosted_bins(f, [*_X, "qr_educational_value"], "dclm_score", 16, 40, pairs=2)
+_GX = ["frac_alpha", "mean_word_length", "type_token_ratio", "stopword_fraction", "char_count", "qr_educational_value", "textbook_quality"]
+
+
+def _additive(spark, d, labels=("topic", "format")):
+    m = master(spark, d).withColumns({c: F.col(c).cast("string") for c in ("topic", "format")})
+    return m, additive.fit(m.where("dclm_score BETWEEN 0 AND 1"), _GX, list(labels), "dclm_score", bins=256)
+
+
+@query()
+def mod_10_additive(spark, d):
+    """Single terms of 256 bins, nominal labels and the 20 strongest pairs; all rows scored, missing numbers as the medians of the scored rows."""
+    m, g = _additive(spark, d)
+    return additive.predict(m, KEY, g, impute=True).select(*KEY, r6(F.col("prediction"), "prediction"))
+
+
+@query()
+def mod_10_numbers_only(spark, d):
+    """The variant without labels: its fit on the rows it was made of."""
+    m, g = _additive(spark, d, ())
+    scored = additive.predict(m.where("dclm_score BETWEEN 0 AND 1"), [*KEY, "dclm_score"], g)
+    return scored.agg(F.count("*").alias("n"), r6(1 - F.sum((F.col("dclm_score") - F.col("prediction")) ** 2) / (F.var_pop("dclm_score") * F.count("*")), "r2"))
+
+
+@query()
+def mod_16_importance(spark, d):
+    _, g = _additive(spark, d)
+    return spark.createDataFrame(g.importance(), "term string, importance double").select("term", r6(F.col("importance"), "importance"))
+
+
+@query()
+def mod_16_curves(spark, d):
+    _, g = _additive(spark, d)
+    return spark.createDataFrame(g.curves(), "feature string, bin int, least double, label string, effect double").select("feature", "bin", r6(F.col("least"), "least"), "label", r6(F.col("effect"), "effect"))
 
 
 @query()
-def mod_10_boosted_bins(spark, d):
-    f, g = _gam(spark, d)
-    return regression.gam_scores(f, KEY, g).select(*KEY, r6(F.col("prediction"), "prediction"))
+def mod_16_pair_grids(spark, d):
+    _, g = _additive(spark, d)
+    return spark.createDataFrame(g.grids(), "a string, b string, i int, j int, effect double").select("a", "b", "i", "j", r6(F.col("effect"), "effect"))
 
 
 @query()
-def mod_16_gam_importance(spark, d):
-    _, g = _gam(spark, d)
-    return spark.createDataFrame([(n, float(v)) for n, v in g.importance()], "term string, importance double").select("term", r6(F.col("importance"), "importance"))
+def mod_14_soft_labels(spark, d):
+    """Documents classified by a linear model of label distributions: the recorded topic with its confidence, the rest spread over the others."""
+    from ..operators.classify import apply_soft, train_soft
+    from ..schema import newest
+
+    t = newest(table(spark, d, "domains_topics").where("shard_idx IS NOT NULL AND doc_idx IS NOT NULL"), KEY, "annotated_at").where("topic BETWEEN 0 AND 23 AND topic_confidence BETWEEN 0 AND 1 AND NOT isnan(topic_confidence)")
+    soft = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.when(i == F.col("topic"), F.col("topic_confidence")).otherwise((1 - F.col("topic_confidence")) / 23.0).cast("double"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *KEY, "text")
+    model = train_soft(docs.join(t.select(*KEY, soft.alias("probs")), KEY), "text", "probs", dims=1 << 12, iterations=15)
+    return apply_soft(docs, model, "text", ["doc_id"]).select("doc_id", "label", F.round(F.array_max("probs"), 4).alias("confidence"))
 
 
 @query()

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveloom.functions.udfs import register_all
-from sieveloom.operators import clustering, evaluate, joins, mixes, prefix, regression, selection
+from sieveloom.operators import additive, clustering, evaluate, joins, mixes, prefix, regression, selection
+from sieveloom.operators.classify import apply_soft, train_soft
 from sieveloom.operators.quantiles import quantiles
 from sieveloom.schema import nan_to_null
 
@@ -181,14 +182,79 @@ def test_regression(spark):
     assert regression.r2(df, regression.Design(["a", "b"], ["g"]), "y") > 0.99
     l1 = {t: v for t, _, v in regression.lasso(df, regression.Design(["a", "b"], []), "y", [1e-3, 1.0], F.col("id")).rows()}
     assert l1["a"] == pytest.approx(2, abs=0.15)
-    g = regression.boosted_bins(df, ["a", "b"], "y", 32, 60)
-    p = regression.gam_scores(df, ["id", "y"], g)
-    assert p.agg(F.corr("y", "prediction")).first()[0] > 0.95
     em = regression.factor_em(df, ["a", "b", "y"], 1, 50)
     assert all(b >= a - 1e-6 * abs(a) for a, b in zip(em.history, em.history[1:]))
-    d = regression.gibbs(df, regression.Design(["a"], []), ["y"], 2, 60, 20)
-    diag = evaluate.diagnostics(spark.createDataFrame([(c, t, k, float(v)) for c, t, k, v in d], "chain int, draw int, param string, value double"))
-    assert all(r["r_hat"] < 1.2 and r["ess"] > 10 for r in diag.collect())
+    cor = regression.factor_correlations(em, regression.correlation(df, ["a", "b", "y"]))
+    assert [x[:2] for x in cor] == [(0, "composite"), (0, "a"), (0, "b"), (0, "y")] and all(abs(x[2]) <= 1 + 1e-9 for x in cor)
+    z = (f[["a", "b", "y"]] - f[["a", "b", "y"]].mean()) / f[["a", "b", "y"]].std(ddof=0)
+    score = z @ np.linalg.solve(em.loadings @ em.loadings.T + np.diag(em.noise), em.loadings)[:, 0]
+    assert cor[3][2] == pytest.approx(np.corrcoef(score, z["y"])[0, 1], abs=1e-6) and cor[0][2] == pytest.approx(np.corrcoef(score, z.mean(axis=1))[0, 1], abs=1e-6)
+
+
+def test_posterior(spark):
+    rng = np.random.default_rng(8)
+    n = 3000
+    f = pd.DataFrame({"a": rng.normal(2, 3, n), "g": rng.integers(0, 4, n), "h": np.where(rng.random(n) < 0.3, "x", "y")})
+    effect = np.array([0.0, 1.0, -1.0, 0.5])[f["g"]]
+    f["y"] = 2 * (f["a"] - f["a"].mean()) / f["a"].std(ddof=0) + effect + rng.normal(0, 1, n)
+    f["z"] = f["y"] * 0.5 + rng.normal(0, 1, n)
+    post = regression.gibbs(spark.createDataFrame(f), regression.Design(["a"], ["g", "h"]), ["y", "z"], 3, 80, 30, thin=2)
+    diag = {r["param"]: r for r in evaluate.diagnostics(spark.createDataFrame(post.draws, "chain int, draw int, param string, value double")).collect()}
+    assert all(r["r_hat"] < 1.1 and r["ess"] > 50 for r in diag.values()) and len(diag) == 3 + 3 * 2
+    mean = pd.DataFrame(post.draws, columns=["c", "d", "p", "v"]).groupby("p")["v"].mean()
+    assert mean["variance numbers|y"] == pytest.approx(4, rel=0.1) and mean["variance g|y"] == pytest.approx(effect.var(), rel=0.2) and mean["variance h|y"] < 0.01
+    assert mean["sigma|y|y"] == pytest.approx(1, rel=0.1) and mean["sigma|y|z"] == pytest.approx(0.5, rel=0.15)
+    b = {(t, y): (m, s) for t, y, m, s in post.coefficients}
+    assert abs(b["a", "y"][0] - 2) < 4 * b["a", "y"][1] and 0 < b["a", "y"][1] < 0.1
+    # a tight prior of one block draws its effects to none
+    tight = regression.gibbs(spark.createDataFrame(f), regression.Design(["a"], ["g", "h"]), ["y", "z"], 1, 40, 10, prior_sd={**regression.PRIOR_SD, "g": 0.001})
+    assert abs({(t, y): m for t, y, m, _ in tight.coefficients}["g=1", "y"]) < 0.1
+
+
+def test_latent_quality(spark):
+    rng = np.random.default_rng(9)
+    n = 4000
+    f = pd.DataFrame({"a": rng.normal(size=n), "g": rng.integers(0, 3, n)})
+    q = 0.8 * f["a"] + 0.7 * (f["g"] == 1) + rng.normal(size=n)
+    for i, w in enumerate((1.0, 0.6, 0.3)):
+        f[f"s{i}"] = 5 + 2 * (w * q + rng.normal(0, 0.5, n))
+    df = spark.createDataFrame(f)
+    m = regression.latent_quality(df, regression.Design(["a"], ["g"]), ["s0", "s1", "s2"])
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(m.history[1:], m.history[2:])) and (m.loading > 0).all() and m.loading[0] > m.loading[1] > m.loading[2]
+    gamma = dict(zip(m.terms, m.gamma))
+    assert gamma["a"] == pytest.approx(0.8, abs=0.12) and gamma["g=1"] == pytest.approx(0.7, abs=0.15) and abs(gamma["g=2"]) < 0.15
+    turned = regression.latent_quality(df.withColumn("s2", -F.col("s2")), regression.Design(["a"], ["g"]), ["s0", "s1", "s2"])
+    assert turned.loading[2] == 0.05 and regression.latent_quality(df.withColumn("s2", -F.col("s2")), regression.Design(["a"], ["g"]), ["s0", "s1", "s2"], least_loading=None).loading[2] < 0
+
+
+def test_additive(spark):
+    rng = np.random.default_rng(10)
+    n = 6000
+    f = pd.DataFrame({"id": range(n), "a": rng.normal(size=n), "b": rng.random(n), "c": rng.normal(size=n), "g": rng.choice(["x", "y", "z"], n)})
+    f["y"] = np.sin(2 * f["a"]) + (f["g"] == "y") * 1.0 + 1.5 * np.sign(f["b"] - 0.5) * np.sign(f["c"]) + rng.normal(0, 0.1, n)
+    f.loc[:50, "a"] = np.nan
+    df = spark.createDataFrame(f)
+    alone = additive.fit(df, ["a", "b", "c"], ["g"], "y", 64, 60, pairs=0)
+    g = additive.fit(df, ["a", "b", "c"], ["g"], "y", 64, 60, pairs=1)
+    fit = lambda m: np.corrcoef(*[additive.predict(df, ["id", "y"], m).toPandas()[c] for c in ("y", "prediction")])[0, 1] ** 2
+    assert ("b", "c") in g.tables and fit(alone) < 0.5 < 0.93 < fit(g)
+    assert g.importance()[0][0] == "b x c" and {t for t, _ in g.importance()} == {"a", "b", "c", "g", "b x c"}
+    curve = {(f_, l): e for f_, _, _, l, e in g.curves() if l}
+    assert curve["g", "y"] - curve["g", "x"] == pytest.approx(1, abs=0.1) and len(g.grids()) == g.pair_bins**2
+    assert additive.predict(df.limit(0), ["id"], g).count() == 0
+    # missing numbers are the medians of the scored rows
+    high = df.where("a > 1 OR a IS NULL")
+    p = additive.predict(high.where("g = 'x'").withColumn("b", F.lit(0.9)).withColumn("c", F.lit(1.0)), ["id", "a"], g, impute=True).toPandas()
+    assert p[p["a"].isna()]["prediction"].nunique() == 1
+    assert additive.fit(df.limit(0), ["a"], ["g"], "y").tables == {}
+
+
+def test_soft_labels(spark):
+    rows = [(i, ("the oven and the bread " if i % 2 else "a compiler with software ") * 3, [0.2, 0.8] if i % 2 else [0.9, 0.1]) for i in range(60)] + [(60, None, [1.0, 0.0]), (61, "oven", None)]
+    df = spark.createDataFrame(rows, "id int, text string, probs array<double>")
+    out = {r["id"]: r for r in apply_soft(df, train_soft(df, "text", "probs", 1 << 8, 30, 1e-6), "text", ["id"]).collect()}
+    assert all(out[i]["label"] == i % 2 for i in range(60)) and len(out) == 62
+    assert out[1]["probs"][1] == pytest.approx(0.8, abs=0.03) and out[0]["probs"][0] == pytest.approx(0.9, abs=0.03)  # soft, not pushed to 1
 
 
 def test_bootstrap(scored):
