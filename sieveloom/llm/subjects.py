@@ -70,20 +70,16 @@ class Rules:
 
     def evidence(self, words: list[str]) -> dict[int, float]:
         """Summed log odds by topic; a pair's rule adds to those of its words."""
-        get, out, found = self.single.get, {}, None
-        for w in set(words):
-            rules = get(w)
-            if rules:
-                for topic, odds in rules:
+        out: dict[int, float] = {}
+        own = set(words)
+        for w in sorted(self.single.keys() & own):
+            for topic, odds in self.single[w]:
+                out[topic] = out.get(topic, 0.0) + odds
+        found = sorted(self.paired & own)
+        for i, a in enumerate(found):
+            for b in found[i + 1 :]:
+                for topic, odds in self.pairs.get((a, b), ()):
                     out[topic] = out.get(topic, 0.0) + odds
-                if w in self.paired:
-                    found = [*(found or ()), w]
-        if found and len(found) > 1:
-            found.sort()
-            for i, a in enumerate(found):
-                for b in found[i + 1 :]:
-                    for topic, odds in self.pairs.get((a, b), ()):
-                        out[topic] = out.get(topic, 0.0) + odds
         return out
 
     def shares(self, parts: list[str]) -> dict[int, float]:
