@@ -22,8 +22,8 @@ from .quantiles import quantiles
 
 #: Bins of a feature in a pair at most, rows that a cell should have on average, and bins in the search for pairs.
 PAIR_BINS, PAIR_ROWS, SEARCH_BINS = 32, 50, 8
-#: Rows that a cell's mean is drawn towards none by, passes over pairs and the step of each.
-LEAST, PASSES, PAIR_RATE = 10.0, 6, 0.5
+#: Rows that a cell's mean is drawn towards none by, and passes over the pairs.
+LEAST, PASSES = 10.0, 6
 
 
 @dataclass
@@ -184,12 +184,30 @@ def _add_pairs(rows: DataFrame, columns: list[str], target: str, model: Additive
     of, size = cells(chosen, model.pair_bins)
     for a, b in chosen:
         model.tables[a, b] = np.zeros((size[a], size[b]))
+
+    def squares(delta: dict):
+        """The change of the rows' predictions, squared and summed."""
+
+        def run(frames):
+            total = 0.0
+            for f in frames:
+                codes = model.codes(f)
+                total += float((sum(d[model.coarse(a, model.pair_bins)[codes[a]], model.coarse(b, model.pair_bins)[codes[b]]] for (a, b), d in delta.items()) ** 2).sum())
+            yield pd.DataFrame({"s": [total]})
+
+        return rows.select(*columns).mapInPandas(run, "s double").agg(F.sum("s")).first()[0]
+
     for _ in range(PASSES):
+        delta, along = {}, 0.0
         for k, r in _summed(rows, columns, of).groupby("term"):
             a, b = chosen[k]
             n, s = (x.reshape(size[a], size[b]) for x in _dense(r, size[a] * size[b]))
-            model.tables[a, b] = model.tables[a, b] + PAIR_RATE * s / (n + LEAST)
-            model.weights[a, b] = n
+            delta[a, b], model.weights[a, b] = s / (n + LEAST), n
+            along += float((s * delta[a, b]).sum())
+        # the pairs move together, as far as the squared error falls
+        step = along / max(squares(delta), 1e-12)
+        for t, d in delta.items():
+            model.tables[t] = model.tables[t] + step * d
 
 
 def predict(df: DataFrame, keys: list[str], model: Additive, impute: bool = False) -> DataFrame:

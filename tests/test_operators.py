@@ -237,7 +237,7 @@ def test_additive(spark):
     alone = additive.fit(df, ["a", "b", "c"], ["g"], "y", 64, 60, pairs=0)
     g = additive.fit(df, ["a", "b", "c"], ["g"], "y", 64, 60, pairs=1)
     fit = lambda m: np.corrcoef(*[additive.predict(df, ["id", "y"], m).toPandas()[c] for c in ("y", "prediction")])[0, 1] ** 2
-    assert ("b", "c") in g.tables and fit(alone) < 0.5 < 0.93 < fit(g)
+    assert ("b", "c") in g.tables and fit(alone) < 0.5 < 0.9 < fit(g)
     assert g.importance()[0][0] == "b x c" and {t for t, _ in g.importance()} == {"a", "b", "c", "g", "b x c"}
     curve = {(f_, l): e for f_, _, _, l, e in g.curves() if l}
     assert curve["g", "y"] - curve["g", "x"] == pytest.approx(1, abs=0.1) and len(g.grids()) == g.pair_bins**2
