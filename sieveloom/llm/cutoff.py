@@ -23,6 +23,8 @@ from .common import shared_dir
 
 #: Pivots of a group in a round, and elements that a run offers.
 PIVOTS = 64
+#: Runs whose offers are merged together.
+RUNS = 64
 #: Scores in one sorted run at most (8 MB); larger partitions give several runs.
 RUN = 1_000_000
 
@@ -94,15 +96,18 @@ def _pivots(runs: DataFrame, open_: dict) -> dict[int, list[float]]:
     def offer(frames):
         for f in frames:
             out = []
-            for g, a in zip(f["grp"], f["scores"]):
+            for g, a, part in zip(f["grp"], f["scores"], f["part"]):
                 if g in open_ and len(left := _within(np.asarray(a), *open_[g])):
                     at = np.unique(np.linspace(0, len(left) - 1, min(PIVOTS, len(left))).astype(np.int64))
-                    out.extend(zip([g] * len(at), left[at], np.diff(np.append(at, len(left)))))
-            yield pd.DataFrame(out, columns=["grp", "score", "weight"])
-
-    cuts = ", ".join(f"{i / PIVOTS}D" for i in range(1, PIVOTS + 1))
-    offered = runs.mapInPandas(offer, "grp int, score double, weight bigint")
-    rows = offered.groupBy("grp").agg(F.min("score").alias("least"), F.expr(f"percentile(score, array({cuts}), weight)").alias("cuts")).collect()
+                    out.extend(zip([g] * len(at), [part] * len(at), left[at], np.diff(np.append(at, len(left)))))
+            yield pd.DataFrame(out, columns=["grp", "part", "score", "weight"])
+
+    # any pivots will do, as their ranks are counted exactly: the offers of a group are merged in parts of RUNS runs and these in turn
+    cuts = F.expr("percentile(score, array(" + ", ".join(f"{i / PIVOTS}D" for i in range(1, PIVOTS + 1)) + "), weight)")
+    offered = runs.withColumn("part", F.floor(F.spark_partition_id() / RUNS)).mapInPandas(offer, "grp int, part bigint, score double, weight bigint")
+    merged = offered.groupBy("grp", "part").agg(F.min("score").alias("least"), cuts.alias("cuts"), F.sum("weight").alias("weight"))
+    again = merged.select("grp", "least", F.explode("cuts").alias("score"), "weight")
+    rows = again.groupBy("grp").agg(F.min("least").alias("least"), cuts.alias("cuts")).collect()
     return {r["grp"]: sorted({r["least"], *r["cuts"]}) for r in rows}
 
 

@@ -265,8 +265,8 @@ class Model:
         by_code, first, moves, n = np.zeros((len(self.likelihood), 4)), np.zeros(4), np.zeros((4, 4)), 0
         for codes, lengths in documents:
             post = self.posterior(codes, lengths, moves)
-            met, at = np.unique(codes, return_inverse=True)
-            by_code[met] += np.stack([np.bincount(at, weights=post[:, s], minlength=len(met)) for s in range(4)], axis=1)
+            for s in range(4):
+                by_code[:, s] += np.bincount(codes, weights=post[:, s], minlength=len(by_code))
             first += post[np.cumsum(lengths) - lengths].sum(axis=0)
             n += len(lengths)
         grid = by_code.reshape(*SIZES, 4)

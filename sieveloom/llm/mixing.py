@@ -29,8 +29,8 @@ def _digit(h: Column, level: int) -> Column:
 
 
 def hashed(records: DataFrame, keys: list[str]) -> DataFrame:
-    """``records(domain, tokens, keys...)`` with ``h``, a hash of the keys from 0 to 2**60 - 1."""
-    return records.withColumn("h", F.xxhash64(*keys).bitwiseAND(F.lit((1 << 60) - 1)))
+    """``records(domain, tokens, keys...)`` with ``h``, a hash of the keys from 0 to 2**60 - 1: the first 60 bits of the md5 of the keys, which every engine repeats."""
+    return records.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("-", *keys)), 1, 15), 16, 10).cast("bigint"))
 
 
 def plan(records: DataFrame, mixes: DataFrame) -> DataFrame:

@@ -147,7 +147,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mixing(spark, d)[1].select("mix_id", "domain", "size", "target", "reached", "target_share", "actual_share", "short")
+    rounded = [F.round(c, n).alias(c) for c, n in (("target", 6), ("target_share", 9), ("actual_share", 9))]
+    return _mixing(spark, d)[1].select("mix_id", "domain", "size", "reached", "short", *rounded)
 
 
 def p6_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +163,14 @@ s AS (SELECT topic AS domain, sum(token_count) AS size FROM t JOIN k USING (shar
 g AS (SELECT m.mix_id, m.domain, coalesce(size, 0) AS size, max_repeats, weight / sum(weight) OVER (PARTITION BY mix_id) * total_share * (SELECT sum(size) FROM s) AS target FROM mixtures m LEFT JOIN s USING (domain))
 """
 
+#: What a mix takes of a domain beyond whole copies: records in the order of their hash while they fit the rest of the target.
+_TAKEN = _SIZES + """
+, r AS (SELECT shard_idx, doc_idx, topic AS domain, token_count AS tokens, CAST('0x' || substr(md5(shard_idx || '-' || doc_idx), 1, 15) AS BIGINT) AS h FROM t JOIN k USING (shard_idx, doc_idx)),
+w AS (SELECT *, size * max_repeats < target AS short, CASE WHEN size * max_repeats < target THEN max_repeats WHEN size = 0 THEN 0 ELSE CAST(floor(target / size) AS INTEGER) END AS whole,
+  target / nullif((SELECT sum(size) FROM s), 0) / (SELECT any_value(total_share) FROM mixtures x WHERE x.mix_id = g.mix_id) AS target_share FROM g),
+o AS (SELECT mix_id, w.domain, shard_idx, doc_idx, tokens, whole, CASE WHEN short THEN 0.0 ELSE target - whole * size END AS budget, sum(tokens) OVER (PARTITION BY mix_id, w.domain ORDER BY h ROWS UNBOUNDED PRECEDING) AS run FROM w JOIN r ON r.domain = w.domain)
+"""
+
 
 # 7: encoding ---------------------------------------------------------------
 
@@ -202,5 +211,9 @@ SQL = {
     "p1_recorded": _RECORDED,
     "p3_found": _RECORDS + "SELECT shard_idx, doc_idx FROM r JOIN c USING (topic) WHERE dclm_score >= cutoff",
     "p3_cutoffs": _RECORDS + "SELECT topic, n, k, cutoff, (SELECT count(*) FROM r WHERE r.topic = c.topic AND dclm_score >= cutoff) AS kept FROM c",
+    "p6_copies": _TAKEN + "SELECT mix_id, domain, shard_idx, doc_idx, CAST(tokens AS BIGINT) AS tokens, CAST(whole + CASE WHEN run <= budget THEN 1 ELSE 0 END AS INTEGER) AS n_copies FROM o WHERE whole + CASE WHEN run <= budget THEN 1 ELSE 0 END > 0",
+    "p6_shares": _TAKEN + """, e AS (SELECT mix_id, domain, coalesce(max(CASE WHEN run <= budget THEN run END), 0) AS rest FROM o GROUP BY 1, 2),
+f AS (SELECT w.*, whole * size + coalesce(rest, 0) AS got FROM w LEFT JOIN e ON e.mix_id = w.mix_id AND e.domain = w.domain)
+SELECT mix_id, domain, CAST(size AS BIGINT) AS size, round(target, 6) AS target, CAST(got AS BIGINT) AS reached, round(target_share, 9) AS target_share, round(got / sum(got) OVER (PARTITION BY mix_id), 9) AS actual_share, short FROM f""",
     "p6_found": _SIZES + "SELECT mix_id, domain FROM g WHERE size * max_repeats < target",
 }
