@@ -7,6 +7,10 @@ Bayes log-count ratio between abusive and other sentences, and a logistic
 regression is fitted on the scaled features.  Only documents are labelled, so
 the sentences of abusive documents that bear the label are found in turn with
 the classifier.  A document's score is that of its worst sentence.
+
+Counts, scores and gradients are summed over the cluster: the different
+sentences of the judged documents are a table of a few parts, of which a pass
+returns one array of numbers each.
 """
 
 from __future__ import annotations
@@ -14,17 +18,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, unclash
+from .common import arrow_map, least_hash, shared_dir, unclash
 
 #: Judged documents at most (abusive ones first, then least hash; of them at most half abusive), hash buckets, n-gram lengths in bytes, turns between sentences and classifier.
 LABELLED, BUCKETS, ORDERS, TURNS = 3_000, 1 << 20, (3, 4, 5), 3
 #: Share of the other documents that may hold abuse by mistake, and log ratio that n-grams reach by chance.
 STRAY, CHANCE = 0.02, 1.0
-#: Passes of the regression, its step, its pull towards the plain ratios, smoothing of the ratios, weight of abusive against other sentences, other sentences at most (the likeliest).
-EPOCHS, STEP, PULL, SMOOTH, BALANCE, HARD = 30, 0.03, 1e-4, 4.0, 0.5, 8_000
+#: Passes of the regression, its step, its pull towards the plain ratios, smoothing of the ratios, weight of abusive against other sentences, and parts of the table of sentences.
+EPOCHS, STEP, PULL, SMOOTH, BALANCE, PARTS = 30, 0.03, 1e-4, 4.0, 0.5, 4
 
 # Characters that look like Latin letters, and digits or signs that stand for letters inside words.
 _ALIKE = dict(zip("аеорсухіјѕԁһӏοαερικνυ", "aeopcyxijsdhloaepiknu"))
@@ -95,99 +100,216 @@ def _size(n_grams: np.ndarray) -> np.ndarray:
     return (n_grams + 30) / 10
 
 
-def train(positive: list[list[str]], negative: list[list[str]]) -> Classifier:
-    """From the sentences of documents judged abusive and of others; judgements may err either way. Deterministic.
+class _Sentences:
+    """The different sentences of judged documents, spread over the cluster, and what is summed over them.
 
-    A sentence of an abusive document bears the label if its n-grams, its own
-    occurrence not counted, tell more against it than the worst sentence of
-    all but ``STRAY`` of the other documents does.
+    A row has the sentence's occurrences in abusive and in other documents,
+    these documents, and the buckets of its n-grams with their counts.
     """
-    index: dict[str, int] = {}
-    row = np.array([index.setdefault(s, len(index)) for d in [*positive, *negative] for s in d], np.int64)
-    n_pos, n = sum(map(len, positive)), len(index)
-    pos_row, neg_row = row[:n_pos], row[n_pos:]
-    neg_doc = np.repeat(np.arange(len(negative)), [len(d) for d in negative])
-    b, o = features(list(index))
-    root = _size(np.bincount(o, minlength=n))
-    in_neg, in_pos = np.bincount(neg_row, minlength=n), np.bincount(pos_row, minlength=n)
-    candidate = in_pos > in_neg
-    bears = candidate
-    for turn in range(TURNS):
-        ratio, own = _ratios(b, o, in_pos * bears, in_neg + in_pos * ~bears)
-        # what ordinary sentences of a language or subject gather by chance doesn't count
-        ratio, own = (np.where(r > 0, np.maximum(r - CHANCE, 0), r) for r in (ratio, own))
-        z = np.bincount(o, weights=np.where(bears[o], own[b], ratio[b]), minlength=n) / root
-        best = np.full(len(negative), -np.inf)
-        np.maximum.at(best, neg_doc, np.where(candidate, -np.inf, z)[neg_row])
-        best = best[np.isfinite(best)]
-        level = np.quantile(best, 1 - STRAY) if len(best) else 0.0
-        found = candidate & (z > max(level, 0.5))
-        if not found.any():
-            break
-        bears = found
-    other = ~bears
-    ratio, _ = _ratios(b, o, in_pos * bears, in_neg + in_pos * ~bears)
-    plain = np.bincount(o, weights=ratio[b], minlength=n) / root
-    if other.sum() > HARD:
-        other &= plain >= np.partition(plain[other], -HARD)[-HARD]
-    return _regress(b, o, ratio, root, bears, other)
+
+    def __init__(self, judged: DataFrame):
+        def cut(data):
+            rows = [(i, bad, s) for i, bad, t in zip(data["doc_id"], data["bad"], data["text"]) for s in sentences(t)]
+            return {"doc_id": [r[0] for r in rows], "bad": [r[1] for r in rows], "s": [r[2] for r in rows]}
+
+        def count(data):
+            b, o = features(data["s"])
+            key, n = np.unique(o * BUCKETS + b, return_counts=True)
+            owner, bucket = np.divmod(key, BUCKETS)
+            size = np.bincount(owner, minlength=len(data["s"]))
+            at = np.cumsum(size) * 4
+            cut_ = lambda x: [x[e - k * 4 : e] for e, k in zip(at.tolist(), size.tolist())]
+            return {**{c: data[c] for c in ("in_pos", "in_neg", "pos", "neg")}, "buckets": cut_(bucket.astype(np.int32).tobytes()), "counts": cut_(n.astype(np.float32).tobytes())}
+
+        pairs = arrow_map(judged, ["doc_id", "bad", "text"], cut, "doc_id bigint, bad boolean, s string")
+        of = lambda c: F.collect_set(F.when(c, F.col("doc_id")))
+        by = pairs.groupBy("s").agg(F.count(F.when(F.col("bad"), 1)).alias("in_pos"), F.count(F.when(~F.col("bad"), 1)).alias("in_neg"), of(F.col("bad")).alias("pos"), of(~F.col("bad")).alias("neg"))
+        schema = "in_pos bigint, in_neg bigint, pos array<bigint>, neg array<bigint>, buckets binary, counts binary"
+        self.rows = arrow_map(by.repartition(PARTS, "s"), ["s", "in_pos", "in_neg", "pos", "neg"], count, schema).checkpoint()
+
+    def _over(self, each, columns: list[str]) -> list[bytes]:
+        """``each(batches)`` of every part, as bytes; a batch is (bucket, count, sentence, divisor, columns)."""
+
+        def run(batches):
+            def open_():
+                for f in batches:
+                    data = {c: f.column(c).to_pylist() for c in columns}
+                    held = f.column("buckets").to_pylist()
+                    n = np.array([len(x) // 4 for x in held], np.int64)
+                    count = np.frombuffer(b"".join(f.column("counts").to_pylist()), np.float32)
+                    o = np.repeat(np.arange(len(n)), n)
+                    yield np.frombuffer(b"".join(held), np.int32), count, o, _size(np.bincount(o, weights=count, minlength=len(n))), data
+
+            yield pa.RecordBatch.from_arrays([pa.array([each(open_())], pa.binary())], names=["x"])
+
+        return [r["x"] for r in self.rows.select("buckets", "counts", *columns).mapInArrow(run, "x binary").collect()]
+
+    def counts(self, turns: list) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Occurrences of each bucket in sentences that bear the label and in others, and how many different ones of both there are."""
+
+        def each(batches):
+            p, q, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
+            for b, c, o, root, data in batches:
+                bears = _bearing(turns, b, c, o, root, data)[1]
+                pos, neg = np.array(data["in_pos"]), np.array(data["in_neg"])
+                p += np.bincount(b, weights=c * (pos * bears)[o], minlength=BUCKETS)
+                q += np.bincount(b, weights=c * (neg + pos * ~bears)[o], minlength=BUCKETS)
+                n += bears.sum(), (~bears).sum()
+            used = np.flatnonzero(p + q)
+            return np.concatenate([n, used, p[used], q[used]]).tobytes()
+
+        p, q, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
+        for x in map(np.frombuffer, self._over(each, ["in_pos", "in_neg"])):
+            used, a, b = x[2:].reshape(3, -1)
+            n, used = n + x[:2], used.astype(np.int64)
+            p[used] += a
+            q[used] += b
+        return p, q, int(n[0]), int(n[1])
+
+    def worst(self, turns: list) -> tuple[np.ndarray, bool]:
+        """The greatest score of each other document's sentences that can't bear the label, by the last turn, and whether any sentence reaches the level of chance."""
+
+        def each(batches):
+            best: dict[int, float] = {}
+            top = -np.inf
+            for b, c, o, root, data in batches:
+                candidate, _, z = _bearing(turns, b, c, o, root, data, last=True)
+                for v, docs in zip(z[~candidate].tolist(), [d for d, k in zip(data["neg"], candidate) if not k]):
+                    for d in docs:
+                        best[d] = max(best.get(d, -np.inf), v)
+                top = max([top, *z[candidate].tolist()])
+            return np.array([top, *best, *best.values()]).tobytes()
+
+        best: dict[int, float] = {}
+        top = -np.inf
+        for x in map(np.frombuffer, self._over(each, ["in_pos", "in_neg", "neg"])):
+            top = max(top, x[0])
+            for d, v in x[1:].reshape(2, -1).T:
+                best[d] = max(best.get(d, -np.inf), v)
+        return np.array(list(best.values())), top
+
+    def documents(self, model: Classifier) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the judged documents, and which are abusive."""
+
+        def each(batches):
+            best: dict[tuple[int, bool], float] = {}
+            for b, c, o, root, data in batches:
+                z = np.bincount(o, weights=model.weight[b] * c, minlength=len(root)) / root + model.bias
+                for v, pos, neg in zip(z.tolist(), data["pos"], data["neg"]):
+                    for d in [*((x, True) for x in pos), *((x, False) for x in neg)]:
+                        best[d] = max(best.get(d, -np.inf), v)
+            return np.array([[d, bad, v] for (d, bad), v in best.items()], float).tobytes()
+
+        best: dict[tuple[float, float], float] = {}
+        for x in self._over(each, ["pos", "neg"]):
+            for d, bad, v in np.frombuffer(x).reshape(-1, 3):
+                best[d, bad] = max(best.get((d, bad), -np.inf), v)
+        return np.array(list(best.values())), np.array([bad for _, bad in best], bool)
+
+    def regress(self, turns: list, ratio: np.ndarray, used: np.ndarray, n_bears: int, n_other: int) -> Classifier:
+        """Logistic regression on the scaled counts by gradient steps of adapted size; coefficients start at and are pulled to a common value."""
+        number = np.zeros(BUCKETS, np.int32)
+        number[used] = np.arange(len(used))
+        shared = self.rows.sparkSession.sparkContext.broadcast((number, ratio[used], turns))
+        start = 0.1
+        v, bias = np.full(len(used), start), -1.0
+        m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+        for k in range(1, EPOCHS + 1):
+
+            def each(batches, v=v, bias=bias):
+                number, scale, turns = shared.value
+                grad = np.zeros(len(v) + 1)
+                for b, c, o, root, data in batches:
+                    y = _bearing(turns, b, c, o, root, data)[1]
+                    at = number[b]
+                    x = scale[at] * c / root[o]
+                    z = np.bincount(o, weights=x * v[at], minlength=len(root)) + bias
+                    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y, BALANCE / max(n_bears, 1), (1 - BALANCE) / max(n_other, 1))
+                    grad[:-1] += np.bincount(at, weights=x * g[o], minlength=len(v))
+                    grad[-1] += g.sum()
+                return grad.astype(np.float32).tobytes()
+
+            grad = sum(np.frombuffer(x, np.float32).astype(float) for x in self._over(each, ["in_pos", "in_neg"]))
+            grad[:-1] += PULL * (v - start)
+            m = 0.9 * m + 0.1 * grad
+            s = 0.99 * s + 0.01 * grad**2
+            step = STEP * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-5)
+            v = v - step[:-1]
+            bias = bias - 3 * step[-1]
+        shared.unpersist()
+        full = np.full(BUCKETS, start)
+        full[used] = v
+        return Classifier(ratio * full, bias)
+
+
+def _bearing(turns: list, b, c, o, root, data, last: bool = False) -> tuple:
+    """Which sentences can bear the label, which do after the turns so far, and their scores in the last one.
+
+    A turn is (ratio, ratio without the sentence's own occurrence, level); with
+    ``last`` its level isn't known yet.
+    """
+    candidate = np.array(data["in_pos"]) > np.array(data["in_neg"])
+    bears, z = candidate, np.zeros(len(root))
+    for i, (ratio, own, level) in enumerate(turns):
+        z = np.bincount(o, weights=np.where(bears[o], own[b], ratio[b]) * c, minlength=len(root)) / root
+        if not (last and i == len(turns) - 1):
+            bears = candidate & (z > level)
+    return candidate, bears, z
 
 
-def _ratios(b: np.ndarray, o: np.ndarray, bears: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Naive Bayes log-count ratio of each bucket from the sentences' occurrences, and the same without one abusive occurrence.
+def _ratios(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Naive Bayes log-count ratio of each bucket from its occurrences, and the same without one abusive occurrence.
 
     SMOOTH counts are spread over both classes by size, so the ratio is 0 where
     neither class has the n-gram.
     """
-    p = np.bincount(b, weights=bears[o].astype(float), minlength=BUCKETS)
-    q = np.bincount(b, weights=other[o].astype(float), minlength=BUCKETS)
     share = max(p.sum(), 1.0) / max(p.sum() + q.sum(), 1.0)
     against = np.log((q + SMOOTH * (1 - share)) / (1 - share))
     return tuple(np.log((np.maximum(c, 0) + SMOOTH * share) / share) - against for c in (p, p - 1))
 
 
-def _regress(b, o, ratio, root, bears, other) -> Classifier:
-    """Logistic regression on the scaled counts by gradient steps of adapted size; coefficients start at and are pulled to a common value."""
-    use = bears | other
-    renumber = np.cumsum(use) - 1
-    held = use[o]
-    b, o, y = b[held], renumber[o[held]], bears[use].astype(float)
-    used, b = np.unique(b, return_inverse=True)
-    n = len(y)
-    x = (ratio[used])[b] / root[use][o]
-    weight = np.where(y > 0, BALANCE / max(y.sum(), 1), (1 - BALANCE) / max(n - y.sum(), 1))
-    start = 0.1
-    v, bias = np.full(len(used), start), -1.0
-    m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    for k in range(1, EPOCHS + 1):
-        z = np.bincount(o, weights=x * v[b], minlength=n) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.append(np.bincount(b, weights=x * g[o], minlength=len(used)) + PULL * (v - start), g.sum())
-        m = 0.9 * m + 0.1 * grad
-        s = 0.99 * s + 0.01 * grad**2
-        step = STEP * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-5)
-        v -= step[:-1]
-        bias -= 3 * step[-1]
-    full = np.full(BUCKETS, start)
-    full[used] = v
-    return Classifier(ratio * full, bias)
+def train(judged: DataFrame) -> Classifier:
+    """From ``judged(doc_id, bad, text)``; judgements may err either way. Deterministic but for the order of sums.
+
+    A sentence of an abusive document bears the label if its n-grams, its own
+    occurrence not counted, tell more against it than the worst sentence of
+    all but ``STRAY`` of the other documents does.  The bias is set where the
+    fewest judged documents are on the wrong side, in the middle of equal places.
+    """
+    table = _Sentences(judged)
+    turns: list = []
+    p, q, n_bears, n_other = table.counts(turns)
+    for _ in range(TURNS):
+        # what ordinary sentences of a language or subject gather by chance doesn't count
+        ratio, own = (np.where(r > 0, np.maximum(r - CHANCE, 0), r).astype(np.float32) for r in _ratios(p, q))
+        best, top = table.worst([*turns, (ratio, own, None)])
+        level = max(float(np.quantile(best, 1 - STRAY)) if len(best) else 0.0, 0.5)
+        if top <= level:
+            break
+        turns.append((ratio, own, level))
+        p, q, n_bears, n_other = table.counts(turns)
+    model = table.regress(turns, _ratios(p, q)[0], np.flatnonzero(p + q), n_bears, n_other)
+    score_, bad = table.documents(model)
+    order = np.argsort(score_, kind="stable")
+    x, y = score_[order], bad[order]
+    wrong = np.concatenate([[0], np.cumsum(y)]) + (~y).sum() - np.concatenate([[0], np.cumsum(~y)])
+    best = np.flatnonzero(wrong[1:-1] == wrong[1:-1].min()) + 1 if len(x) > 1 else np.zeros(0, int)
+    if len(best):
+        i = best[len(best) // 2]
+        model.bias -= float(x[i - 1] + x[i]) / 2
+    return model
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Classifier | None:
     """The classifier from judged documents (abusive if most judgements say so, ties too); None without abusive ones."""
-    judged = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("bad"))
-    # each a top-k by hash, pruned in every task
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    bad, good = judged.where("bad").orderBy(*order).limit(sample // 2), judged.where("NOT bad").orderBy(*order).limit(sample)
-    judged = bad.unionByName(good).orderBy(F.col("bad").desc(), *order).limit(sample)
-    rows = unclash(documents, ["doc_id", "text"]).where("text IS NOT NULL").join(F.broadcast(judged), "doc_id")
-
-    def run(data):
-        return {"doc_id": data["doc_id"], "bad": data["bad"], "parts": [sentences(t) for t in data["text"]]}
-
-    got = sorted(arrow_map(rows, ["doc_id", "bad", "text"], run, "doc_id bigint, bad boolean, parts array<string>").collect())
-    positive, negative = [r["parts"] for r in got if r["bad"]], [r["parts"] for r in got if not r["bad"]]
-    return train(positive, negative) if positive else None
+    shared_dir(documents.sparkSession)
+    judged = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("bad")).checkpoint()
+    bad = least_hash(judged.where("bad"), "doc_id", sample // 2)
+    n = bad.count()
+    if not n:
+        return None
+    judged = bad.unionByName(least_hash(judged.where("NOT bad"), "doc_id", sample - n))
+    return train(unclash(documents, ["doc_id", "text"]).where("text IS NOT NULL").join(F.broadcast(judged), "doc_id"))
 
 
 def score(documents: DataFrame, model: Classifier | None, columns: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
