@@ -354,13 +354,57 @@ def difference_in_means(masks, runs, docs, least: int):
     return x.select(*KEY, r6(target, "target"), F.col("n").alias("runs"))
 
 
+def difference_by_tests(docs, tests: dict, losses: dict, least: int):
+    """``difference_in_means`` where a run includes what passes its test: the runs are a short list, so a row sums over them itself and nothing is shuffled."""
+    known = {i: v for i, v in losses.items() if v is not None and i in tests}
+    if not known:
+        return docs.select(*KEY, F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("runs"))
+    lo, hi = min(known.values()), max(known.values())
+    q = {i: (hi - v) / (hi - lo + 1e-12) for i, v in known.items()}
+    n = reduce(lambda a, b: a + b, [F.when(tests[i], 1).otherwise(0) for i in q]).cast("bigint")
+    inside = reduce(lambda a, b: a + b, [F.when(tests[i], v).otherwise(0.0) for i, v in q.items()])
+    x = docs.withColumns({"__n": n, "__q": inside})
+    outside = F.coalesce((F.lit(sum(q.values())) - F.col("__q")) / F.nullif(F.lit(len(q)) - F.col("__n"), F.lit(0)), F.lit(0.0))
+    target = F.when(F.col("__n") < least, 0.0).otherwise(F.col("__q") / F.nullif(F.col("__n"), F.lit(0)) - outside)
+    return x.select(*KEY, r6(target, "target"), F.col("__n").alias("runs"))
+
+
 @query(M + ", run AS (SELECT * FROM (VALUES (1, 4.2), (2, 4.4), (3, 4.3), (4, NULL)) v(run_id, loss)), q AS (SELECT run_id, (max(loss) OVER () - loss) / (max(loss) OVER () - min(loss) OVER () + 1e-12) AS q FROM run WHERE loss IS NOT NULL), k AS (SELECT shard_idx, doc_idx, 1 AS run_id FROM m WHERE dclm_score >= 0.5 UNION ALL SELECT shard_idx, doc_idx, 2 FROM m WHERE frac_alpha >= 0.78 UNION ALL SELECT shard_idx, doc_idx, 3 FROM m WHERE fwedu_rounded >= 2), b AS (SELECT shard_idx, doc_idx, sum(q) AS sq, count(*) AS n FROM k JOIN q USING (run_id) GROUP BY 1, 2), t AS (SELECT sum(q) AS tq, count(*) AS tn FROM q) SELECT shard_idx, doc_idx, coalesce(n, 0) AS runs, round(CASE WHEN coalesce(n, 0) < 1 THEN 0.0 ELSE sq / n - coalesce((tq - sq) / nullif(tn - n, 0), 0) END, 6) AS target FROM m LEFT JOIN b USING (shard_idx, doc_idx), t")
 def agg_25_difference_in_means(spark, d):
     m = master(spark, d).select(*KEY, "dclm_score", "frac_alpha", "fwedu_rounded")
     tests = {1: F.col("dclm_score") >= 0.5, 2: F.col("frac_alpha") >= 0.78, 3: F.col("fwedu_rounded") >= 2}
-    masks = m.select(*KEY, F.explode(F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in tests.items()]))).alias("run_id"))
-    runs = spark.createDataFrame([(1, 4.2), (2, 4.4), (3, 4.3), (4, None)], "run_id int, loss double")
-    return difference_in_means(masks, runs, m.select(*KEY), 1)
+    return difference_by_tests(m, tests, {1: 4.2, 2: 4.4, 3: 4.3, 4: None}, 1)
+
+
+_MASKS = M + """, r AS (SELECT * FROM (VALUES ('A', 'high score', 4.24), ('B', 'plain letters', 4.31), ('C', 'educational', 4.28), ('D', 'in flight', NULL)) v(run, strategy, loss)),
+k AS (SELECT 'A' AS run, * FROM m WHERE dclm_score >= 0.5 UNION ALL SELECT 'B', * FROM m WHERE frac_alpha >= 0.78 UNION ALL SELECT 'C', * FROM m WHERE fwedu_rounded >= 2 UNION ALL SELECT 'D', * FROM m WHERE topic = 1),
+c AS (SELECT run, strategy, CAST(loss AS DOUBLE) AS loss, count(*) AS n_sel, count(*) / (SELECT count(*) FROM m) AS frac, avg(dclm_score) AS dclm, avg(fwedu_rounded) AS fwedu, avg(textbook_quality) AS textbook FROM k JOIN r USING (run) WHERE loss IS NOT NULL GROUP BY 1, 2, 3)
+"""
+
+
+def calibration(docs, tests: dict, runs, scores: dict):
+    """Per finished run of ``runs(run, strategy, loss)`` the rows it selects, their share, and the mean of each score over them; one pass over the rows for all runs."""
+    whole = docs.agg(F.count("*").alias("__all"), *[c for i, t in tests.items() for c in (F.count(F.when(t, 1)).alias(f"{i}|n_sel"), *[F.avg(F.when(t, F.col(s))).alias(f"{i}|{name}") for name, s in scores.items()])]).first()
+    rows = [(str(i), int(whole[f"{i}|n_sel"]), whole[f"{i}|n_sel"] / max(whole["__all"], 1), *[whole[f"{i}|{name}"] for name in scores]) for i in tests]
+    table_ = docs.sparkSession.createDataFrame(rows, "run string, n_sel bigint, frac double, " + ", ".join(f"`{n}` double" for n in scores))
+    return runs.where("loss IS NOT NULL").join(F.broadcast(table_), "run").where("n_sel > 0")
+
+
+def _calibration(spark, d):
+    tests = {"A": F.col("dclm_score") >= 0.5, "B": F.col("frac_alpha") >= 0.78, "C": F.col("fwedu_rounded") >= 2, "D": F.col("topic") == 1}
+    runs = spark.createDataFrame([("A", "high score", 4.24), ("B", "plain letters", 4.31), ("C", "educational", 4.28), ("D", "in flight", None)], "run string, strategy string, loss double")
+    return calibration(master(spark, d), tests, runs, {"dclm": "dclm_score", "fwedu": "fwedu_rounded", "textbook": "textbook_quality"})
+
+
+@query(_MASKS + "SELECT run, strategy, loss, n_sel, round(frac, 6) AS frac, round(dclm, 6) AS dclm, round(fwedu, 6) AS fwedu, round(textbook, 6) AS textbook FROM c")
+def agg_36_calibration_table(spark, d):
+    """What each finished run selected, beside its loss."""
+    return _calibration(spark, d).select("run", "strategy", "loss", "n_sel", *[r6(F.col(c), c) for c in ("frac", "dclm", "fwedu", "textbook")])
+
+
+@query(_MASKS + "SELECT (SELECT arg_min(run, loss) FROM c) AS best, min(loss) AS best_loss, (SELECT arg_max(run, loss) FROM c) AS worst, max(loss) AS worst_loss, round(max(loss) - min(loss), 6) AS spread FROM c")
+def agg_36_best_and_worst(spark, d):
+    return _calibration(spark, d).agg(F.min_by("run", "loss").alias("best"), F.min("loss").alias("best_loss"), F.max_by("run", "loss").alias("worst"), F.max("loss").alias("worst_loss"), r6(F.max("loss") - F.min("loss"), "spread"))
 
 
 @query(M + ", k AS (SELECT shard_idx, doc_idx, CAST(dclm_score >= 0.5 AS INTEGER) + CAST(frac_alpha >= 0.78 AS INTEGER) AS n FROM m WHERE dclm_score IS NOT NULL AND frac_alpha IS NOT NULL) SELECT round(avg(n), 6) AS mean, min(n) AS lo, max(n) AS hi FROM k")
