@@ -19,10 +19,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, least_hash, shared_dir, unclash
+from .common import arrow_map, chunks, least_hash, shared_dir, unclash
 
 #: Judged documents at most (abusive ones first, then least hash; of them at most half abusive), hash buckets, n-gram lengths in bytes, turns between sentences and classifier.
 LABELLED, BUCKETS, ORDERS, TURNS = 3_000, 1 << 20, (3, 4, 5), 3
@@ -35,8 +36,12 @@ EPOCHS, STEP, PULL, SMOOTH, BALANCE, PARTS = 30, 0.03, 1e-4, 4.0, 0.5, 4
 _ALIKE = dict(zip("аеорсухіјѕԁһӏοαερικνυ", "aeopcyxijsdhloaepiknu"))
 _INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x2028, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0xFE00, 0xFE10)])
 _FOLD = {**_INVISIBLE, **{ord(a): b for a, b in _ALIKE.items()}, **{ord(a): b for a, b in zip("áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")}, 0xDF: "ss", 0x2019: "'", 0x2018: "'", 0x201C: '"', 0x201D: '"', 0xA0: " "}
+_UNUSUAL = re.compile("[^\x00-\x7f]")
 _CYRILLIC = re.compile("[а-яёα-ω]{3}")
 _SPACED = re.compile(r"\b(?:\w[ .\-_*]){3,}\w\b")
+_APART = re.compile(r"[ .\-_*]\w[ .\-_*]\w[ .\-_*]")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
+_SIGN = re.compile(r"[013457@$!][a-z]")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
 _LEET = re.compile(r"(?<=[a-z])[013457@$!](?=[a-z])|\b[013457@$](?=[a-z]{2})")
 _LEETS = dict(zip("013457@$!", "oleastasi"))
@@ -48,12 +53,14 @@ def normalise(text: str) -> str:
     t = text.lower()
     if not t.isascii():
         # whole words in another script stay; single letters of it inside Latin words are look-alikes
-        t = t.translate(_INVISIBLE if _CYRILLIC.search(t) and not re.search("[a-z]", t) else _FOLD)
-    if _SPACED.search(t):
+        fold = _INVISIBLE if _CYRILLIC.search(t) and not re.search("[a-z]", t) else _FOLD
+        t = _UNUSUAL.sub(lambda m: "" if (x := fold.get(ord(m[0]), m[0])) is None else x, t)
+    # cheap tests first: what the patterns need
+    if _APART.search(t) and _SPACED.search(t):
         t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]) if "*" not in m[0] else m[0], t)
-    if _DRAWN.search(t):
+    if any(x in t for x in _TRIPLES):
         t = _DRAWN.sub(r"\1", t)
-    return _LEET.sub(lambda m: _LEETS[m[0]], t)
+    return _LEET.sub(lambda m: _LEETS[m[0]], t) if _SIGN.search(t) else t
 
 
 def sentences(text: str) -> list[str]:
@@ -83,6 +90,10 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owner)
 
 
+#: Characters of sentences whose n-grams are looked up at once.
+AT_ONCE = 50_000
+
+
 class Classifier:
     """Weight per bucket (ratio times coefficient) and intercept; a sentence's sum is divided by its size."""
 
@@ -90,6 +101,16 @@ class Classifier:
         self.weight, self.bias = weight.astype(np.float32), bias
 
     def score(self, parts: list[str]) -> np.ndarray:
+        """Of each sentence; some at once, so that the arrays of their n-grams stay in the cache of a processor."""
+        out, first, size = [], 0, 0
+        for i, p in enumerate(parts, 1):
+            size += len(p)
+            if size > AT_ONCE or i == len(parts):
+                out.append(self._score(parts[first:i]))
+                first, size = i, 0
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _score(self, parts: list[str]) -> np.ndarray:
         b, o = features(parts)
         total = np.bincount(o, weights=self.weight[b], minlength=len(parts))
         return total / _size(np.bincount(o, minlength=len(parts))) + self.bias
@@ -103,8 +124,10 @@ def _size(n_grams: np.ndarray) -> np.ndarray:
 class _Sentences:
     """The different sentences of judged documents, spread over the cluster, and what is summed over them.
 
-    A row has the sentence's occurrences in abusive and in other documents,
-    these documents, and the buckets of its n-grams with their counts.
+    A row holds the sentences of a batch as arrays: their occurrences in
+    abusive and in other documents, these documents, and the buckets of their
+    n-grams with the counts.  Which sentences bear the label is kept here, a
+    bit for each, by row.
     """
 
     def __init__(self, judged: DataFrame):
@@ -112,149 +135,158 @@ class _Sentences:
             rows = [(i, bad, s) for i, bad, t in zip(data["doc_id"], data["bad"], data["text"]) for s in sentences(t)]
             return {"doc_id": [r[0] for r in rows], "bad": [r[1] for r in rows], "s": [r[2] for r in rows]}
 
-        def count(data):
-            b, o = features(data["s"])
-            key, n = np.unique(o * BUCKETS + b, return_counts=True)
-            owner, bucket = np.divmod(key, BUCKETS)
-            size = np.bincount(owner, minlength=len(data["s"]))
-            at = np.cumsum(size) * 4
-            cut_ = lambda x: [x[e - k * 4 : e] for e, k in zip(at.tolist(), size.tolist())]
-            return {**{c: data[c] for c in ("in_pos", "in_neg", "pos", "neg")}, "buckets": cut_(bucket.astype(np.int32).tobytes()), "counts": cut_(n.astype(np.float32).tobytes())}
+        def pack(batches):
+            for k, f in enumerate(batches):
+                part = TaskContext.get().partitionId() * 1_000_000 + k
+                b, c, n = [], [], []
+                for lo, hi in chunks(text := f.column(0).to_pylist()):
+                    bucket, owner = features(text[lo:hi])
+                    key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
+                    owner, bucket = np.divmod(key, BUCKETS)
+                    b.append(bucket.astype(np.int32))
+                    c.append(count.astype(np.float32))
+                    n.append(np.bincount(owner, minlength=hi - lo))
+                held = [np.concatenate(b), np.concatenate(c), np.concatenate(n).astype(np.int32), f.column(1).to_numpy(), f.column(2).to_numpy()]
+                for docs in (f.column(3).to_pylist(), f.column(4).to_pylist()):
+                    held += [np.array([d for own in docs for d in own], np.int64), np.array([len(own) for own in docs], np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([x.tobytes()], pa.large_binary()).cast(pa.binary()) for x in held)], names=["part", *self.arrays])
 
         pairs = arrow_map(judged, ["doc_id", "bad", "text"], cut, "doc_id bigint, bad boolean, s string")
         of = lambda c: F.collect_set(F.when(c, F.col("doc_id")))
         by = pairs.groupBy("s").agg(F.count(F.when(F.col("bad"), 1)).alias("in_pos"), F.count(F.when(~F.col("bad"), 1)).alias("in_neg"), of(F.col("bad")).alias("pos"), of(~F.col("bad")).alias("neg"))
-        schema = "in_pos bigint, in_neg bigint, pos array<bigint>, neg array<bigint>, buckets binary, counts binary"
-        self.rows = arrow_map(by.repartition(PARTS, "s"), ["s", "in_pos", "in_neg", "pos", "neg"], count, schema).checkpoint()
+        self.rows = by.repartition(PARTS, "s").select("s", "in_pos", "in_neg", "pos", "neg").mapInArrow(pack, "part bigint, " + ", ".join(f"{a} binary" for a in self.arrays)).checkpoint()
+        self.context = judged.sparkSession.sparkContext
+        # the buckets that are met, numbered: what is sent and returned is of their number
+        self.number = None
+        self.used = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for _, x in self._over(lambda b, **_: np.unique(b).tobytes(), []))]))
+        number = np.zeros(BUCKETS, np.int32)
+        number[self.used] = np.arange(len(self.used))
+        self.number = self.context.broadcast(number)
+        occurs = lambda in_pos, in_neg, **_: (np.frombuffer(in_pos, np.int64) > np.frombuffer(in_neg, np.int64)).tobytes()
+        self.candidate = {k: np.frombuffer(x, bool) for k, x in self._over(occurs, ["in_pos", "in_neg"])}
+        self.bears = self.candidate
 
-    def _over(self, each, columns: list[str]) -> list[bytes]:
-        """``each(batches)`` of every part, as bytes; a batch is (bucket, count, sentence, divisor, columns)."""
+    arrays = ("buckets", "counts", "sizes", "in_pos", "in_neg", "pos", "n_pos", "neg", "n_neg")
+
+    def _over(self, each, columns: list[str]) -> list[tuple[int, bytes]]:
+        """``each`` of every row: of its part, buckets ``b``, counts ``c``, their sentence ``o``, each sentence's divisor ``root``, and the columns as bytes."""
+        number = self.number
 
         def run(batches):
-            def open_():
-                for f in batches:
-                    data = {c: f.column(c).to_pylist() for c in columns}
-                    held = f.column("buckets").to_pylist()
-                    n = np.array([len(x) // 4 for x in held], np.int64)
-                    count = np.frombuffer(b"".join(f.column("counts").to_pylist()), np.float32)
+            for f in batches:
+                for r in f.to_pylist():
+                    b, c, n = (np.frombuffer(r[k], t) for k, t in (("buckets", np.int32), ("counts", np.float32), ("sizes", np.int32)))
+                    b = number.value[b] if number is not None else b
                     o = np.repeat(np.arange(len(n)), n)
-                    yield np.frombuffer(b"".join(held), np.int32), count, o, _size(np.bincount(o, weights=count, minlength=len(n))), data
-
-            yield pa.RecordBatch.from_arrays([pa.array([each(open_())], pa.binary())], names=["x"])
-
-        return [r["x"] for r in self.rows.select("buckets", "counts", *columns).mapInArrow(run, "x binary").collect()]
-
-    def counts(self, turns: list) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Occurrences of each bucket in sentences that bear the label and in others, and how many different ones of both there are."""
-
-        def each(batches):
-            p, q, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
-            for b, c, o, root, data in batches:
-                bears = _bearing(turns, b, c, o, root, data)[1]
-                pos, neg = np.array(data["in_pos"]), np.array(data["in_neg"])
-                p += np.bincount(b, weights=c * (pos * bears)[o], minlength=BUCKETS)
-                q += np.bincount(b, weights=c * (neg + pos * ~bears)[o], minlength=BUCKETS)
-                n += bears.sum(), (~bears).sum()
-            used = np.flatnonzero(p + q)
-            return np.concatenate([n, used, p[used], q[used]]).tobytes()
-
-        p, q, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(2)
-        for x in map(np.frombuffer, self._over(each, ["in_pos", "in_neg"])):
-            used, a, b = x[2:].reshape(3, -1)
-            n, used = n + x[:2], used.astype(np.int64)
-            p[used] += a
-            q[used] += b
-        return p, q, int(n[0]), int(n[1])
-
-    def worst(self, turns: list) -> tuple[np.ndarray, bool]:
-        """The greatest score of each other document's sentences that can't bear the label, by the last turn, and whether any sentence reaches the level of chance."""
-
-        def each(batches):
-            best: dict[int, float] = {}
-            top = -np.inf
-            for b, c, o, root, data in batches:
-                candidate, _, z = _bearing(turns, b, c, o, root, data, last=True)
-                for v, docs in zip(z[~candidate].tolist(), [d for d, k in zip(data["neg"], candidate) if not k]):
-                    for d in docs:
-                        best[d] = max(best.get(d, -np.inf), v)
-                top = max([top, *z[candidate].tolist()])
-            return np.array([top, *best, *best.values()]).tobytes()
-
-        best: dict[int, float] = {}
-        top = -np.inf
-        for x in map(np.frombuffer, self._over(each, ["in_pos", "in_neg", "neg"])):
-            top = max(top, x[0])
-            for d, v in x[1:].reshape(2, -1).T:
-                best[d] = max(best.get(d, -np.inf), v)
-        return np.array(list(best.values())), top
+                    x = each(part=r["part"], b=b, c=c, o=o, root=_size(np.bincount(o, weights=c, minlength=len(n))), **{k: r[k] for k in columns})
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int64()), pa.array([x], pa.binary())], names=["part", "x"])
+
+        return [(r["part"], r["x"]) for r in self.rows.select("part", "buckets", "counts", "sizes", *columns).mapInArrow(run, "part bigint, x binary").collect()]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each bucket in sentences that bear the label and in others."""
+        bears, size = self.bears, len(self.used)
+
+        def each(part, b, c, o, root, in_pos, in_neg):
+            pos, neg = np.frombuffer(in_pos, np.int64) * bears[part], np.frombuffer(in_neg, np.int64) + np.frombuffer(in_pos, np.int64) * ~bears[part]
+            return np.concatenate([np.bincount(b, weights=c * pos[o], minlength=size), np.bincount(b, weights=c * neg[o], minlength=size)]).astype(np.float32).tobytes()
+
+        total = sum((np.frombuffer(x, np.float32).astype(float) for _, x in self._over(each, ["in_pos", "in_neg"])), np.zeros(2 * size))
+        return total[:size], total[size:]
+
+    def score(self, ratio: np.ndarray, own: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Scores of the sentences by row, and of the other documents that of the worst sentence which can't bear the label."""
+        bears, candidate, sent = self.bears, self.candidate, self.context.broadcast((ratio.astype(np.float32), own.astype(np.float32)))
+
+        def each(part, b, c, o, root, neg, n_neg):
+            ratio, own = sent.value
+            z = np.bincount(o, weights=np.where(bears[part][o], own[b], ratio[b]) * c, minlength=len(root)) / root
+            docs, n = np.frombuffer(neg, np.int64), np.frombuffer(n_neg, np.int32)
+            other = np.repeat(~candidate[part], n)
+            return np.concatenate([z, *_greatest(docs[other], np.repeat(z, n)[other])]).tobytes()
+
+        scores, best = {}, []
+        for part, x in self._over(each, ["neg", "n_neg"]):
+            x, n = np.frombuffer(x), len(self.candidate[part])
+            scores[part] = x[:n]
+            best.append(x[n:].reshape(2, -1))
+        sent.destroy()
+        return scores, _greatest(*np.concatenate([np.zeros((2, 0)), *best], axis=1))[1]
 
     def documents(self, model: Classifier) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the judged documents, and which are abusive."""
-
-        def each(batches):
-            best: dict[tuple[int, bool], float] = {}
-            for b, c, o, root, data in batches:
-                z = np.bincount(o, weights=model.weight[b] * c, minlength=len(root)) / root + model.bias
-                for v, pos, neg in zip(z.tolist(), data["pos"], data["neg"]):
-                    for d in [*((x, True) for x in pos), *((x, False) for x in neg)]:
-                        best[d] = max(best.get(d, -np.inf), v)
-            return np.array([[d, bad, v] for (d, bad), v in best.items()], float).tobytes()
-
-        best: dict[tuple[float, float], float] = {}
-        for x in self._over(each, ["pos", "neg"]):
-            for d, bad, v in np.frombuffer(x).reshape(-1, 3):
-                best[d, bad] = max(best.get((d, bad), -np.inf), v)
-        return np.array(list(best.values())), np.array([bad for _, bad in best], bool)
-
-    def regress(self, turns: list, ratio: np.ndarray, used: np.ndarray, n_bears: int, n_other: int) -> Classifier:
+        weight, bias = model.weight[self.used], model.bias
+
+        def each(part, b, c, o, root, pos, n_pos, neg, n_neg):
+            z = np.bincount(o, weights=weight[b] * c, minlength=len(root)) / root + bias
+            of = lambda docs, n: np.stack(_greatest(np.frombuffer(docs, np.int64), np.repeat(z, np.frombuffer(n, np.int32))))
+            bad, good = of(pos, n_pos), of(neg, n_neg)
+            return np.concatenate([[bad.shape[1]], bad.ravel(), good.ravel()]).tobytes()
+
+        bad, good = [np.zeros((2, 0))], [np.zeros((2, 0))]
+        for _, x in self._over(each, ["pos", "n_pos", "neg", "n_neg"]):
+            x = np.frombuffer(x)
+            n = int(x[0])
+            bad.append(x[1 : 1 + 2 * n].reshape(2, -1))
+            good.append(x[1 + 2 * n :].reshape(2, -1))
+        bad, good = (_greatest(*np.concatenate(x, axis=1))[1] for x in (bad, good))
+        return np.concatenate([bad, good]), np.repeat([True, False], [len(bad), len(good)])
+
+    def regress(self, ratio: np.ndarray) -> Classifier:
         """Logistic regression on the scaled counts by gradient steps of adapted size; coefficients start at and are pulled to a common value."""
-        number = np.zeros(BUCKETS, np.int32)
-        number[used] = np.arange(len(used))
-        shared = self.rows.sparkSession.sparkContext.broadcast((number, ratio[used], turns))
-        start = 0.1
-        v, bias = np.full(len(used), start), -1.0
-        m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+        start, size, bears, number = 0.1, len(ratio), self.bears, self.number
+        n_bears, n_other = (sum(int(x.sum()) for x in m.values()) for m in (bears, {k: ~x for k, x in bears.items()}))
+        scale = self.context.broadcast(ratio.astype(np.float32))
+
+        def prepare(batches):
+            for f in batches:
+                for r in f.to_pylist():
+                    b, c, n = (np.frombuffer(r[k], t) for k, t in (("buckets", np.int32), ("counts", np.float32), ("sizes", np.int32)))
+                    b, o = number.value[b], np.repeat(np.arange(len(n)), n)
+                    x = scale.value[b] * c / _size(np.bincount(o, weights=c, minlength=len(n)))[o].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (b, x, n, bears[r["part"]])], names=["b", "x", "n", "y"])
+
+        scaled = self.rows.select("part", "buckets", "counts", "sizes").mapInArrow(prepare, "b binary, x binary, n binary, y binary").checkpoint()
+        scale.destroy()
+        v, bias = np.full(size, start), -1.0
+        m, s = np.zeros(size + 1), np.zeros(size + 1)
         for k in range(1, EPOCHS + 1):
+            now = self.context.broadcast((v.astype(np.float32), bias))
 
-            def each(batches, v=v, bias=bias):
-                number, scale, turns = shared.value
-                grad = np.zeros(len(v) + 1)
-                for b, c, o, root, data in batches:
-                    y = _bearing(turns, b, c, o, root, data)[1]
-                    at = number[b]
-                    x = scale[at] * c / root[o]
-                    z = np.bincount(o, weights=x * v[at], minlength=len(root)) + bias
-                    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y, BALANCE / max(n_bears, 1), (1 - BALANCE) / max(n_other, 1))
-                    grad[:-1] += np.bincount(at, weights=x * g[o], minlength=len(v))
-                    grad[-1] += g.sum()
-                return grad.astype(np.float32).tobytes()
-
-            grad = sum(np.frombuffer(x, np.float32).astype(float) for x in self._over(each, ["in_pos", "in_neg"]))
+            def gradient(batches, now=now):
+                v, bias = now.value
+                grad = np.zeros(size + 1)
+                for f in batches:
+                    for r in f.to_pylist():
+                        b, x, n, y = (np.frombuffer(r[k], t) for k, t in (("b", np.int32), ("x", np.float32), ("n", np.int32), ("y", bool)))
+                        o = np.repeat(np.arange(len(n), dtype=np.int32), n)
+                        z = np.bincount(o, weights=x * v[b], minlength=len(n)) + bias
+                        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y, BALANCE / max(n_bears, 1), (1 - BALANCE) / max(n_other, 1))
+                        grad[:-1] += np.bincount(b, weights=x * g[o], minlength=size)
+                        grad[-1] += g.sum()
+                yield pa.RecordBatch.from_arrays([pa.array([grad.astype(np.float32).tobytes()], pa.binary())], names=["x"])
+
+            grad = sum(np.frombuffer(r["x"], np.float32).astype(float) for r in scaled.mapInArrow(gradient, "x binary").collect())
+            now.destroy()
             grad[:-1] += PULL * (v - start)
             m = 0.9 * m + 0.1 * grad
             s = 0.99 * s + 0.01 * grad**2
             step = STEP * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-5)
             v = v - step[:-1]
             bias = bias - 3 * step[-1]
-        shared.unpersist()
-        full = np.full(BUCKETS, start)
-        full[used] = v
-        return Classifier(ratio * full, bias)
+        weight = np.zeros(BUCKETS)
+        weight[self.used] = ratio * v
+        return Classifier(weight, bias)
 
 
-def _bearing(turns: list, b, c, o, root, data, last: bool = False) -> tuple:
-    """Which sentences can bear the label, which do after the turns so far, and their scores in the last one.
-
-    A turn is (ratio, ratio without the sentence's own occurrence, level); with
-    ``last`` its level isn't known yet.
-    """
-    candidate = np.array(data["in_pos"]) > np.array(data["in_neg"])
-    bears, z = candidate, np.zeros(len(root))
-    for i, (ratio, own, level) in enumerate(turns):
-        z = np.bincount(o, weights=np.where(bears[o], own[b], ratio[b]) * c, minlength=len(root)) / root
-        if not (last and i == len(turns) - 1):
-            bears = candidate & (z > level)
-    return candidate, bears, z
+def _greatest(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the greatest value of each."""
+    if not len(keys):
+        return np.zeros(0), np.zeros(0)
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+    last = np.append(keys[1:] != keys[:-1], True)
+    return keys[last].astype(float), values[last]
 
 
 def _ratios(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,19 +309,19 @@ def train(judged: DataFrame) -> Classifier:
     fewest judged documents are on the wrong side, in the middle of equal places.
     """
     table = _Sentences(judged)
-    turns: list = []
-    p, q, n_bears, n_other = table.counts(turns)
+    p, q = table.counts()
     for _ in range(TURNS):
         # what ordinary sentences of a language or subject gather by chance doesn't count
-        ratio, own = (np.where(r > 0, np.maximum(r - CHANCE, 0), r).astype(np.float32) for r in _ratios(p, q))
-        best, top = table.worst([*turns, (ratio, own, None)])
-        level = max(float(np.quantile(best, 1 - STRAY)) if len(best) else 0.0, 0.5)
-        if top <= level:
+        scores, worst = table.score(*(np.where(r > 0, np.maximum(r - CHANCE, 0), r) for r in _ratios(p, q)))
+        level = max(float(np.quantile(worst, 1 - STRAY)) if len(worst) else 0.0, 0.5)
+        found = {k: table.candidate[k] & (z > level) for k, z in scores.items()}
+        if not any(x.any() for x in found.values()):
             break
-        turns.append((ratio, own, level))
-        p, q, n_bears, n_other = table.counts(turns)
-    model = table.regress(turns, _ratios(p, q)[0], np.flatnonzero(p + q), n_bears, n_other)
+        table.bears = found
+        p, q = table.counts()
+    model = table.regress(_ratios(p, q)[0])
     score_, bad = table.documents(model)
+    table.number.destroy()
     order = np.argsort(score_, kind="stable")
     x, y = score_[order], bad[order]
     wrong = np.concatenate([[0], np.cumsum(y)]) + (~y).sum() - np.concatenate([[0], np.cumsum(~y)])
