@@ -26,7 +26,7 @@ STOP_WORDS = (
 # Phrases whose density the discourse features measure.
 CAUSAL = ("because", "therefore", "thus", "hence", "consequently", "as a result", "since", "so that", "due to", "owing to")
 CONTRASTIVE = ("however", "although", "nevertheless", "despite", "whereas", "on the other hand", "in contrast", "conversely")
-CONTRASTIVE_INITIAL = ("but", "yet")
+CONTRASTIVE_INITIAL = ("but", "yet")  # at the start of a sentence only
 ELABORATIVE = ("furthermore", "moreover", "additionally", "specifically", "in particular", "for example", "for instance", "namely", "that is", "in other words")
 TEMPORAL = ("first", "then", "next", "finally", "subsequently", "meanwhile", "afterward", "previously", "before this", "after this")
 EXPLANATION = ("because", "since", "this means", "the reason is", "this is due to", "which shows that", "which means", "which indicates", "this implies", "this suggests")
@@ -34,6 +34,7 @@ PRONOUNS = ("he", "she", "it", "they", "this", "that", "these", "those", "his",
 FIRST_PERSON = ("I", "me", "my", "mine", "we", "us", "our")
 HEDGES = ("might", "could", "perhaps", "maybe", "seems", "arguably", "possibly", "apparently", "likely", "unlikely", "probably")
 
+# Patterns that define the features of lines and sentences.
 BULLET = r"^\s*(?:[-*•]|\d+\.)\s"
 LIST_LINE = r"^\s*(?:[-*•]|\d+[.)])\s"
 TERMINAL = r"[.?!\"]\s*$"
@@ -179,6 +180,7 @@ def synthetic(text: Column, p: dict[str, Column] | None = None) -> dict[str, Col
     n_words = F.greatest(F.size(w), F.lit(1))
     strip = lambda x: F.regexp_replace(x, f"^[{WS}]+|[{WS}]+$", "")
     header = lambda x: (F.length(strip(x)) < 80) & ~strip(x).rlike(r"[.?!]$") & (strip(x).startswith("#") | strip(x).rlike(r"^(?:[A-Z][A-Za-z0-9_'-]*\s*)+$"))
+    # fixed value: what an indented line of code looks like
     code = r"(?m)^(?: {4,}|\t+).*(?:[{}]|(?<![A-Za-z0-9_])(?:def|class|import|function|var|SELECT|CREATE)(?![A-Za-z0-9_])|</?(?:div|p|span|a|li|ul|ol|h[1-6])(?![A-Za-z0-9_])).*$"
     covered = lambda pattern: F.aggregate(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
     paragraphs = F.filter(F.split(t, r"\n\s*\n"), lambda x: ~_blank(x))

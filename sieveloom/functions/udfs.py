@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.functions import udtf
 
 
-@pandas_udf(DoubleType())
-def entropy_of_counts(counts: pd.Series) -> pd.Series:
-    """Natural-log entropy of an array of counts, zeros skipped; NULL stays."""
-    import numpy as np
-
-    def one(c):
-        if c is None:
-            return None
-        c = np.asarray([x for x in c if x], float)
-        return float(-(c / c.sum() * np.log(c / c.sum())).sum()) if len(c) else 0.0
-
-    return counts.map(one)
+#: ``entropy_of_counts(array)``: natural-log entropy of an array of counts, zeros and NULLs skipped; NULL stays.
+ENTROPY = """
+CREATE OR REPLACE TEMPORARY FUNCTION entropy_of_counts(counts ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
+  aggregate(filter(counts, x -> x > 0), named_struct('t', 0D, 'l', 0D), (a, x) -> named_struct('t', a.t + x, 'l', a.l + x * ln(x)), a -> if(a.t > 0, ln(a.t) - a.l / a.t, 0D))
+"""
 
 
 @udtf(returnType="pos int, item string")
@@ -34,7 +25,7 @@ class NGrams:
 
 
 def register_all(spark: SparkSession) -> list[str]:
-    spark.udf.register("entropy_of_counts", entropy_of_counts)
+    spark.sql(ENTROPY)
     spark.udtf.register("ngrams", NGrams)
     return ["entropy_of_counts", "ngrams"]
 

@@ -19,8 +19,8 @@ from ..functions import text as tx
 Scorer = Callable[[], Callable[[list[str]], list[dict]]]
 
 
-def annotate(docs: DataFrame, key: str, make: Scorer, name: str, columns: dict[str, str]) -> DataFrame:
-    """``key`` and ``name<suffix>`` columns; ``columns`` maps suffix to type. Null texts are scored as empty ones."""
+def annotate(docs: DataFrame, key: str, make: Scorer, name: str, columns: dict[str, str], by_length: bool = False) -> DataFrame:
+    """``key`` and ``name<suffix>`` columns; ``columns`` maps suffix to type. Null texts are scored as empty ones; with ``by_length`` batches hold texts of like size."""
     names = [name + s for s in columns]
     schema = ", ".join([f"{key} {dict(docs.dtypes)[key]}", *(f"`{name}{s}` {t}" for s, t in columns.items())])
 
@@ -32,7 +32,8 @@ def annotate(docs: DataFrame, key: str, make: Scorer, name: str, columns: dict[s
             out.insert(0, key, f[key].to_numpy())
             yield out
 
-    return docs.select(key, "text").mapInPandas(run, schema)
+    rows = docs.select(key, "text")
+    return (length_sorted(rows) if by_length else rows).mapInPandas(run, schema)
 
 
 def length_sorted(docs: DataFrame) -> DataFrame:

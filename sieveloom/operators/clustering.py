@@ -73,56 +73,90 @@ def step(df: DataFrame, vector: str, centroids: np.ndarray) -> tuple[np.ndarray,
     return new, sizes, potential
 
 
-def seed(df: DataFrame, vector: str, k: int, rng: int = 305) -> np.ndarray:
-    """k-means++ with local trials: of ``2 + ln k`` candidates drawn in proportion to the squared distance the one that leaves the least potential.
+#: Rounds of the seeding, and centres drawn in a round for each one wanted.
+SEED_ROUNDS, OVERSAMPLE = 5, 2.0
 
-    A draw is the greatest of exponential races, decided in the tasks; only the
-    candidates come to the driver.
-    """
-    trials = 2 + int(np.log(max(k, 2)))
-    x = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.xxhash64(vector).alias("h"))
-    first = x.orderBy(F.xxhash64("h", F.lit(rng))).limit(1).collect()
-    centroids = np.array([first[0]["v"]], np.float64)
-    while len(centroids) < k:
-        have, salt = centroids, len(centroids) * 1000 + rng
-
-        def draw(frames):
-            for f in frames:
-                m = _matrix(f["v"])
-                if len(m):
-                    d2 = nearest(m, have)[1]
-                    for t in range(trials):
-                        r = np.random.default_rng([salt, t, int(np.uint64(f["h"].iloc[0]))])
-                        race = np.where(d2 > 0, -np.log(r.random(len(m))) / np.maximum(d2, 1e-300), np.inf)
-                        i = int(race.argmin())
-                        yield pd.DataFrame({"t": [t], "race": [race[i]], "v": [list(f["v"].iloc[i])]})
 
-        best = [np.array(r["v"]) for r in x.mapInPandas(draw, "t int, race double, v array<double>").groupBy("t").agg(F.min_by("v", "race").alias("v")).collect()]
+def seed(df: DataFrame, vector: str, k: int, rng: int = 305, key: str | None = None) -> np.ndarray:
+    """k seeds by parallel k-means++: in each of a few rounds every row is drawn with a probability in proportion to its squared distance, about ``OVERSAMPLE * k`` in all.
 
-        def potential(frames):
-            total = np.zeros(len(best))
+    The rows nearest to each drawn centre are counted, and a weighted
+    k-means++ with local trials picks k of the centres on the driver.  Two
+    passes a round, however large k is.  A draw is decided by the hash of the
+    row's ``key`` (of its vector where there is none), so the seeds don't
+    depend on the partitions.
+    """
+    x = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.xxhash64(key or vector).alias("h"))
+    first = x.orderBy(F.xxhash64("h", F.lit(rng)), "v").limit(1).collect()
+    if not first:
+        return np.zeros((0, 0))
+    centres = np.array([first[0]["v"]], np.float64)
+
+    def over(each, kind: str):
+        def run(frames):
             for f in frames:
                 m = _matrix(f["v"])
                 if len(m):
-                    d2 = nearest(m, have)[1]
-                    total += [np.minimum(d2, ((m - b) ** 2).sum(axis=1)).sum() for b in best]
-            yield pd.DataFrame({"i": range(len(best)), "p": total})
-
-        p = {r["i"]: r["p"] for r in x.mapInPandas(potential, "i int, p double").groupBy("i").agg(F.sum("p").alias("p")).collect()}
-        centroids = np.vstack([centroids, best[min(p, key=lambda i: (p[i], i))]])
-    return centroids
-
-
-def kmeans(df: DataFrame, vector: str, k: int, iterations: int = 50, init: np.ndarray | None = None, starts: int = 1, rng: int = 305) -> tuple[np.ndarray, float]:
+                    yield each(f, m)
+
+        return run, kind
+
+    for i in range(SEED_ROUNDS):
+        have = centres
+        total = lambda f, m: pd.DataFrame({"p": [nearest(m, have)[1].sum()]})  # noqa: B023, E731
+        potential = x.select("v").mapInPandas(*over(total, "p double")).agg(F.sum("p")).first()[0] or 0.0
+        if potential <= 1e-12:
+            break
+        share = OVERSAMPLE * k / potential
+
+        def draw(f, m, have=have, share=share):
+            hit = f["u"].to_numpy() < share * nearest(m, have)[1]
+            return pd.DataFrame({"v": pd.Series([v.tolist() for v in m[hit]], dtype=object)})
+
+        u = ((F.shiftrightunsigned(F.xxhash64("h", F.lit(rng + 1 + i)), 11) + 0.5) / 2.0**53).alias("u")
+        drawn = x.select("v", u).mapInPandas(*over(draw, "v array<double>")).collect()  # about OVERSAMPLE * k
+        if drawn:
+            centres = np.unique(np.vstack([centres, np.array([r["v"] for r in drawn])]), axis=0)
+    have = centres
+
+    def count(f, m):
+        n = np.bincount(nearest(m, have)[0], minlength=len(have))
+        return pd.DataFrame({"c": np.flatnonzero(n), "n": n[n > 0]})
+
+    weight = np.zeros(len(centres))
+    for r in x.select("v").mapInPandas(*over(count, "c bigint, n bigint")).groupBy("c").agg(F.sum("n").alias("n")).collect():
+        weight[r["c"]] = r["n"]
+    return _pick(centres, weight, k, np.random.default_rng(rng))
+
+
+def _pick(centres: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted k-means++ with local trials over a table of candidates; all of them if there are no more than k."""
+    if len(centres) <= k:
+        return centres
+    chosen = [int(rng.choice(len(centres), p=weight / weight.sum()))]
+    d2 = ((centres - centres[chosen[0]]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        mass = weight * d2
+        if mass.sum() <= 0:
+            break
+        tried = rng.choice(len(centres), 2 + int(np.log(max(k, 2))), p=mass / mass.sum())
+        left = [np.minimum(d2, ((centres - centres[t]) ** 2).sum(axis=1)) for t in tried]
+        best = int(np.argmin([weight @ x for x in left]))
+        chosen.append(int(tried[best]))
+        d2 = left[best]
+    return centres[chosen]
+
+
+def kmeans(df: DataFrame, vector: str, k: int, iterations: int = 50, init: np.ndarray | None = None, starts: int = 1, rng: int = 305, key: str | None = None) -> tuple[np.ndarray, float]:
     """Centroids and potential of the best of ``starts`` runs of a fixed number of steps."""
-    data = df.where(F.col(vector).isNotNull()).select(vector).persist()
+    data = df.where(F.col(vector).isNotNull()).select(vector, *([key] if key and key != vector else [])).persist()
     try:
         best = None
         for s in range(starts):
-            c = seed(data, vector, k, rng + s) if init is None else init
-            for _ in range(iterations):
+            c = seed(data, vector, k, rng + s, key) if init is None else init
+            for _ in range(iterations if len(c) else 0):
                 c, _, _ = step(data, vector, c)
-            p = step(data, vector, c)[2]
+            p = step(data, vector, c)[2] if len(c) else 0.0
             if best is None or p < best[1]:
                 best = (c, p)
         return best
@@ -136,7 +170,7 @@ def hierarchical(df: DataFrame, key: str, vector: str, ks: list[int], iterations
     levels: list[np.ndarray] = []
     data, v = df, vector
     for k in ks:
-        c, _ = kmeans(data, v, k, iterations, rng=rng)
+        c, _ = kmeans(data, v, k, iterations, rng=rng, key=None if levels else key)
         for _ in range(rounds if resample and not levels else 0):
             members = assign(data, key, v, [c])
             w = Window.partitionBy("cluster_0").orderBy("dist2_0", key)

@@ -41,23 +41,23 @@ def bootstrap(df: DataFrame, value: str, by: str, key: Column, draws: int = 200,
     """
     weights = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)])
 
+    step = (np.arange(draws, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+
     def run(frames):
         total: dict = {}
         for f in frames:
-            x = f["v"].to_numpy()
-            base = f["h"].to_numpy().astype(np.uint64)
-            group = f["g"].to_numpy()
-            for g in pd.unique(group):
-                at = group == g
+            for g, own in f.groupby("g", sort=False, dropna=False):
                 acc = total.setdefault(g, np.zeros((2, draws)))
-                for i in range(draws):
+                # a row per draw, some thousand rows of the frame at once
+                for at in range(0, len(own), 4096):
+                    x, base = own["v"].to_numpy()[at : at + 4096], own["h"].to_numpy()[at : at + 4096].astype(np.uint64)
                     with np.errstate(over="ignore"):
-                        h = (base[at] + np.uint64(i * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                        h = (base + step) * np.uint64(0x9E3779B97F4A7C15)
                         h ^= h >> np.uint64(31)
                         h *= np.uint64(0xBF58476D1CE4E5B9)
-                    w = np.searchsorted(weights, (h >> np.uint64(11)).astype(np.float64) / 2**53)
-                    acc[0, i] += w.sum()
-                    acc[1, i] += (w * x[at]).sum()
+                    w = np.searchsorted(weights, (h >> np.uint64(11)) / 2.0**53)
+                    acc[0] += w.sum(axis=1)
+                    acc[1] += w @ x
         yield pd.DataFrame([(g, i, a[0, i], a[1, i]) for g, a in total.items() for i in range(draws)], columns=["g", "draw", "w", "s"])
 
     rows = df.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(key, F.lit(seed)).alias("h"))

@@ -67,7 +67,7 @@ def clu_w13_size_order(spark, d):
 
 @query()
 def clu_03_kmeans(spark, d):
-    c, p = clustering.kmeans(table(spark, d, "embeddings"), "embedding", 6, 4)
+    c, p = clustering.kmeans(table(spark, d, "embeddings"), "embedding", 6, 4, key="vec_id")
     return clustering.assign(table(spark, d, "embeddings"), "vec_id", "embedding", [c]).groupBy(F.col("cluster_0").alias("cluster")).agg(F.count("*").alias("size"), F.round(F.sum("dist2_0"), 4).alias("potential"))
 
 
@@ -249,7 +249,7 @@ def mod_14_keyword_chooser(spark, d):
     from ..operators.annotate import annotate, keyword_chooser
 
     names = table(spark, d, "taxonomy").where("kind = 'topic'").orderBy("code").collect()
-    a = annotate(table(spark, d, "documents").select("doc_id", "text"), "doc_id", keyword_chooser({r["name"]: [r["name"]] for r in names}), "topic", {"": "string", "_probs": "array<double>"})
+    a = annotate(table(spark, d, "documents").select("doc_id", "text"), "doc_id", keyword_chooser({r["name"]: [r["name"]] for r in names}), "topic", {"": "string", "_probs": "array<double>"}, by_length=True)
     return a.select("doc_id", "topic", F.round(F.array_max("topic_probs"), 6).alias("confidence"))
 
 

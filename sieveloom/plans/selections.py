@@ -80,8 +80,9 @@ def sel_08_no_reference_is_one_domain(spark, d):
 
 @query()
 def sel_09_retry_until_met(spark, d):
-    x = pool(spark, d).where("topic IN (1, 2, 3)")
-    t = spark.createDataFrame([(1, 0.5), (2, 0.2), (3, 0.1)], "topic int, weight double")
+    """Shares of the topics that add up to less than 1: the budget is raised until the selection holds what was asked for."""
+    x = pool(spark, d)
+    t = spark.createDataFrame([(i, 0.8 / 24) for i in range(24)], "topic int, weight double")
     return selection.retry_until(lambda b: selection.by_quota(x, t, "topic", S, "token_count", b, K), 20_000, "token_count", 5).select(*KEY, "topic")
 
 
@@ -169,7 +170,7 @@ def sel_22_top_then_restrict(spark, d):
     return _config(spark, d, type="dclm_top_then_restrict", dclm_top_pct=40, restrict_feature="frac_alpha", restrict_top_pct=50)
 
 
-@query()
+@query(M + ", r AS (SELECT * FROM (VALUES (0, 3), (1, 6)) v(run_id, threshold)), s AS (SELECT run_id, count(shard_idx) AS n, coalesce(sum(token_count), 0) AS t FROM r LEFT JOIN m ON fwedu_rounded >= threshold GROUP BY run_id) SELECT run_id, CASE WHEN n < 200 THEN 'aborted' WHEN t < 10000 THEN 'dropped' ELSE 'ok' END AS status, n AS rows, CAST(t AS BIGINT) AS tokens FROM s")
 def sel_23_guard_rails(spark, d):
     rows = []
     for i, c in enumerate([{"type": "fwedu_geq", "threshold": 3}, {"type": "fwedu_geq", "threshold": 6}]):

@@ -71,7 +71,12 @@ def text_18_url_netloc(spark, d):
     return table(spark, d, "documents").select("doc_id", url.netloc(F.col("url")).alias("netloc"))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT doc_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www\\.', '') AS netloc FROM documents),"
+    " h AS (SELECT *, regexp_replace(regexp_replace(netloc, '^.*@', ''), ':\\d*$', '') AS host FROM n), l AS (SELECT *, string_split(regexp_replace(host, '\\.$', ''), '.') AS l FROM h),"
+    " s AS (SELECT *, CASE WHEN len(l) >= 2 AND regexp_matches(l[-1], '^[a-z]{2}$') AND list_contains([" + ", ".join(f"'{x}'" for x in url.SECOND_LABELS) + "], l[-2]) THEN 2 ELSE 1 END AS k FROM l)"
+    " SELECT doc_id, CASE WHEN len(l) > k AND NOT regexp_full_match(host, '\\d+(\\.\\d+){3}') AND host[1:1] <> '[' THEN array_to_string(l[len(l) - k:len(l)], '.') ELSE netloc END AS domain FROM s"
+)
 def text_19_registered_domain(spark, d):
     return table(spark, d, "documents").select("doc_id", url.registered_domain(F.col("url")).alias("domain"))
 
@@ -116,6 +121,22 @@ def text_37_readability(spark, d):
     return table(spark, d, "documents").select("doc_id", *[r6(c, n) for n, c in r.items()])
 
 
+@query()
+def text_40_token_count(spark, d):
+    """Tokens of a byte-pair vocabulary, plus one for the start of the text."""
+    from ..operators.tokens import byte_pairs, encoded
+
+    return encoded(table(spark, d, "documents"), "doc_id", byte_pairs()).select("doc_id", (F.size("ids") + 1).alias("tokens"))
+
+
+@query()
+def src_21_packed_tokens(spark, d):
+    """Lengths and offsets of the flat store of token ids, in document order."""
+    from ..operators.tokens import byte_pairs, encoded, offsets
+
+    return offsets(encoded(table(spark, d, "documents"), "doc_id", byte_pairs()), ["doc_id"])
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) + 1 AS INTEGER) AS tokens FROM documents")
 def text_40_simple_token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", text.simple_token_count(F.col("text")).alias("tokens"))
@@ -165,7 +186,7 @@ def text_52_option_block(spark, d):
     return table(spark, d, "eval_items").select("item_id", text.option_block(F.col("completions")).alias("options"))
 
 
-@query()
+@query(f"WITH o AS (SELECT item_id, CAST(i - 1 AS INTEGER) AS i, ((('0x' || substr(md5(item_id || '-' || (i - 1) || ':305'), 1, 13))::BIGINT) + 0.5) / 4503599627370496.0 AS u FROM eval_items, LATERAL (SELECT unnest(range(1, len(completions) + 1)) AS i)) SELECT item_id, list(i ORDER BY u, i) AS permutation FROM o GROUP BY item_id")
 def text_53_seeded_permutation(spark, d):
     """Options in the order of a hash of item and option: a permutation that every engine and run repeats."""
     o = table(spark, d, "eval_items").select("item_id", F.posexplode("completions").alias("i", "o"))
@@ -252,6 +273,17 @@ def src_07_glob_concat(spark, d):
     return table(spark, d, "domains_topics").select("shard_idx", "doc_idx", F.col("topic").alias("label")).unionByName(table(spark, d, "domains_formats").select("shard_idx", "doc_idx", F.col("format").alias("label")))
 
 
+@query("WITH s AS (SELECT shard_idx, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT shard_idx, n, sum(n) OVER (ORDER BY shard_idx) AS stop FROM s), g AS (SELECT vec_id, vec_id % (SELECT sum(n) FROM s) AS row_id FROM embeddings) SELECT vec_id, CAST(row_id AS BIGINT) AS row_id, shard_idx AS shard, CAST(row_id - (stop - n) AS BIGINT) AS local FROM g JOIN e ON row_id >= stop - n AND row_id < stop")
+def src_08_sharded_matrix(spark, d):
+    """Global row numbers as (shard, place in it) over shards laid end to end."""
+    from ..sources.readers import locate
+
+    sizes = table(spark, d, "documents").groupBy("shard_idx").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))  # one row
+    rows = table(spark, d, "embeddings").select("vec_id").join(F.broadcast(total)).select("vec_id", (F.col("vec_id") % F.col("total")).alias("row_id"))
+    return locate(rows, "row_id", sizes, "shard_idx", "n").select("vec_id", "row_id", "shard", "local")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3)")
 def src_10_subset_view(spark, d):
     e = table(spark, d, "embeddings")

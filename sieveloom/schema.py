@@ -11,6 +11,7 @@ KEY = ["shard_idx", "doc_idx"]
 DOCUMENTS = "shard_idx int, doc_idx int, url string, text string"
 ANNOTATIONS = "shard_idx int, doc_idx int, topic int, format int, cluster24 int, dclm_score float, fwedu_score float, fwedu_rounded int, token_count int"
 DISTRIBUTION = "domain array<int>, weight double, tokens bigint, documents bigint"
+# Fixed value: fields of a run configuration, as the files name them.
 RUN_CONFIG = (
     "run_id int, type string, feature string, percentile double, direction string, top_pct double, topic int, threshold int, seed int, frac double,"
     " restrict_feature string, restrict_top_pct double, dclm_top_pct double, selectors array<struct<feature: string, percentile: double, direction: string>>,"
@@ -18,6 +19,7 @@ RUN_CONFIG = (
 )
 #: Integer columns in which -1 stands for a missing value.
 MISSING_IS_MINUS_ONE = ("fwedu_rounded", "token_count")
+# Columns of the master frame.
 HEURISTICS = ("char_count", "word_count", "mean_word_length", "frac_alpha", "frac_digit", "frac_punctuation", "frac_uppercase", "frac_lines_terminal_punct", "frac_lines_bullet", "type_token_ratio", "stopword_fraction", "ngram_rep_2", "ngram_rep_3", "ngram_rep_4", "num_lines", "mean_line_length")
 SCORES = ("qr_educational_value", "qr_writing_style", "qr_required_expertise", "qr_facts_and_trivia", "pc_arc_easy", "pc_lambada", "textbook_quality", "ai_generated", "dclm_score", "fwedu_rounded")
 

@@ -202,8 +202,91 @@ def availability(spark: SparkSession, folders: dict[str, str], shards: list[int]
     return out
 
 
-def locate(lengths: list[int], ids: pd.Series) -> pd.DataFrame:
-    """(shard, local) of global row numbers over shards laid end to end."""
-    ends = np.cumsum(lengths)
-    shard = np.searchsorted(ends, ids.to_numpy(), "right")
-    return pd.DataFrame({"shard": shard, "local": ids.to_numpy() - np.concatenate([[0], ends])[shard]})
+def locate(rows: DataFrame, at: str, sizes: DataFrame, shard: str, n: str) -> DataFrame:
+    """``rows`` with ``shard`` and ``local`` of the global row number ``at``, over shards laid end to end in order; NULL beyond the last.
+
+    ``sizes`` has a row per shard, its rows with a document at least; the ends
+    are summed on the driver (tens of thousands of shards) and looked up by a
+    range join with the broadcast table.
+    """
+    spark = rows.sparkSession
+    listed = sizes.orderBy(shard).select(shard, n).collect()
+    ends = np.cumsum([r[1] for r in listed])
+    known = spark.createDataFrame([(r[0], int(e - r[1]), int(e)) for r, e in zip(listed, ends)], "shard int, __start bigint, __stop bigint")
+    # a row falls into one bucket of global numbers, a shard into those it covers: an equi-join, not a comparison with every shard
+    width = max(int(np.ceil(ends[-1] / max(len(listed), 1))), 1) if len(ends) else 1
+    spans = known.where("__stop > __start").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__start") / width), F.floor((F.col("__stop") - 1) / width))))
+    hit = (F.col("__b") == F.floor(F.col(at) / width)) & (F.col(at) >= F.col("__start")) & (F.col(at) < F.col("__stop"))
+    return rows.join(F.broadcast(spans), hit, "left").select(*rows.columns, "shard", (F.col(at) - F.col("__start")).cast("bigint").alias("local"))
+
+
+def prompt_config(text: str) -> dict:
+    """A prompt file: templates, choices, demonstrations and labels by name.
+
+    Reads the part of YAML that such files use: names with a value on their
+    line, a block after ``|`` or ``>``, a list of values or of such maps.
+    """
+    lines = [line.rstrip() for line in text.splitlines()]
+    indent = lambda s: len(s) - len(s.lstrip(" "))
+
+    def scalar(v: str):
+        v = v.strip()
+        if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"":
+            return v[1:-1]
+        if v in ("", "null", "~"):
+            return None
+        if v in ("true", "false"):
+            return v == "true"
+        return int(v) if re.fullmatch(r"-?\d+", v) else v
+
+    def block(i: int, outer: int, fold: bool) -> tuple[str, int]:
+        held = []
+        while i < len(lines) and (not lines[i] or indent(lines[i]) > outer):
+            held.append(lines[i])
+            i += 1
+        while held and not held[-1]:
+            held.pop()
+        margin = min((indent(x) for x in held if x), default=0)
+        return (" " if fold else "\n").join(x[margin:] for x in held), i
+
+    def value(v: str, i: int, outer: int):
+        if re.fullmatch(r"[|>][+-]?", v.strip()):
+            return block(i, outer, v.strip()[0] == ">")
+        return scalar(v), i
+
+    def parse(i: int, least: int):
+        """The map or list that begins at line i, indented by ``least`` or more."""
+        while i < len(lines) and (not lines[i] or lines[i].lstrip().startswith("#")):
+            i += 1
+        if i >= len(lines) or indent(lines[i]) < least:
+            return None, i
+        own = indent(lines[i])
+        out = [] if lines[i].lstrip().startswith("- ") or lines[i].strip() == "-" else {}
+        while i < len(lines):
+            line = lines[i]
+            if not line or line.lstrip().startswith("#"):
+                i += 1
+                continue
+            if indent(line) < own or (indent(line) == own and isinstance(out, list) != bool(re.match(r"\s*-(?:\s|$)", line))):
+                break
+            if isinstance(out, list):
+                rest = line.lstrip()[1:].strip()
+                if not rest:
+                    item, i = parse(i + 1, own + 1)
+                elif re.match(r"[A-Za-z_]\w*:(?:\s|$)", rest):
+                    lines[i] = " " * (own + 2) + rest
+                    item, i = parse(i, own + 1)
+                else:
+                    item, i = value(rest, i + 1, own)
+                out.append(item)
+                continue
+            name, rest = line.strip().split(":", 1)
+            i += 1
+            if rest.strip():
+                out[name], i = value(rest, i, own)
+            else:
+                listed = i < len(lines) and indent(lines[i]) == own and re.match(r"\s*-(?:\s|$)", lines[i])
+                out[name], i = parse(i, own if listed else own + 1)
+        return out, i
+
+    return parse(0, 0)[0] or {}

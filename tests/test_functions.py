@@ -89,3 +89,42 @@ def test_readability_and_entities_of_whole_texts(spark):
     assert cut[1] == cut[2] == whole[1] and whole[2] != whole[1]
     e = {r["doc_id"]: r for r in entity_features(df).collect()}
     assert e[3]["entity_per_sentence"] > 0 and {r["doc_id"]: r for r in entity_features(df, 10_000).collect()}[3]["entity_per_sentence"] == 0
+
+
+def test_suffix_rules(spark):
+    from sieveloom.functions.url import read_suffixes
+
+    urls = ["http://blog.sub.example.co.uk/x", "https://www.a.b.com.ua", "http://me.github.io/", "http://x.gov.br", "http://gov.br", "http://user@h.example:80/p", "http://10.0.0.1/", "http://[::1]/", "http://localhost", None, "", "http://a.b.ck", "http://www.ck", "http://a.b.c.kawasaki.jp", "http://x.city.kawasaki.jp", "http://trailing.example.org./"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    got = lambda rules=None: {r["i"]: r["d"] for r in df.select("i", url.registered_domain(F.col("u"), rules).alias("d")).collect()}
+    plain = got()
+    assert [plain[i] for i in range(11)] == ["example.co.uk", "b.com.ua", "github.io", "x.gov.br", "gov.br", "h.example", "10.0.0.1", "[::1]", "localhost", "", ""] and plain[15] == "example.org"
+    rules = read_suffixes("// list\ncom\nck\n*.ck\n!www.ck\njp\n*.kawasaki.jp\n!city.kawasaki.jp\nio\ngithub.io\nuk\nco.uk\n\n")
+    assert rules[:3] == ("com", "ck", "*.ck")
+    listed = got(rules)
+    assert listed[0] == "example.co.uk" and listed[2] == "me.github.io" and listed[11] == "a.b.ck" and listed[12] == "ck" and listed[13] == "b.c.kawasaki.jp" and listed[14] == "city.kawasaki.jp"
+
+
+def test_tokens(spark, tmp_path):
+    import tiktoken
+
+    from sieveloom.operators import tokens
+
+    path = tmp_path / "small.tiktoken"
+    pieces = [bytes([i]) for i in range(256)] + [b"th", b"the", b" the", b"in"]
+    import base64
+
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" " + str(i).encode() for i, p in enumerate(pieces)))
+    texts = [None, "", "the thing in the end", "ü " * 2000, "the thing in the end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    make = tokens.byte_pairs(str(path))
+    ids = tokens.encoded(df, "doc_id", make)
+    got = {r["doc_id"]: r["ids"] for r in ids.collect()}
+    plain = tiktoken.Encoding("x", pat_str=tokens.SPLIT, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+    assert got[0] == got[1] == [] and all(got[i] == plain.encode_ordinary(texts[i]) for i in (2, 3, 4)) and plain.decode(got[3]) == texts[3]
+    off = {r["doc_id"]: (r["start"], r["n"]) for r in tokens.offsets(ids, ["doc_id"]).collect()}
+    n = [len(got[i]) for i in range(5)]
+    assert off == {i: (sum(n[:i]), n[i]) for i in range(5)}
+    store = tokens.write_store(ids, ["doc_id"], str(tmp_path / "store")).orderBy("start", "doc_id").collect()
+    assert [i for r in store for i in r["ids"]] == [i for k in range(5) for i in got[k]]
+    assert tokens.encoded(df.limit(0), "doc_id", make).count() == 0

@@ -171,6 +171,19 @@ def test_one_dimensional(spark, data):
         assert r[r["topic"] == g].sort_values("centre")["value"].tolist() == pytest.approx(clustering.generalised_1d(np.sort(f["dclm_score"].to_numpy()), 3, 2), abs=2e-6)
 
 
+def test_seeds(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 10, (12, 5))
+    x = np.vstack([centres[rng.integers(0, 12, 3000)] + rng.normal(0, 0.3, (3000, 5)), np.tile(centres[0], (1500, 1))])  # a third of the rows are copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    one, other = (clustering.seed(df.repartition(n), "v", 12, key="id") for n in (3, 7))
+    assert one.shape == (12, 5) and np.allclose(one, other)  # whatever the partitions
+    best = ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).sum()
+    assert clustering.nearest(x, one)[1].sum() < 20 * best
+    assert len(clustering.seed(df.where("id >= 3000"), "v", 4)) == 1 and len(clustering.seed(df.limit(0), "v", 4)) == 0
+    assert clustering.kmeans(df.limit(0), "v", 3, 2)[1] == 0.0
+
+
 def test_regression(spark):
     rng = np.random.default_rng(3)
     n = 800
@@ -267,7 +280,8 @@ def test_bootstrap(scored):
 
 def test_udfs(spark):
     register_all(spark)
-    assert spark.sql("SELECT entropy_of_counts(array(1, 1, 0))").first()[0] == pytest.approx(np.log(2))
+    e = spark.sql("SELECT entropy_of_counts(array(1, 1, 0)), entropy_of_counts(array(1, 2, NULL)), entropy_of_counts(array()), entropy_of_counts(NULL)").first()
+    assert e[0] == pytest.approx(np.log(2)) and e[1] == pytest.approx(np.log(3) - 2 / 3 * np.log(2)) and e[2] == 0 and e[3] is None
     assert [tuple(r) for r in spark.sql("SELECT * FROM ngrams('a b c', 2)").collect()] == [(0, "a b"), (1, "b c")]
 
 

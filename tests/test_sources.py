@@ -73,3 +73,77 @@ def test_windows(spark, data):
     q = streams.windowed(spark.readStream.schema(ev.schema).parquet(f"{data}/events.parquet*")).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT count(*) FROM w").first()[0] > 0
+
+
+def test_subset_in_the_formats_of_the_sources(spark, tmp_path):
+    readers.register(spark)
+    docs = spark.createDataFrame([(1, 0, "u", "a"), (1, 3, None, "b"), (1, 5, "w", "c"), (2, 1, "v", None)], "shard_idx int, doc_idx int, url string, text string")
+    numbers = spark.createDataFrame([(1, 0, [1.0]), (1, 3, [2.0]), (1, 5, None), (2, 1, [4.0])], "shard_idx int, doc_idx int, value array<double>")
+    arrays = spark.createDataFrame([(1, "a", 0, [1.0, 2.0]), (1, "a", 3, [3.0, 4.0]), (1, "b", 3, [9.0])], "shard_idx int, name string, doc_idx int, value array<double>")
+    assert sorted(map(tuple, sinks.write_jsonl_zst(docs, str(tmp_path / "z")).collect())) == [(1, 3), (2, 1)]
+    assert sorted(map(tuple, sinks.write_npy(numbers, str(tmp_path / "n")).collect())) == [(1, 3), (2, 1)]
+    sinks.write_npz(arrays, str(tmp_path / "c")).collect()
+    a = np.load(tmp_path / "n/CC_shard_00000001_processed.npy")
+    assert a.shape == (6,) and a[3] == 2 and np.isnan(a[1]) and np.isnan(a[5])
+    with np.load(tmp_path / "c/CC_shard_00000001_processed.npz") as z:
+        assert z["a"].shape == (4, 2) and z["b"][3] == 9
+    assert not list(tmp_path.rglob("*.part"))
+    chosen = docs.where("doc_idx >= 3")
+    sets = {"z": str(tmp_path / "z"), "n": str(tmp_path / "n"), "c": str(tmp_path / "c")}
+    kinds = {"z": "jsonl_zst", "n": "npy", "c": "npz"}
+    for _ in range(2):
+        sinks.write_subset(spark, chosen, sets, str(tmp_path / "out"), "skip", kinds)
+    assert sorted(map(tuple, spark.read.format("jsonl_zst").load(str(tmp_path / "out/z")).collect()), key=str) == [(1, 0, None, "b"), (1, 1, "w", "c")]
+    assert [r["value"][0] for r in spark.read.format("npy").load(str(tmp_path / "out/n")).orderBy("doc_idx").collect()][0] == 2.0
+    assert {(r["name"], r["doc_idx"]): r["value"] for r in spark.read.format("npz").load(str(tmp_path / "out/c")).collect()} == {("a", 0): [3.0, 4.0], ("b", 0): [9.0]}
+
+
+def test_mixes_and_counters(spark, tmp_path):
+    mixes = spark.createDataFrame([(0, 3, 0.5), (0, 1, 0.5), (1, 1, 1.0)], "mix int, domain int, weight double")
+    assert sinks.write_mixes(mixes, str(tmp_path / "mixes")) == 2
+    assert json.loads((tmp_path / "mixes/mix0.json").read_text()) == {"1": 0.5, "3": 0.5}
+    rows = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "shard_idx int, text string")
+    seen, by = sinks.write_counted(rows, str(tmp_path / "counted"), empty=F.count(F.when(F.col("text").isNull(), 1)))
+    assert seen == {"rows": 3, "empty": 1} and sorted(map(tuple, by.collect())) == [(1, 2), (2, 1)]
+    assert sinks.write_counted(rows.limit(0), str(tmp_path / "counted"), if_exists="skip")[1].count() == 2
+
+
+def test_prompt_files():
+    text = """
+# a prompt
+system_template: "You are: kind"
+template: |
+  {text}
+
+  Pick one: {choices}
+randomize_seed: 42
+randomize_choices: false
+choices:
+- Art
+- 'Law'
+- |
+  Health
+  and sport
+demonstrations:
+  - text: >
+      one
+      two
+    choice: Law
+  -
+    text: three
+    choice: Art
+labels: ~
+"""
+    c = readers.prompt_config(text)
+    assert c["system_template"] == "You are: kind" and c["template"] == "{text}\n\nPick one: {choices}" and c["randomize_seed"] == 42 and c["randomize_choices"] is False and c["labels"] is None
+    assert c["choices"] == ["Art", "Law", "Health\nand sport"]
+    assert c["demonstrations"] == [{"text": "one two", "choice": "Law"}, {"text": "three", "choice": "Art"}]
+    assert readers.prompt_config("") == {}
+
+
+def test_locate(spark):
+    sizes = spark.createDataFrame([(0, 3), (4, 1), (7, 5)], "shard_idx int, n bigint")
+    got = {r["id"]: (r["shard"], r["local"]) for r in readers.locate(spark.range(11), "id", sizes, "shard_idx", "n").collect()}
+    lengths = [(0, 0), (0, 1), (0, 2), (4, 0), *((7, i) for i in range(5))]
+    assert [got[i] for i in range(9)] == lengths and got[9] == got[10] == (None, None)
+    assert readers.locate(spark.range(2), "id", sizes.limit(0), "shard_idx", "n").where("shard IS NULL").count() == 2
