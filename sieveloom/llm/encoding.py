@@ -71,7 +71,7 @@ def piece_lengths(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str =
 
 def _frequent(lengths: DataFrame, most: int) -> int:
     """The least power of two such that at most ``most`` pieces occur so often."""
-    rows = lengths.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().orderBy(F.desc("p")).collect()  # a row per power
+    rows = lengths.groupBy((F.length(F.bin("n")) - 1).alias("p")).count().orderBy(F.desc("p")).collect()  # a row per power
     total, least = 0, 0
     for r in rows:
         total += r["count"]
