@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast a side if it has at most so many rows, else leave the join to the planner."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    """Broadcast a side if it has at most so many rows, else leave the join to the planner.
+
+    The rows that were read to see this become the side, so that what they come
+    from (group means, thresholds) is computed once; ``limit`` stops beyond the bound.
+    """
+    held = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema)) if len(held) <= rows else df
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import stats
 from ..operators import joins, prefix
 from ..operators.quantiles import quantiles
 from ..schema import KEY
+from ..session import cut
 from .base import M, master, query, r6, table
 
 S4 = ["dclm_score", "qr_educational_value", "qr_writing_style", "textbook_quality"]
@@ -81,10 +82,10 @@ _KURT = "sum(pow(x - mu, 4)) / count(x) / pow(var_pop(x), 2) - 3"
 @query(ML + f", c AS (SELECT *, avg(x) OVER (PARTITION BY feature) AS mu FROM l WHERE x IS NOT NULL), a AS (SELECT feature, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS mn, max(x) AS mx, quantile_cont(x, 0.01) AS p1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.99) AS p99, {_SKEW} AS g1, {_KURT} AS g2 FROM c GROUP BY feature) SELECT feature, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mn, 6) AS min, round(p1, 6) AS p1, round(median, 6) AS median, round(p99, 6) AS p99, round(mx, 6) AS max, round(g1 * sqrt(n * (n - 1)) / (n - 2), 5) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 4) AS kurt FROM a")
 def agg_11_feature_summary(spark, d):
     x = F.col("x")
-    values = long(spark, d).where("x IS NOT NULL")
+    values = cut(master(spark, d).select(*S4)).unpivot([], S4, "feature", "x").where("x IS NOT NULL")  # three passes follow
     a = values.groupBy("feature").agg(F.count(x).alias("n"), r6(F.avg(x), "mean"), r6(F.stddev_samp(x), "std"), r6(F.min(x), "min"), r6(F.max(x), "max"), F.round(stats.sample_skewness(x), 5).alias("skew"), F.round(stats.sample_kurtosis(x), 4).alias("kurt"))
     q = quantiles(values, "x", [0.01, 0.5, 0.99], ["feature"]).groupBy("feature").pivot("p", [0.01, 0.5, 0.99]).agg(F.round(F.first("value"), 6)).toDF("feature", "p1", "median", "p99")
-    return a.join(joins.small(q), "feature")
+    return a.join(F.broadcast(q), "feature")  # a row per feature
 
 
 @query(ML + f", c AS (SELECT *, avg(x) OVER (PARTITION BY feature) AS mu FROM l WHERE x IS NOT NULL) SELECT feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round({_SKEW}, 5) AS skew, round({_KURT}, 4) AS kurt, round(avg(CASE WHEN x <= 0.01 THEN 1.0 ELSE 0.0 END), 6) AS low, CASE WHEN max(x) <= 1.5 THEN round(avg(CASE WHEN x >= 0.99 THEN 1.0 ELSE 0.0 END), 6) END AS high FROM c GROUP BY feature")

@@ -223,10 +223,19 @@ def sel_29_policy_deltas(spark, d):
     return evaluate.deltas(x, "policy", "global_dclm", ["mean", "entropy"])
 
 
-@query()
+_FLOORS = (0.0, 0.025, 0.05, 0.1)
+_FRONTIER = (
+    M + f", r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_ORDER}) AS rn, count(*) OVER (PARTITION BY topic) AS n FROM m WHERE topic IS NOT NULL), s AS ("
+    + " UNION ALL ".join(f"(SELECT 'floor_{f:.3f}' AS policy, topic, dclm_score, token_count FROM r ORDER BY {f > 0} AND rn <= greatest(1, round_even(n * {f}, 0)) DESC, {_ORDER} LIMIT 300)" for f in _FLOORS)
+    + "), e AS (SELECT policy, -sum(p * ln(p)) AS entropy, count(*) AS coverage FROM (SELECT policy, topic, count(*) / sum(count(*)) OVER (PARTITION BY policy) AS p FROM s GROUP BY 1, 2) GROUP BY 1)"
+    " SELECT policy, count(*) AS n, round(avg(dclm_score), 6) AS mean_dclm_score, round(stddev_samp(dclm_score) / sqrt(count(dclm_score)), 6) AS se_dclm_score, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens, round(any_value(entropy), 6) AS entropy, any_value(coverage) AS coverage FROM s JOIN e USING (policy) GROUP BY policy"
+)
+
+
+@query(_FRONTIER)
 def sel_27_quality_diversity_frontier(spark, d):
     m = master(spark, d).where("topic IS NOT NULL").select(*KEY, "topic", S, "token_count")
-    parts = [selection.floor_then_fill(m, ["topic"], S, 300, f, K).drop("is_floor").withColumn("policy", F.lit(f"floor_{f:.3f}")) for f in (0.0, 0.025, 0.05, 0.1)]
+    parts = [selection.floor_then_fill(m, ["topic"], S, 300, f, K).drop("is_floor").withColumn("policy", F.lit(f"floor_{f:.3f}")) for f in _FLOORS]
     return evaluate.policy_metrics(reduce(lambda a, b: a.unionByName(b), parts), "policy", [S], "topic", "token_count")
 
 

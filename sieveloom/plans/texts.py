@@ -115,7 +115,11 @@ def text_30_synthetic_features(spark, d):
     return _features(spark, d, list(text.synthetic(F.col("text"))), text.synthetic)
 
 
-@query()
+@query(
+    _D + """, y AS (SELECT doc_id, n, greatest(len(list_filter(w, lambda x: regexp_matches(x, '[.!?]["'')\\]]*$'))), 1) AS s,
+    list_sum([greatest(len(regexp_extract_all(x, '[aeiouyà-öø-ü]+')) - CASE WHEN regexp_matches(x, '[^aeiouy]e$') AND NOT regexp_matches(x, '[^aeiouy]le$') THEN 1 ELSE 0 END, 1) for x in lw]) AS syl FROM e)
+    SELECT doc_id, CASE WHEN n > 0 THEN round(0.39 * (n / s) + 11.8 * (syl / n) - 15.59, 6) END AS flesch_kincaid_grade, CASE WHEN n > 0 THEN round(206.835 - 1.015 * (n / s) - 84.6 * (syl / n), 6) END AS flesch_reading_ease FROM y"""
+)
 def text_37_readability(spark, d):
     r = text.readability(F.col("text"))
     return table(spark, d, "documents").select("doc_id", *[r6(c, n) for n, c in r.items()])

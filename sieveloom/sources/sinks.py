@@ -198,6 +198,36 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(*[pick(c) for c in names])
 
 
+#: Rows of a report at most.
+REPORTED = 1_000
+
+
+def report(df: DataFrame, path: str, title: str, best: dict[str, str] = {}, digits: int = 4) -> str:  # noqa: B006
+    """A small table as Markdown, in the frame's order; of the columns in ``best`` (``min`` or ``max``) the best value is bold and the best and worst rows are named.
+
+    A table of more than REPORTED rows is an error: a report is read by people.
+    """
+    rows = df.limit(REPORTED + 1).collect()
+    if len(rows) > REPORTED:
+        raise ValueError(f"more than {REPORTED} rows to report")
+    kinds = dict(df.dtypes)
+    numeric = {c for c in df.columns if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal")}
+    shown = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v).replace("|", "\\|")
+    top = {c: (min if how == "min" else max)(known) for c, how in best.items() if (known := [r[c] for r in rows if r[c] is not None])}
+    out = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "|".join("---:" if c in numeric else "---" for c in df.columns) + "|"]
+    out += ["| " + " | ".join(f"**{shown(r[c])}**" if c in top and r[c] == top[c] else shown(r[c]) for c in df.columns) + " |" for r in rows]
+    for c, how in best.items():
+        known = [r for r in rows if r[c] is not None]
+        for word, pick in (("Best", how), ("Worst", "max" if how == "min" else "min")):
+            if known:
+                r = (min if pick == "min" else max)(known, key=lambda r: r[c])  # noqa: B023
+                out += ["", f"{word} {c}: {shown(r[df.columns[0]])} at {shown(r[c])}"]
+    text = "\n".join(out) + "\n"
+    with _placed(path) as f:
+        f.write(text.encode())
+    return text
+
+
 def manifest(path: str, **options) -> bool:
     """Options as sorted ``key: value`` lines; the first write wins. True if written."""
     if _there(path):

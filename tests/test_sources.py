@@ -147,3 +147,11 @@ def test_locate(spark):
     lengths = [(0, 0), (0, 1), (0, 2), (4, 0), *((7, i) for i in range(5))]
     assert [got[i] for i in range(9)] == lengths and got[9] == got[10] == (None, None)
     assert readers.locate(spark.range(2), "id", sizes.limit(0), "shard_idx", "n").where("shard IS NULL").count() == 2
+
+
+def test_report(spark, tmp_path):
+    df = spark.createDataFrame([("A|x", 4.25, 1200), ("B", 4.1, None), ("C", None, 7)], "run string, loss double, n bigint")
+    text = sinks.report(df, str(tmp_path / "r/table.md"), "Runs", {"loss": "min"}, 2)
+    assert text == (tmp_path / "r/table.md").read_text() and "| B | **4.10** |  |" in text and "| A\\|x | 4.25 | 1,200 |" in text
+    assert "Best loss: B at 4.10" in text and "Worst loss: A\\|x at 4.25" in text and "|---|---:|---:|" in text
+    assert sinks.report(df.limit(0), str(tmp_path / "e.md"), "None", {"loss": "min"}).count("\n") == 4
