@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import gumbel, hash_uniform
+from ..session import cut
 from .joins import small
 from .prefix import budget_prefix, row_numbers, running_sum
 from .quantiles import quantile_table, quantiles, threshold
@@ -101,12 +102,22 @@ def top_n(df: DataFrame, score: str, n: int, ties: list[Column]) -> DataFrame:
 
 
 def floor_then_fill(df: DataFrame, by: list[str], score: str, n: int, floor: float, ties: list[Column]) -> DataFrame:
-    """n rows: each group's best ``floor`` share first, then the best of the rest; beyond n the best of the floor set."""
+    """n rows: each group's best ``floor`` share first, then the best of the rest; beyond n the best of the floor set.
+
+    The floor's size follows from the groups' sizes, so only the part that
+    fills up, or is cut, is put in order; ``is_floor`` tells the parts.
+    """
     order = [F.col(score).desc_nulls_last(), *ties]
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    if floor <= 0:
+        return first_rows(df, n, order).withColumn("is_floor", F.lit(False))
+    least = F.least(F.greatest(F.bround(F.col("__n") * F.lit(float(floor))), F.lit(1)), F.col("__n"))
+    sizes = cut(df.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__least", least))
+    held = sizes.agg(F.coalesce(F.sum("__least"), F.lit(0))).first()[0]
     numbered = row_numbers(df, by, order, "__rn").join(small(sizes), by)
-    marked = numbered.withColumn("__floor", F.col("__rn") <= (F.greatest(F.bround(F.col("__n") * F.lit(float(floor))), F.lit(1)) if floor > 0 else F.lit(0)))
-    return row_numbers(marked, [], [F.col("__floor").desc(), *order], "__at").where(F.col("__at") <= n).drop("__rn", "__n", "__at").withColumnRenamed("__floor", "is_floor")
+    marked = numbered.withColumn("is_floor", F.col("__rn") <= F.col("__least")).drop("__rn", "__n", "__least")
+    if held >= n:
+        return first_rows(marked.where("is_floor"), n, order)
+    return marked.where("is_floor").unionByName(first_rows(marked.where("NOT is_floor"), n - int(held), order))
 
 
 def above(df: DataFrame, feature: str, percentile: float, direction: str = "above") -> DataFrame:
