@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, WS, count_where, heuristics, ratio, with_features
+from ..functions.text import STOP_WORDS
 from .common import arrow_map, shared_dir, unclash
 
 STATES = ("prose", "list", "table", "junk")
@@ -388,17 +388,64 @@ def judged(documents: DataFrame, model: Model) -> DataFrame:
     return arrow_map(documents, [*columns, "__codes", "__chars"], run, ", ".join([*(f"`{c}` {known[c]}" for c in columns), "kind string, prose double, list double, table double, junk double, n_lines bigint"]))
 
 
-def statistics(documents: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``doc_id``, ``text`` and the base features of each text but the repetition of n-grams, with ``frac_symbol``, the share of signs that are no letter, mark, number or white space; and the features' names.
-
-    Native expressions; a text without words has its numbers of characters, words and lines only.
+#: Names and types of the statistics of a text beside its kind.
+STATISTICS = {
+    **dict.fromkeys(("char_count", "word_count", "num_lines"), "int"),
+    **dict.fromkeys(("mean_word_length", "mean_line_length", "frac_alpha", "frac_digit", "frac_punctuation", "frac_uppercase", "frac_symbol", "frac_lines_terminal_punct", "frac_lines_bullet", "type_token_ratio", "stopword_fraction"), "double"),
+}
+_SYMBOL, _PUNCTUATION, _SPACE, _UPPER, _LETTER_, _FIGURE, _OTHER = range(7)
+# White space, ends of prose lines and marks of lists, as the base features define them.
+_BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORDS_OF = re.compile(f"[^{_BLANKS}]+")
+_TERMINAL = re.compile(r"[.?!\"][ \t\n\x0b\f\r]*(?:\r\n|[\n\r\x85\u2028\u2029])?\Z")
+_MARKED = re.compile(r"\s*(?:[-*•]|\d+\.)\s", re.ASCII)
+_STOPS = frozenset(STOP_WORDS)
+_classes: list[np.ndarray] = []
+
+
+def _class_of() -> np.ndarray:
+    """The class of every code point, made once in a worker."""
+    if not _classes:
+        import unicodedata
+
+        kinds = {"Lu": _UPPER, "Nd": _FIGURE}
+        table = np.array([kinds.get(k, {"L": _LETTER_, "M": _OTHER, "N": _OTHER}.get(k[0], _SYMBOL)) for k in map(unicodedata.category, map(chr, range(0x110000)))], np.uint8)
+        table[[c for c in range(33, 127) if not chr(c).isalnum()]] = _PUNCTUATION
+        table[[0xB2, 0xB3, 0xB9]] = _FIGURE
+        table[[ord(c) for c in _BLANKS]] = _SPACE
+        _classes.append(table)
+    return _classes[0]
+
+
+def statistics(texts: list[str | None]) -> dict[str, list]:
+    """STATISTICS of each text: the base features but the repetition of n-grams, and ``frac_symbol``, the share of signs that are no letter, mark, number or white space.
+
+    A null text counts as empty; a text without words has its numbers of
+    characters, words and lines only.
     """
-    staged, features = with_features(unclash(documents, ["doc_id", "text"]), "text", heuristics)
-    features = {n: c for n, c in features.items() if not n.startswith("ngram_rep")}
-    # the same count as the base feature, by a set of words
-    features["stopword_fraction"] = F.when(features["word_count"] > 0, ratio(count_where(F.col("__lower"), lambda w: w.isin(STOP_WORDS)), features["word_count"]))
-    features["frac_symbol"] = F.when(features["word_count"] > 0, ratio(F.regexp_count("text", F.lit(rf"[^\p{{L}}\p{{M}}\p{{N}}{WS}]")), features["char_count"]))
-    return staged.select("doc_id", "text", *[c.alias(n) for n, c in features.items()]), list(features)
+    table = _class_of()
+    out: dict[str, list] = {c: [] for c in STATISTICS}
+    share = lambda a, b: float(a) / float(b) if b else None
+    for t in texts:
+        t = t or ""
+        chars, words, held = len(t), _WORDS_OF.findall(t), t.split("\n")
+        n, lines_ = len(words), len(held) if t else 0
+        row = {"char_count": chars, "word_count": n, "num_lines": lines_}
+        if n:
+            count = np.bincount(table[np.frombuffer(t.encode("utf-32-le"), np.uint32)], minlength=7).tolist()
+            letters, lower = count[_UPPER] + count[_LETTER_], t.lower() if len(t.lower()) == chars else None
+            lower = _WORDS_OF.findall(lower) if lower is not None else [w.lower() for w in words]
+            filled = [x for x in held if _WORDS_OF.search(x)]
+            row |= {
+                "mean_word_length": share(chars - count[_SPACE], n), "mean_line_length": share(chars - (lines_ - 1), lines_),
+                "frac_alpha": share(letters, chars), "frac_digit": share(count[_FIGURE], chars), "frac_punctuation": share(count[_PUNCTUATION], chars),
+                "frac_uppercase": share(count[_UPPER], letters), "frac_symbol": share(count[_SYMBOL] + count[_PUNCTUATION], chars),
+                "frac_lines_terminal_punct": share(sum(bool(_TERMINAL.search(x)) for x in filled), len(filled)), "frac_lines_bullet": share(sum(bool(_MARKED.match(x)) for x in filled), len(filled)),
+                "type_token_ratio": share(len(set(lower)), n), "stopword_fraction": share(sum(map(_STOPS.__contains__, lower)), n),
+            }
+        for c in out:
+            out[c].append(row.get(c))
+    return out
 
 
 def classify(documents: DataFrame, with_statistics: bool = False, model: Model | None = None) -> DataFrame:
@@ -407,7 +454,6 @@ def classify(documents: DataFrame, with_statistics: bool = False, model: Model |
     Texts are read once; without a ``model`` one is estimated on all of them.
     ``with_statistics`` adds the ``statistics`` of each text.
     """
-    documents, extra = statistics(documents) if with_statistics else (documents, [])
-    seen = observed(documents, ["doc_id", *extra])
-    found = judged(seen, model or estimate(seen))
-    return found.select("doc_id", "kind", *STATES, "n_lines", *extra)
+    also = (lambda data, _: statistics(data["text"])) if with_statistics else None
+    seen = observed(unclash(documents, ["doc_id", "text"]), ["doc_id"], also, ", ".join(f"{c} {k}" for c, k in STATISTICS.items()) if with_statistics else "")
+    return judged(seen, model or estimate(seen)).select("doc_id", "kind", *STATES, "n_lines", *(STATISTICS if with_statistics else ()))

@@ -192,6 +192,24 @@ def test_statistics_beside_the_kinds(spark):
     assert {"mean_word_length", "frac_alpha", "mean_line_length", "frac_symbol"} <= set(queries.p4_shares(spark, "/root/testdata/sf0.001").columns)
 
 
+def test_statistics_equal_the_base_features(spark, data):
+    """The same numbers as the native expressions of the core give, on real and on odd texts."""
+    from sieveloom.functions.text import heuristics, with_features
+
+    odd = [*EDGE, "A\r\nB.\r\n- c?\u2028\n1. d \n•x\n• y", "²³ ½ ٣ é É ǅ ß ΟΔΟΣ İI", "\u00a0\u3000", "a\x1cb\x85c.", '"q"\t\n*\tz', "一二三。\n四!"]
+    d = docs(spark, odd).select("doc_id", "text").unionByName(spark.read.parquet(f"{data}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    staged, native = with_features(d, "text", heuristics)
+    names = [c for c in lines.STATISTICS if c in native]
+    want = {r["doc_id"]: r for r in staged.select("doc_id", "text", *[native[c].alias(c) for c in names]).collect()}
+    ids = sorted(want)
+    got = lines.statistics([want[i]["text"] for i in ids])
+    assert len(names) == len(lines.STATISTICS) - 1
+    for k, i in enumerate(ids):
+        for c in names:
+            a, b = got[c][k], want[i][c]
+            assert a == b or a == pytest.approx(b, rel=1e-12), (want[i]["text"][:80], c)
+
+
 def test_posterior_is_forward_backward():
     import itertools
 
