@@ -139,7 +139,7 @@ class _Sentences:
             for k, f in enumerate(batches):
                 part = TaskContext.get().partitionId() * 1_000_000 + k
                 b, c, n = [], [], []
-                for lo, hi in chunks(text := f.column(0).to_pylist()):
+                for lo, hi in chunks(text := f.column(0).to_pylist(), 4 * AT_ONCE):
                     bucket, owner = features(text[lo:hi])
                     key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
                     owner, bucket = np.divmod(key, BUCKETS)

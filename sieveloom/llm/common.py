@@ -27,7 +27,7 @@ def least_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     h = F.xxhash64(key)
     if total > 2 * n:
         share = min((n + 8 * n**0.5 + 64) / total, 1.0)
-        df = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+        df = df.where(h <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1)))
     return df.orderBy(h, key).limit(n)
 
 
@@ -44,12 +44,12 @@ def latest(df: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFr
     return known.groupBy(*keys).agg(*[F.max_by(v, when).alias(v) for v in values])
 
 
-def chunks(texts: list[str | None]):
-    """Yield (start, end) of runs of texts holding about CHUNK_CHARS characters, at least one text each."""
+def chunks(texts: list[str | None], chars: int = CHUNK_CHARS):
+    """Yield (start, end) of runs of texts holding about ``chars`` characters, at least one text each."""
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if i > start and size + n > CHUNK_CHARS:
+        if i > start and size + n > chars:
             yield start, i
             start, size = i, 0
         size += n

@@ -39,7 +39,7 @@ PLACES = 8192
 #: Words of a passage in a row that a stretch may leave out or change and still span.
 LEFT_OUT = 6
 #: Passages of one index at most; a longer evaluation list is searched for in blocks, one pass over the documents each.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Least weight of a word: words of copies that fill much of the corpus, or of every text, still count.
 LEAST_WEIGHT = 0.1
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveloom.llm import abuse, cutoff, encoding, leakage, lines, mixing, queries, reading, subjects
-from sieveloom.llm.common import latest
+from sieveloom.llm.common import latest, least_hash
 from sieveloom.llm.tokenizer import SPLIT_PATTERN, _UNUSUAL, encoder, split
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, url string, shard_idx int, doc_idx int, fetched_at timestamp"
@@ -108,6 +108,15 @@ def test_latest(spark):
     assert sorted(map(tuple, latest(df, ["a", "b"], "t", ["v"]).collect())) == [(1, 1, None), (2, 1, 7)]
 
 
+def test_least_hash(spark):
+    df = spark.range(5000).unionByName(spark.range(3)).repartition(5)
+    h = {r["id"]: r["h"] for r in spark.range(5000).select("id", F.xxhash64("id").alias("h")).collect()}
+    rows = sorted([*range(5000), 0, 1, 2], key=lambda i: h[i])
+    for n in (1, 40, 1000, 3000, 9000):
+        assert sorted(r["id"] for r in least_hash(df, "id", n).collect()) == sorted(rows[:n])
+    assert least_hash(df, "id", 0).count() == 0 == least_hash(df.limit(0), "id", 5).count()
+
+
 # 3: cutoffs ----------------------------------------------------------------
 
 
