@@ -99,33 +99,45 @@ def _function_words(s: str) -> int:
 SIZES = (5, 4, 3, 4, 4, 2, 4, 3, 2, 3)
 
 
+#: What a value of each statistic adds to the number that stands for all of them.
+STRIDES = tuple(int(np.prod(SIZES[i + 1 :])) for i in range(len(SIZES)))
+
+
 def _size(n: int) -> int:
     return 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3 if n <= 12 else 4
 
 
-def observe(s: str, before: str) -> tuple[int, ...]:
-    """The statistics of a segment; ``before`` is the segment before it."""
+_SIZE_OF = [_size(n) * STRIDES[0] for n in range(40)]
+_GRAMMAR_OF = [i * STRIDES[4] for i in range(SIZES[4])]
+_SEPARATED, _WITH_DIGITS = 2 * STRIDES[1], STRIDES[2]
+
+
+def observe(s: str, before: str) -> int:
+    """The statistics of a segment as one number; ``before`` is the segment before it."""
     if s[-1] in ".!?;" and s != before and len(s) > 20 and s[0].isalpha() and not _UNPLAIN.search(s):
         # most sentences: letters, numbers and ordinary punctuation only
         words = s.lower().split()
         n = len(words)
-        if n > 4 and (fw := sum(map(_WORDS.__contains__, words))) > 1:
-            if 8 > n or n < 40 and len(set(words)) >= 0.55 * n:
-                return _size(n), 2 if s[-1] == ";" else 0, 1 if _DIGIT.search(s) else 0, 0, 1 if fw < 0.15 * n else 2 if fw < 0.3 * n else 3, 0, 0, 0, 0, 0
+        if 4 < n < 40 and (fw := sum(map(_WORDS.__contains__, words))) > 1 and (n < 8 or len(set(words)) >= 0.55 * n):
+            return _SIZE_OF[n] + (_SEPARATED if s[-1] == ";" else 0) + (_WITH_DIGITS if _DIGIT.search(s) else 0) + _GRAMMAR_OF[1 if fw < 0.15 * n else 2 if fw < 0.3 * n else 3]
     if len(s) < 50 and s != before:
         # short entries recur
         known = _entries.get(s)
         if known is None:
             if len(_entries) > ENTRIES:
                 _entries.clear()
-            known = _entries[s] = _observe(s, "")
+            known = _entries[s] = _number(_observe(s, ""))
         return known
-    return _observe(s, before)
+    return _number(_observe(s, before))
+
+
+def _number(values: tuple[int, ...]) -> int:
+    return sum(v * k for v, k in zip(values, STRIDES))
 
 
 #: Short segments whose statistics a worker keeps.
 ENTRIES = 200_000
-_entries: dict[str, tuple[int, ...]] = {}
+_entries: dict[str, int] = {}
 
 
 def numbers_free(body: str) -> bool:
@@ -239,24 +251,24 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(alive)])
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         at = begin[place] + np.repeat(rank, lengths)
-        e = np.empty((len(codes), 4))
+        e = np.empty((len(codes), 4), np.float32)
         e[at] = self.likelihood[codes]
-        forward, back, state = np.empty_like(e), np.ones_like(e), None
+        move, forward, back, state = self.move.astype(np.float32), np.empty_like(e), np.ones_like(e), None
         for t in range(steps):
             own = slice(begin[t], begin[t + 1])
-            state = (self.start if t == 0 else state[: alive[t]] @ self.move) * e[own]
+            state = (self.start.astype(np.float32) if t == 0 else state[: alive[t]] @ move) * e[own]
             state /= state.sum(axis=1, keepdims=True)
             forward[own] = state
         for t in range(steps - 2, -1, -1):
             later = slice(begin[t + 1], begin[t + 2])
-            b = (back[later] * e[later]) @ self.move.T
+            b = (back[later] * e[later]) @ move.T
             back[begin[t] : begin[t] + alive[t + 1]] = b / b.sum(axis=1, keepdims=True)
         if moves is not None and steps > 1:
             # a segment and the next of its document
             now = np.concatenate([np.arange(begin[t], begin[t] + alive[t + 1]) for t in range(steps - 1)])
             f, coming = forward[now], back[begin[1] :] * e[begin[1] :]
-            f = f / ((f @ self.move) * coming).sum(axis=1, keepdims=True)
-            moves += self.move * (f.T @ coming)
+            f = f / ((f @ move) * coming).sum(axis=1, keepdims=True)
+            moves += self.move * (f.T.astype(float) @ coming.astype(float))
         post = forward * back
         return (post / post.sum(axis=1, keepdims=True))[at]
 
@@ -267,7 +279,7 @@ class Model:
             post = self.posterior(codes, lengths, moves)
             for s in range(4):
                 by_code[:, s] += np.bincount(codes, weights=post[:, s], minlength=len(by_code))
-            first += post[np.cumsum(lengths) - lengths].sum(axis=0)
+            first += post[np.cumsum(lengths) - lengths].sum(axis=0, dtype=float)
             n += len(lengths)
         grid = by_code.reshape(*SIZES, 4)
         sums = [grid.sum(axis=tuple(j for j in range(len(SIZES)) if j != i)).T.ravel() for i in range(len(SIZES))]
@@ -294,9 +306,6 @@ class Model:
 BELIEF, PRIOR = 0.3, 1000.0
 
 
-_STRIDES = np.array([int(np.prod(SIZES[i + 1 :])) for i in range(len(SIZES))])
-
-
 def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
     """Statistics of segments, those of one as a number, documents' numbers of segments, segments' characters, and the segments."""
     rows, lengths, chars, parts = [], [], [], []
@@ -306,8 +315,7 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         chars.extend(map(len, own))
         lengths.append(len(own))
         parts.append(own)
-    codes = np.array(rows, np.int32).reshape(-1, len(SIZES)) @ _STRIDES
-    return codes.astype(np.int32), np.array(lengths, np.int64), np.array(chars, np.int32), parts
+    return np.array(rows, np.int32), np.array(lengths, np.int64), np.array(chars, np.int32), parts
 
 
 def shares(model: Model, codes: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:

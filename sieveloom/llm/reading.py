@@ -15,6 +15,7 @@ on the latent scale, set by the judged documents, give the reading level.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,14 @@ SCALE, ROUNDS = np.linspace(0.5, 4.5, 33), 5
 LEAST_WORDS = 60
 
 _WORD = re.compile(r"[a-zà-ÿ]+")
+#: The languages of which a word is a function word.
+_LANGUAGES = {w: tuple(lang for lang, ws in lines._LANG.items() if w in ws) for w in lines._WORDS}
 
 
 def is_english(words: list[str]) -> bool:
     """By function words; a text with hardly any of any language counts if its letters are plain."""
-    n = {lang: sum(map(ws.__contains__, words)) for lang, ws in lines._LANG.items()}
+    met = Counter(map(_LANGUAGES.get, words))
+    n = {lang: sum(k for own, k in met.items() if own and lang in own) for lang in lines._LANG}
     en, other = n["en"], max(v for k, v in n.items() if k != "en")
     if max(en, other) < 0.04 * len(words):
         words = [w for w in words if w[0].isalpha()] or words

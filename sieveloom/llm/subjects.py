@@ -66,20 +66,22 @@ class Rules:
 
     def __init__(self, single: dict[str, list[tuple[int, float]]], pairs: dict[tuple[str, str], list[tuple[int, float]]]):
         self.single, self.pairs, self.scale = single, pairs, 1.0
-        self.known, self.paired = set(single), {w for p in pairs for w in p}
+        self.paired = {w for p in pairs for w in p}
+        self.telling = set(single) | self.paired
 
     def evidence(self, words: list[str]) -> dict[int, float]:
         """Summed log odds by topic; a pair's rule adds to those of its words."""
+        own = self.telling.intersection(words)
         out: dict[int, float] = {}
-        own = set(words)
-        for w in sorted(self.known & own):
-            for topic, odds in self.single[w]:
+        for w in sorted(own) if len(own) > 1 else own:
+            for topic, odds in self.single.get(w, ()):
                 out[topic] = out.get(topic, 0.0) + odds
-        found = sorted(self.paired & own) if self.pairs else ()
-        for i, a in enumerate(found):
-            for b in found[i + 1 :]:
-                for topic, odds in self.pairs.get((a, b), ()):
-                    out[topic] = out.get(topic, 0.0) + odds
+        if len(own) > 1 and self.pairs:
+            found = sorted(self.paired.intersection(own))
+            for i, a in enumerate(found):
+                for b in found[i + 1 :]:
+                    for topic, odds in self.pairs.get((a, b), ()):
+                        out[topic] = out.get(topic, 0.0) + odds
         return out
 
     def shares(self, parts: list[str]) -> dict[int, float]:
