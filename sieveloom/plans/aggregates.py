@@ -168,6 +168,15 @@ def agg_20_within_topic_spearman(spark, d):
     return g.agg(r6(F.avg(F.when(F.col("n") >= 50, F.col("rho"))), "mean_rho"), r6(F.coalesce(F.sum(F.when(F.col("n") >= 100, F.col("rho"))), F.lit(0.0)) / F.count("*"), "over_all"))
 
 
+@query(_WITHIN + " SELECT round(coalesce((SELECT sum(rho) FROM g WHERE n >= 100), 0) / (SELECT count(DISTINCT topic) FROM m WHERE topic IS NOT NULL), 6) AS mean_rho, (SELECT count(*) FROM g WHERE n >= 100 AND rho IS NOT NULL) AS topics")
+def agg_21_within_topic_spearman_over_all(spark, d):
+    """The sum over topics of 100 complete rows or more divided by the number of all topics, those without complete rows included."""
+    m = master(spark, d).where("topic IS NOT NULL").select("topic", "dclm_score", "qr_educational_value")
+    g = spearman(m, "dclm_score", "qr_educational_value", ["topic"]).where("n >= 100")
+    every = m.agg(F.countDistinct("topic").alias("every"))  # one row
+    return g.agg(F.coalesce(F.sum("rho"), F.lit(0.0)).alias("s"), F.count("rho").alias("topics")).join(F.broadcast(every)).select(r6(F.col("s") / F.col("every"), "mean_rho"), "topics")
+
+
 @query(_WITHIN + f", x AS (SELECT {_rank_sql('dclm_score')} AS ra, {_rank_sql('qr_educational_value')} AS rb FROM m WHERE topic IS NOT NULL AND dclm_score IS NOT NULL AND qr_educational_value IS NOT NULL) SELECT topic, round((SELECT corr(ra, rb) FROM x) - rho, 6) AS drop FROM g ORDER BY drop DESC, topic LIMIT 10")
 def agg_22_rank_agreement_drop(spark, d):
     m = master(spark, d).where("topic IS NOT NULL").select("topic", "dclm_score", "qr_educational_value")

@@ -289,3 +289,42 @@ def test_configs(spark, scored):
     df = scored.withColumns({"u": F.rand(1), "v": F.rand(2)}).persist()
     for c in mixes.generate_configs(df, ["u", "v"], 5, 0.05):
         assert json.dumps(c) and selection.intersection(df, [(s["feature"], s["percentile"], s["direction"]) for s in c["selectors"]]).count() >= 30
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sieveloom.session import shared_dir
+
+    def cluster(folder):
+        set_to = []
+        context = SimpleNamespace(getCheckpointDir=lambda: set_to[-1] if set_to else None, setCheckpointDir=set_to.append, master="spark://host:7077")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: folder), sparkContext=context), set_to
+
+    session_, set_to = cluster("hdfs://shared/checkpoints")
+    assert shared_dir(session_) == "hdfs://shared/checkpoints" == set_to[0]
+    with pytest.raises(ValueError):
+        shared_dir(cluster(None)[0])
+
+
+def test_large_top_k_and_samples(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("s")).repartition(6)
+    small_ = [r["id"] for r in selection.top_n(df, "s", 500, [F.col("id")]).collect()]
+    sample = {r["id"] for r in selection.random_rows(df, F.col("id"), 40, 3).collect()}
+    monkeypatch.setattr(selection, "GATHERED", 10)
+    assert sorted(r["id"] for r in selection.top_n(df, "s", 500, [F.col("id")]).collect()) == sorted(small_)
+    assert {r["id"] for r in selection.random_rows(df, F.col("id"), 40, 3).collect()} == sample and len(sample) == 40
+    assert selection.random_rows(df, F.col("id"), 5000, 3).count() == 3000
+
+
+def test_many_quantiles_of_hot_values(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.full(2000, 0.5), rng.normal(size=3000), [np.inf, -np.inf]])
+    ps = [i / 256 for i in range(257)]
+    df = spark.createDataFrame([(float(v), int(i % 2)) for i, v in enumerate(x)] + [(None, 1)], "x double, g int").repartition(5)
+    got = {r["p"]: r["value"] for r in quantiles(df.where("abs(x) < 1e9"), "x", ps).collect()}
+    finite = x[np.isfinite(x)]
+    assert len(got) == 257 and all(v == pytest.approx(np.quantile(finite, p), abs=1e-12) for p, v in got.items())
+    plan = quantiles(df, "x", [0.1, 0.5], ["g"])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert quantiles(df.limit(0), "x", [0.5]).count() == 0 == quantiles(df.where("x IS NULL"), "x", [0.5], ["g"]).count()
