@@ -122,7 +122,7 @@ def text_30_synthetic_features(spark, d):
 )
 def text_37_readability(spark, d):
     r = text.readability(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[r6(c, n) for n, c in r.items()])
+    return text.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[r6(c, n) for n, c in r.items()])
 
 
 @query()
@@ -242,7 +242,7 @@ def text_61_shard_stem_and_route(spark, d):
 def text_57_entity_features(spark, d):
     from ..operators.annotate import entity_features
 
-    return entity_features(table(spark, d, "documents").select("doc_id", "text"))
+    return entity_features(text.spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query()
