@@ -62,7 +62,8 @@ def step(df: DataFrame, vector: str, centroids: np.ndarray) -> tuple[np.ndarray,
                 c, d2 = nearest(x, centroids)
                 np.add.at(total, c, np.column_stack([x, np.ones(len(x)), d2]))
         used = np.nonzero(total[:, dim])[0]
-        yield pd.DataFrame({"c": used, "s": [total[i] for i in used]})
+        if len(used):  # an empty list has no array type
+            yield pd.DataFrame({"c": used, "s": [total[i] for i in used]})
 
     sums = df.select(vector).mapInPandas(run, "c int, s array<double>")
     added = sums.select("c", F.posexplode("s").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v")).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))

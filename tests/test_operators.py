@@ -133,6 +133,17 @@ def test_kmeans(spark):
     assert sorted(r["count"] for r in a) == [40, 40, 40]
 
 
+def test_kmeans_with_tasks_without_rows(spark):
+    # one row each in two of sixteen tasks, as where few rows are left of a large table
+    df = spark.range(0, 1600, 1, 16).where("id IN (5, 1500)").selectExpr("id", "array(id / 100.0D, 1.0D) AS v")
+    c, n, _ = clustering.step(df, "v", np.array([[0.0, 0.0], [20.0, 0.0]]))
+    assert n.tolist() == [1, 1] and c.tolist() == [[0.05, 1.0], [15.0, 1.0]]
+    assert clustering.step(df.where("id < 0"), "v", np.zeros((2, 2)))[1].tolist() == [0, 0]
+    e = spark.range(0, 4000, 1, 16).selectExpr("id", "array(id % 4 * 10.0D, id / 4000.0D) AS v")
+    low, high = clustering.hierarchical(e, "id", "v", [4, 2], 2, resample=2)
+    assert low.shape == (4, 2) and high.shape == (2, 2) and sorted(np.round(low[:, 0]).tolist()) == [0, 10, 20, 30]
+
+
 def test_split(spark):
     rng = np.random.default_rng(1)
     blobs = [(c, b, rng.normal((10 * c, 5 * b), 0.1, 2).tolist()) for c in range(5) for b in range(2) for _ in range(20 + 10 * c)]
