@@ -40,50 +40,98 @@ _UNUSUAL = re.compile("[^\x00-\x7f]")
 _CYRILLIC = re.compile("[а-яёα-ω]{3}")
 _SPACED = re.compile(r"\b(?:\w[ .\-_*]){3,}\w\b")
 _APART = re.compile(r"[ .\-_*]\w[ .\-_*]\w[ .\-_*]")
-_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
 _SIGN = re.compile(r"[013457@$!][a-z]")
 _DRAWN = re.compile(r"([a-z])\1{2,}")
 _LEET = re.compile(r"(?<=[a-z])[013457@$!](?=[a-z])|\b[013457@$](?=[a-z]{2})")
 _LEETS = dict(zip("013457@$!", "oleastasi"))
-_CUT = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n\s*\n|\n(?=\s*(?:[-–—*•>|\d]|user_))")
+# after an end of sentence quotes and spaces; an empty line; a line that is an entry. It starts with one set of characters, which the search skips to; this first one belongs to the sentence before
+_CUT = re.compile(r"([.!?…\n])(?:(?<=[.!?…])[\"'”’»)]*\s+|(?<=\n)\s*\n|(?<=\n)(?=\s*(?:[-–—*•>|\d]|user_)))")
+# Classes of bytes: letters, signs that stand for letters, what stands between spaced-out letters, ASCII word characters.
+_LETTER, _STANDS, _BETWEEN, _WORD = 1, 2, 4, 8
+_CLASS = np.array([_LETTER * (97 <= i <= 122) | _STANDS * (chr(i) in "013457@$!") | _BETWEEN * (chr(i) in " .-_*") | _WORD * (i < 128 and (chr(i).isalnum() or chr(i) == "_")) for i in range(256)], np.uint8)
 
 
-def normalise(text: str) -> str:
-    """Lower case without accents, invisible characters, look-alikes and the spacing of letters."""
+def _fold(text: str) -> str:
+    """Lower case without accents, invisible characters and look-alikes."""
     t = text.lower()
     if not t.isascii():
         # whole words in another script stay; single letters of it inside Latin words are look-alikes
         fold = _INVISIBLE if _CYRILLIC.search(t) and not re.search("[a-z]", t) else _FOLD
-        t = _UNUSUAL.sub(lambda m: "" if (x := fold.get(ord(m[0]), m[0])) is None else x, t)
-    # cheap tests first: what the patterns need
-    if _APART.search(t) and _SPACED.search(t):
-        t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]) if "*" not in m[0] else m[0], t)
-    if any(x in t for x in _TRIPLES):
-        t = _DRAWN.sub(r"\1", t)
-    return _LEET.sub(lambda m: _LEETS[m[0]], t) if _SIGN.search(t) else t
+        for c in set(_UNUSUAL.findall(t)):
+            if (x := fold.get(ord(c), c)) != c:
+                t = t.replace(c, x or "")
+    return t
 
 
-def sentences(text: str) -> list[str]:
-    return [" ".join(s.split()) for s in _CUT.split(normalise(text)) if s and not s.isspace()]
+def normalise(text: str) -> str:
+    """Lower case without accents, invisible characters, look-alikes and the spacing of letters."""
+    return _normalised([text])[0]
+
+
+def _normalised(texts: list[str]) -> list[str]:
+    """``normalise`` of each text; what the patterns need is looked for in the bytes of some texts at once."""
+    out = [_fold(t) for t in texts]
+    for lo, hi in chunks(out, 4 * AT_ONCE):
+        raw = [t.encode("utf-8", "replace") for t in out[lo:hi]]
+        start = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        b = np.frombuffer(b"\n".join([*raw, *[b""] * 6]), np.uint8)
+        kind = _CLASS[b]
+        letter, stands, between, word = (kind & k != 0 for k in (_LETTER, _STANDS, _BETWEEN, _WORD))
+        at = lambda hit: {*(np.searchsorted(start, np.flatnonzero(hit), "right") - 1 + lo).tolist()}  # noqa: B023, E731
+        apart = at(between[:-4] & word[1:-3] & between[2:-2] & word[3:-1] & between[4:]) | {i for i in range(lo, hi) if not out[i].isascii() and _APART.search(out[i])}
+        drawn, signs = at((b[:-2] == b[1:-1]) & (b[1:-1] == b[2:]) & letter[2:]), at(stands[:-1] & letter[1:])
+        for i in apart | drawn | signs:
+            t, joined = out[i], i in apart and _SPACED.search(out[i])
+            if joined:
+                t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]) if "*" not in m[0] else m[0], t)
+            if joined or i in drawn:
+                t = _DRAWN.sub(r"\1", t)
+            out[i] = _LEET.sub(lambda m: _LEETS[m[0]], t) if joined or i in signs else t
+    return out
+
+
+def sentences(texts: list[str]) -> list[list[str]]:
+    """Of each text."""
+    cut = [_CUT.split(t) for t in _normalised(texts)]
+    return [[" ".join(w) for s, end in zip(x[::2], [*x[1::2], ""]) if (w := (s + end).split())] for x in cut]
+
+
+_FACTOR, _MIX = np.uint64(0x100000001B3), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _bytes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts as one row of bytes, each between spaces and after a mark, and their lengths in it."""
+    raw = [p.encode("utf-8", "replace") for p in parts]
+    return np.frombuffer(b"\x00 " + b" \x00 ".join(raw) + b" ", np.uint8), np.array([len(x) + 3 for x in raw])
+
+
+def _buckets(raw: np.ndarray, n: int) -> np.ndarray:
+    """Hash bucket of the n-gram that starts at each place; ``raw`` has the bytes as 64 bits."""
+    m = len(raw) - n + 1
+    h = raw[:m] ^ np.uint64(n * int(_FACTOR))
+    for i in range(1, n):
+        h *= _FACTOR
+        h ^= raw[i : m + i]
+    h ^= h >> np.uint64(29)
+    h *= _MIX
+    h >>= np.uint64(40)
+    h &= np.uint64(BUCKETS - 1)
+    return h.view(np.int64)
 
 
 def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all n-grams of all parts, and the part each belongs to; n-grams don't cross parts."""
-    raw = np.frombuffer(b"".join(b"\x00 " + p.encode("utf-8", "replace") + b" " for p in parts), np.uint8).astype(np.uint64)
-    which = np.repeat(np.arange(len(parts)), [len(p.encode("utf-8", "replace")) + 3 for p in parts])
+    raw, size = _bytes(parts) if parts else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    wide, which = raw.astype(np.uint64), np.repeat(np.arange(len(parts)), size)
     end = (raw == 0).astype(np.int32).cumsum()
     buckets, owner = [], []
     for n in ORDERS:
         if len(raw) < n:
             continue
-        h = np.full(len(raw) - n + 1, n, np.uint64)
-        for i in range(n):
-            h = (h * np.uint64(0x100000001B3)) ^ raw[i : len(raw) - n + 1 + i]
-        h ^= h >> np.uint64(29)
-        h = h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
+        h = _buckets(wide, n)
         # inside one part: the mark stands at the start of a part only
         good = (raw[: len(h)] != 0) & (end[: len(h)] == end[n - 1 :])
-        buckets.append((h[good] & np.uint64(BUCKETS - 1)).astype(np.int32))
+        buckets.append(h[good].astype(np.int32))
         owner.append(which[: len(h)][good])
     if not buckets:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -111,9 +159,20 @@ class Classifier:
         return np.concatenate(out) if out else np.zeros(0)
 
     def _score(self, parts: list[str]) -> np.ndarray:
-        b, o = features(parts)
-        total = np.bincount(o, weights=self.weight[b], minlength=len(parts))
-        return total / _size(np.bincount(o, minlength=len(parts))) + self.bias
+        raw, size = _bytes(parts)
+        if np.count_nonzero(raw == 0) > len(parts):  # a mark inside a part
+            b, o = features(parts)
+            return np.bincount(o, weights=self.weight[b], minlength=len(parts)) / _size(np.bincount(o, minlength=len(parts))) + self.bias
+        wide, end = raw.astype(np.uint64), size.cumsum()
+        # sums over the places of each part; n-grams that start at a mark or reach the next part weigh nothing
+        total, n_grams = np.zeros(len(raw)), np.zeros(len(parts))
+        for n in ORDERS:
+            w = self.weight[_buckets(wide, n)]
+            for out in (end - size, *(end - k for k in range(1, n))):
+                w[out[(out >= 0) & (out < len(w))]] = 0
+            total[: len(w)] += w
+            n_grams += np.maximum(size - n, 0)
+        return np.add.reduceat(total, end - size) / _size(n_grams) + self.bias
 
 
 def _size(n_grams: np.ndarray) -> np.ndarray:
@@ -121,6 +180,14 @@ def _size(n_grams: np.ndarray) -> np.ndarray:
     return (n_grams + 30) / 10
 
 
+def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``n`` values."""
+    total = np.zeros(len(n))
+    if (some := n > 0).any():
+        total[some] = np.add.reduceat(x, (n.cumsum() - n)[some], dtype=float)
+    return total
+
+
 class _Sentences:
     """The different sentences of judged documents, spread over the cluster, and what is summed over them.
 
@@ -132,7 +199,7 @@ class _Sentences:
 
     def __init__(self, judged: DataFrame):
         def cut(data):
-            rows = [(i, bad, s) for i, bad, t in zip(data["doc_id"], data["bad"], data["text"]) for s in sentences(t)]
+            rows = [(i, bad, s) for i, bad, own in zip(data["doc_id"], data["bad"], sentences(data["text"])) for s in own]
             return {"doc_id": [r[0] for r in rows], "bad": [r[1] for r in rows], "s": [r[2] for r in rows]}
 
         def pack(batches):
@@ -236,39 +303,36 @@ class _Sentences:
         """Logistic regression on the scaled counts by gradient steps of adapted size; coefficients start at and are pulled to a common value."""
         start, size, bears, number = 0.1, len(ratio), self.bears, self.number
         n_bears, n_other = (sum(int(x.sum()) for x in m.values()) for m in (bears, {k: ~x for k, x in bears.items()}))
-        scale = self.context.broadcast(ratio.astype(np.float32))
 
         def prepare(batches):
             for f in batches:
                 for r in f.to_pylist():
                     b, c, n = (np.frombuffer(r[k], t) for k, t in (("buckets", np.int32), ("counts", np.float32), ("sizes", np.int32)))
-                    b, o = number.value[b], np.repeat(np.arange(len(n)), n)
-                    x = scale.value[b] * c / _size(np.bincount(o, weights=c, minlength=len(n)))[o].astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (b, x, n, bears[r["part"]])], names=["b", "x", "n", "y"])
+                    # a bucket as often as it is met: less to read in each pass than counts of numbers
+                    every = np.repeat(number.value[b], c.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (every, _sums(c, n).astype(np.int32), bears[r["part"]])], names=["b", "n", "y"])
 
-        scaled = self.rows.select("part", "buckets", "counts", "sizes").mapInArrow(prepare, "b binary, x binary, n binary, y binary").checkpoint()
-        scale.destroy()
+        scaled = self.rows.select("part", "buckets", "counts", "sizes").mapInArrow(prepare, "b binary, n binary, y binary").checkpoint()
         v, bias = np.full(size, start), -1.0
         m, s = np.zeros(size + 1), np.zeros(size + 1)
         for k in range(1, EPOCHS + 1):
-            now = self.context.broadcast((v.astype(np.float32), bias))
+            now = self.context.broadcast(((ratio * v).astype(np.float32), bias))
 
             def gradient(batches, now=now):
-                v, bias = now.value
+                weight, bias = now.value
                 grad = np.zeros(size + 1)
                 for f in batches:
                     for r in f.to_pylist():
-                        b, x, n, y = (np.frombuffer(r[k], t) for k, t in (("b", np.int32), ("x", np.float32), ("n", np.int32), ("y", bool)))
-                        o = np.repeat(np.arange(len(n), dtype=np.int32), n)
-                        z = np.bincount(o, weights=x * v[b], minlength=len(n)) + bias
+                        b, n, y = (np.frombuffer(r[k], t) for k, t in (("b", np.int32), ("n", np.int32), ("y", bool)))
+                        z = _sums(weight[b], n) / _size(n) + bias
                         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y, BALANCE / max(n_bears, 1), (1 - BALANCE) / max(n_other, 1))
-                        grad[:-1] += np.bincount(b, weights=x * g[o], minlength=size)
+                        grad[:-1] += np.bincount(b, weights=np.repeat(g / _size(n), n), minlength=size)
                         grad[-1] += g.sum()
                 yield pa.RecordBatch.from_arrays([pa.array([grad.astype(np.float32).tobytes()], pa.binary())], names=["x"])
 
             grad = sum(np.frombuffer(r["x"], np.float32).astype(float) for r in scaled.mapInArrow(gradient, "x binary").collect())
             now.destroy()
-            grad[:-1] += PULL * (v - start)
+            grad[:-1] = ratio * grad[:-1] + PULL * (v - start)
             m = 0.9 * m + 0.1 * grad
             s = 0.99 * s + 0.01 * grad**2
             step = STEP * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-5)
@@ -353,7 +417,7 @@ def score(documents: DataFrame, model: Classifier | None, columns: list[str] = [
 
     def run(data):
         out = {c: data[c] for c in columns}
-        parts = [sentences(t) if t and model else [] for t in data["text"]]
+        parts = sentences([t if t and model else "" for t in data["text"]])
         flat = [s for p in parts for s in p]
         z = model.score(flat) if flat else np.zeros(0)
         first = np.cumsum([0, *map(len, parts)])
